@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, tokens
+from . import bpe, lines, packing, secrets, tokens
 from .shared import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -14,6 +14,15 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 END_ID = 2
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark) + "/tokens"
     tokens.write_tokens(table(spark, sf_dir, "documents"), path, WORD_BPE, END_ID)
@@ -37,8 +46,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
+    "op3_line_dedup": op3_line_dedup,
     "op6_token_output": op6_token_output,
     "op7_packing": op7_packing,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_line_dedup": lines.ORACLE_SQL,
+}
