@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, packing, secrets, tokens
+from . import bpe, lines, packing, quality, secrets, tokens
 from .shared import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark) + "/tokens"
     tokens.write_tokens(table(spark, sf_dir, "documents"), path, WORD_BPE, END_ID)
@@ -48,6 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_line_dedup": op3_line_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op6_token_output": op6_token_output,
     "op7_packing": op7_packing,
     "op10_byte_bpe": op10_byte_bpe,
