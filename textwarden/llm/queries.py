@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, packing, quality, secrets, tokens
+from . import bpe, fingerprints, lines, packing, quality, secrets, tokens, toxicity
 from .shared import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
     decoded = bpe.decode(encoded, BYTE_BPE, public_tokenizers.PATTERN)
@@ -56,6 +65,8 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_token_output": op6_token_output,
     "op7_packing": op7_packing,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL = {

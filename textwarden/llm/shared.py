@@ -105,12 +105,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"], _POWERS["i"]
 
 
-def word_hashes(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(docs: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all docs, in order, and the number of words of each doc.
 
     Words are maximal runs of other characters than ASCII white space.
     """
-    raw = [d.encode("utf-8", "surrogatepass") for d in docs]
+    raw = [d if isinstance(d, bytes) else d.encode("utf-8", "surrogatepass") for d in docs]
     buf = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     space = _SPACE[buf]
     before = np.concatenate([[True], space[:-1]])
