@@ -51,12 +51,13 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lines = keyed.select("row_id", "row_hash", "site", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.select("row_id", "row_hash", "site", "pos", _trimmed(F.col("line")).alias("line")).filter(F.char_length("line") >= min_chars)
     lines = lines.select("row_id", "row_hash", "site", "pos", F.xxhash64("line").alias("line_hash"))
+    # What is joined on the line's hash is written first: then Spark can split the rows of a line that is everywhere.
     # Only lines with several occurrences on more than one site can spread; these sums are exact and keep no strings.
     site_hash = F.when(F.col("site").isNotNull(), F.xxhash64("site"))
     seen = lines.groupBy("line_hash").agg(F.count("site").alias("n"), F.min(site_hash).alias("a"), F.max(site_hash).alias("b"))
-    repeated = seen.filter((F.col("n") >= min_sites) & (F.col("a") != F.col("b"))).select("line_hash")
+    repeated = stored(seen.filter((F.col("n") >= min_sites) & (F.col("a") != F.col("b"))).select("line_hash"))
     found = stored(lines.join(repeated, "line_hash", "left_semi"))
-    spread = spread_lines(found.select("line_hash", "site"), min_sites)
+    spread = stored(spread_lines(found.select("line_hash", "site"), min_sites))
     removed = found.join(spread, "line_hash", "left_semi").groupBy("row_id", "row_hash").agg(F.sort_array(F.collect_set("pos")).alias("_removed"))
     removed = removed.select(F.col("row_id").alias("_row_id"), F.col("row_hash").alias("_row_hash"), "_removed")
     base = docs.drop("n_lines", "n_removed")

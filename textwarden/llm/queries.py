@@ -6,14 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, lines, packing, quality, secrets, tokens, toxicity
-from .shared import shared_folder, table
+from . import bpe, chat, fingerprints, lines, neardup, packing, quality, secrets, tokens, toxicity
+from .shared import shared_folder, stored, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 END_ID = 2
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = neardup.classify(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -23,6 +28,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_trees(stored(chat.from_turns(turns))))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
@@ -60,8 +72,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_secrets": op2_secrets,
     "op3_line_dedup": op3_line_dedup,
+    "op4_chat_trees": op4_chat_trees,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_output": op6_token_output,
     "op7_packing": op7_packing,

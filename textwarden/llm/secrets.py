@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 #: Kinds in the order of the report: pattern, group of the value, characters that the value has at least.
 KINDS = {
     "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
@@ -71,7 +73,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     An empty table gives no rows. A column named secrets is replaced.
     """
     found = candidates(docs, id_col, text_col, repository_col, owner_col).withColumn("value_hash", F.sha2(F.col("value").cast("binary"), 256)).drop("value")
-    owned = ownership(found.filter("kind <> 'known'")).withColumnRenamed("value_hash", "owned_hash")
+    # Both sides are written first: then Spark can split the rows of a value that is everywhere.
+    found = stored(found)
+    owned = stored(ownership(found.filter("kind <> 'known'")).withColumnRenamed("value_hash", "owned_hash"))
     judged = found.join(owned, F.col("value_hash") == F.col("owned_hash"), "left").filter((F.col("kind") != "known") | (F.col("assigned") & F.col("live")))
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("kind")).cast("int")
     spans = judged.select("row_id", "row_hash", F.struct(F.col("start"), rank.alias("rank"), F.col("end"), F.col("kind"), F.col("live")).alias("s"))

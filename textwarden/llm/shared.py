@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task turns into numpy arrays at one time.
 CHUNK_BYTES = 2 << 20
+#: Rows of such a slice at most.
+MAX_ROWS = 50_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -68,7 +70,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
         if not batch.num_rows:
             continue
         size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)
-        part = np.cumsum(size) // most
+        part = np.cumsum(size + most // MAX_ROWS) // most
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(int(a), int(b - a))
