@@ -27,6 +27,7 @@ from .wordids import word_encoder
 SHARD_DOCS, SHARD_BYTES = 2048, 4 << 20
 #: The dictionary: its bytes, and the documents (those of the smallest hashed ids with up to so many characters) it is
 #: trained on. It changes only how well frames compress.
+LEVEL = 3
 DICTIONARY_BYTES, DICTIONARY_DOCS, DICTIONARY_CHARS = 32 << 10, 800, 20_000
 
 SHARDS = "part int, shard int, first_token long, doc_ids array<long>, n_tokens array<long>, frame_at array<long>, dictionary_hash string, id_bytes int, payload binary"
@@ -38,17 +39,23 @@ def serialized(ids: np.ndarray, id_bytes: int) -> bytes:
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, id_bytes: int) -> bytes:
     """A zstandard dictionary from serialized id arrays of a bounded sample; empty if there is too little to learn from."""
-    few = docs.filter(F.length("text").between(1, DICTIONARY_CHARS)).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(DICTIONARY_DOCS)
+    few = [r.doc_id for r in docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS).collect()]
+    found = docs.filter(F.col("doc_id").isin(few) & F.length("text").between(1, DICTIONARY_CHARS)).orderBy("doc_id", "text").limit(DICTIONARY_DOCS)
     encoder = word_encoder(tokenizer_path, end_id)
-    samples = [serialized(encoder.encode([r.text])[0], id_bytes) for r in few.select("text").collect()]
+    samples = [serialized(encoder.encode([r.text])[0], id_bytes) for r in found.select("text").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
 
-def codec(dictionary: bytes) -> dict:
-    return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+def codec(dictionary: bytes, level: int | None = None) -> dict:
+    if not dictionary:
+        return {}
+    data = zstandard.ZstdCompressionDict(dictionary)
+    if level is not None:
+        data.precompute_compress(level=level)  # once, not for each frame
+    return {"dict_data": data}
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -67,7 +74,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = word_encoder(tokenizer_path, end_id), TaskContext.get().partitionId()
-        compress = zstandard.ZstdCompressor(level=3, **codec(dictionary)).compress
+        compress = zstandard.ZstdCompressor(level=LEVEL, **codec(dictionary, LEVEL)).compress
         shard, first = 0, 0
         frames, doc_ids, lengths, held = [], [], [], 0
 

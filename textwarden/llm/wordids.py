@@ -6,6 +6,7 @@ words in order. Each task keeps the ids of the words it has met (a bounded cache
 
 from __future__ import annotations
 
+import re
 from array import array
 from functools import lru_cache
 
@@ -18,6 +19,22 @@ from .shared import ranges
 CACHE_WORDS = 400_000
 
 
+#: Words that need neither the normalizer nor the pre-tokenizer: letters of ASCII and Latin-1, then ASCII punctuation.
+#: Their lower case is one letter for each, is composed, and the two runs are the pre-tokens.
+_PLAIN = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-/:-@\[-`{-~]*)").fullmatch
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet, for Latin-1 letters: printable bytes stand for themselves, others for U+0100 and on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    of = {b: chr(b) if b in printable else chr(next(rest)) for b in range(256)}
+    return {c: "".join(of[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+_BYTES = byte_alphabet()
+
+
 class _Pieces(dict):
     """Ids of a pre-token in the vocabulary's alphabet."""
 
@@ -40,8 +57,12 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
         at = len(self.flat)
-        if text.isascii() and text.isalpha():
-            self.flat.extend(self.pieces[text.lower()])
+        if plain := _PLAIN(text):
+            letters, signs = plain.groups()
+            if letters:
+                self.flat.extend(self.pieces[letters if letters.isascii() else letters.lower().translate(_BYTES)])
+            if signs:
+                self.flat.extend(self.pieces[signs])
         else:
             for piece, _ in self.split(self.normalize(text)):
                 self.flat.extend(self.pieces[piece])
@@ -71,7 +92,8 @@ class WordEncoder:
         words, codes, ends = self.words, array("q"), array("q")
         number = words.__getitem__
         for doc in docs:
-            codes.extend(map(number, doc.encode("utf-8", "replace").split()))
+            # Lower case is the vocabulary's; for ASCII it is taken here already, so that fewer words differ.
+            codes.extend(map(number, doc.encode("utf-8", "replace").lower().split()))
             codes.append(0)
             ends.append(len(codes))
         code = np.array(codes, dtype=np.int64)
