@@ -69,13 +69,12 @@ def linked(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     state = stored(base)
     jumps: list[DataFrame] = []
     n = state.count()
-    while not state.filter("up is not null").isEmpty() and 1 << len(jumps) <= n:
-        jumps.append(state.filter("up is not null").select("node", "up"))
+    while 1 << len(jumps) <= n and not (on := state.filter("up is not null")).isEmpty():
+        jumps.append(on.select("node", "up"))
         above = state.select(F.col("node").alias("a_node"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"), F.col("total").alias("a_total"))
-        joined = state.join(above, F.col("up") == F.col("a_node"), "left")
-        depth, total = F.col("depth") + F.coalesce("a_depth", F.lit(0)), F.col("total") + F.coalesce("a_total", F.lit(0.0))
-        # depth and total cover the message and those up to, not with, `up`.
-        state = stored(joined.select("tree", "node", F.col("a_up").alias("up"), depth.alias("depth"), total.alias("total")))
+        # Only messages that are still on their way are joined; depth and total cover the message and those up to, not with, `up`.
+        moved = on.join(above, F.col("up") == F.col("a_node")).select("tree", "node", F.col("a_up").alias("up"), (F.col("depth") + F.col("a_depth")).alias("depth"), (F.col("total") + F.col("a_total")).alias("total"))
+        state = stored(state.filter("up is null").unionByName(moved))
     parents = base.filter("up is not null").select(F.col("up").alias("p_node")).distinct()
     rooted = state.filter("up is null").join(parents, F.col("node") == F.col("p_node"), "left")
     return rooted.select("tree", "node", "depth", "total", F.col("p_node").isNull().alias("leaf")), jumps
