@@ -1,17 +1,20 @@
 """Quality rules (operator 5): simple text statistics, and the perplexity of a character n-gram model of the corpus.
 
 Spark counts the n-grams of all documents; a modified Kneser-Ney model is made of the counts with joins and sums and
-kept in arrays sorted by hash. A document goes if its perplexity lies outside its language's band: too low is
+dealt out by n-gram: batches of documents ask it for the n-grams they hold, so no task or driver holds the whole.
+Every n-gram of the corpus is in it. A document goes if its perplexity lies outside its language's band: too low is
 repetitive, too high is unlike the language. Bands come from the quartiles of each language's documents.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +24,8 @@ from .shared import chunks, mix, stored, texts, word_hashes
 ORDER, BITS = 5, 12
 LOW_SYMBOLS = 1 << (BITS - 1)
 MASK = (1 << BITS) - 1
-#: An n-gram is kept if it has at least its order's total count / MODEL_GRAMS, so an order keeps at most MODEL_GRAMS,
-#: at any size of the corpus. The mass of the others goes to the lower order.
-MODEL_GRAMS = 2_000_000
+#: Bytes of text in a batch, whose different n-grams get their part of the model.
+BATCH_BYTES = 16 << 20
 #: Distinct n-grams that a task holds before it hands its counts on.
 HELD_GRAMS = 1_500_000
 #: A band reaches so many interquartile ranges beyond the quartiles of the log-perplexity, which is counted in steps.
@@ -61,36 +63,76 @@ def grams(s: np.ndarray, n: int) -> np.ndarray:
     return g
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """gram long, n long: counts of the n-grams of ORDER characters over all texts."""
-
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], np.add.reduceat(counts, first)
+def packed(docs: DataFrame) -> DataFrame:
+    """batch long, body binary: the rows of docs in batches of about BATCH_BYTES of text, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as to:
+                to.write_table(rows)
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "body"])
+
+        for batch in chunks(batches):
+            held.append(batch)
+            size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+            if size >= BATCH_BYTES:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return docs.mapInArrow(run, "batch long, body binary")
+
+
+def _slices(body: bytes) -> Iterator[pa.RecordBatch]:
+    """The rows of a packed batch, in slices."""
+    return chunks(iter(pa.ipc.open_stream(body)))
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    for b in batches:
+        yield from zip(b.column("batch").to_pylist(), b.column("body").to_pylist(), strict=True)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def _counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of ORDER characters of the rows' texts, sorted, and their counts."""
+    s, _ = symbols(texts(batch))
+    g = grams(s, ORDER)[s > 0]
+    g.sort()
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, dtype=np.int64)
+    return g[first], np.diff(np.append(first, len(g)))
+
+
+def gram_counts(batches: DataFrame) -> DataFrame:
+    """gram long, n long: counts of the n-grams of ORDER characters over all texts of the packed batches."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].astype(np.int64)), pa.array(x[1])], ["gram", "n"])
-        for batch in chunks(batches):
-            s, _ = symbols(texts(batch))
-            g = grams(s, ORDER)[s > 0]
-            if not len(g):
-                continue
-            g.sort()
-            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            held.append((g[first], np.diff(np.append(first, len(g)))))
-            if sum(len(k) for k, _ in held) > 2 * HELD_GRAMS:
-                held = [merged(held)]
-                if len(held[0][0]) > HELD_GRAMS:
-                    yield out(held.pop())
+        for _, body in _bodies(rows):
+            for part in _slices(body):
+                held.append(_counted(part))
+                if sum(len(k) for k, _ in held) > 2 * HELD_GRAMS:
+                    held = [_merged(held)]
+                    if len(held[0][0]) > HELD_GRAMS:
+                        yield out(held.pop())
         if held:
-            yield out(merged(held))
+            yield out(_merged(held))
 
-    counted = docs.select("text").mapInArrow(run, "gram long, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+    return batches.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -131,33 +173,107 @@ class GramTable:
         return out
 
 
-def train(docs: DataFrame, model_grams: int = MODEL_GRAMS) -> list[GramTable]:
-    """The tables of the n-grams of 1 to ORDER characters."""
-    counts = stored(gram_counts(docs))
-    found: list[tuple[DataFrame, DataFrame]] = []
+def levels(batches: DataFrame) -> list[DataFrame]:
+    """For the n-grams of 1 to ORDER characters, all of them: gram, context, share, and back of the context."""
+    counts = stored(gram_counts(batches))
+    found = []
     for n in range(ORDER, 0, -1):
-        total = counts.agg(F.sum("n")).head()[0] or 0
         d1, d2, d3 = _discounts(counts)
-        context = F.shiftright("gram", BITS)
         c = F.col("n")
-        sums = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("of"))
-        kept = counts.filter(c >= max(1, math.ceil(total / model_grams))).withColumn("context", context)
-        share = (c - F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)) / F.col("of")
-        rows = stored(kept.join(sums, "context").select("gram", "context", share.alias("share")))
-        found.append((rows.select("gram", "share"), rows.groupBy(F.col("context").alias("gram")).agg((1 - F.sum("share")).alias("back"))))
+        rows = counts.select("gram", F.shiftright("gram", BITS).alias("context"), "n", F.when(c == 1, d1).when(c == 2, d2).otherwise(d3).alias("less"))
+        of = rows.groupBy("context").agg(F.sum("n").alias("of"), F.sum("less").alias("all_less"))
+        found.append(rows.join(of, "context").select("gram", "context", ((c - F.col("less")) / F.col("of")).alias("share"), (F.col("all_less") / F.col("of")).alias("back")))
         # Lower orders count the different characters before them.
-        counts = stored(counts.groupBy(F.col("gram").bitwiseAND((1 << BITS * (n - 1)) - 1).alias("gram")).agg(F.count("gram").alias("n")))
-    found.reverse()
+        if n > 1:
+            counts = stored(counts.groupBy(F.col("gram").bitwiseAND((1 << BITS * (n - 1)) - 1).alias("gram")).agg(F.count("gram").alias("n")))
+    return found[::-1]
+
+
+def train(docs: DataFrame) -> list[GramTable]:
+    """The tables of the n-grams of 1 to ORDER characters on the driver, to score any texts: for a small corpus."""
+    found = levels(stored(packed(docs.select("text"))))
     tables = []
     for n in range(ORDER + 1):
-        share = found[n - 1][0] if n else found[0][0].limit(0)
-        back = found[n][1] if n < ORDER else found[0][1].limit(0)
+        share = found[max(n, 1) - 1].select("gram", "share").filter(F.lit(n > 0))
+        back = found[min(n, ORDER - 1)].groupBy(F.col("context").alias("gram")).agg(F.first("back").alias("back")).filter(F.lit(n < ORDER))
         rows = share.join(back, "gram", "full").select("gram", F.coalesce("share", F.lit(0.0)).cast("float").alias("share"), F.coalesce("back", F.lit(1.0)).cast("float").alias("back"))
         t = rows.toArrow()
         tables.append(GramTable(*(t[x].to_numpy() for x in ("gram", "share", "back"))))
     return tables
 
 
+def gram_costs(batches: DataFrame) -> DataFrame:
+    """gram long, cost float: -ln p of the last character after the others, for each n-gram of ORDER characters of the corpus."""
+    lower = None
+    for rows in levels(batches):
+        if lower is None:
+            p = F.col("share") + F.col("back") / (1 << BITS)  # the lowest order stands on an even chance of all symbols
+        else:
+            rows = rows.withColumn("rest", F.col("gram").bitwiseAND(mask)).join(lower.withColumnRenamed("gram", "rest"), "rest")
+            p = F.col("share") + F.col("back") * F.col("p")
+        mask = (1 << BITS) - 1 if lower is None else mask << BITS | MASK
+        lower = stored(rows.select("gram", p.alias("p")))
+    return lower.select("gram", (-F.log(F.greatest("p", F.lit(1e-12)))).cast("float").alias("cost"))
+
+
+def _prime(least: int) -> int:
+    n = max(least, 17)
+    while any(n % k == 0 for k in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
+def costs_of_batches(batches: DataFrame, blocks: int) -> DataFrame:
+    """batch, block, costs binary (float32): of the batch's different n-grams whose rest by `blocks` is the block, in order.
+
+    Each batch asks for what its texts hold, block by block; a block's task looks it up in its share of the model.
+    """
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, body in _bodies(rows):
+            keys = _keys(body)
+            of = keys % np.uint64(blocks)
+            asked = [(k, keys[of == k]) for k in np.unique(of)]
+            if asked:
+                # Differences of sorted numbers, their bytes by place: short when compressed.
+                bodies = [pa.compress(np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True) for _, x in asked]
+                yield pa.RecordBatch.from_pydict({"block": [int(k) for k, _ in asked], "batch": [batch] * len(asked), "n": [len(x) for _, x in asked], "asked": bodies})
+
+    def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+        keys = model["gram"].to_numpy().astype(np.uint64)
+        order = np.argsort(keys)
+        keys, costs = keys[order], model["cost"].to_numpy()[order]
+        out = []
+        for n, body in zip(asked["n"].to_pylist(), asked["asked"].to_pylist(), strict=True):
+            raw = np.frombuffer(pa.decompress(body, decompressed_size=8 * n, codec="zstd"), dtype=np.uint8)
+            grams_of = np.cumsum(np.ascontiguousarray(raw.reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+            at = np.searchsorted(keys, grams_of)
+            assert np.array_equal(keys[at], grams_of), "the model lacks an n-gram of its corpus"
+            out.append(costs[at].astype(np.float32).tobytes())
+        return pa.table({"batch": asked["batch"], "block": asked["block"], "costs": pa.array(out, pa.binary())})
+
+    asked = batches.mapInArrow(ask, "block long, batch long, n long, asked binary")
+    model = gram_costs(batches).withColumn("block", F.col("gram") % blocks)
+    return asked.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(answer, "batch long, block long, costs binary")
+
+
+def _keys(body: bytes) -> np.ndarray:
+    """The different n-grams of ORDER characters of a packed batch, sorted."""
+    parts = [_counted(x) for x in _slices(body)]
+    return _merged(parts)[0] if parts else np.zeros(0, dtype=np.uint64)
+
+
+def mean_costs(docs: list[str], table: GramTable) -> np.ndarray:
+    """Mean of the table's shares over the n-grams of ORDER characters of each text; 0 for an empty one."""
+    s, sizes = symbols(docs)
+    if not len(s):
+        return np.zeros(len(docs))
+    cost = np.where(s > 0, table.share[table.find(grams(s, ORDER))], 0).astype(np.float64)
+    ends = np.cumsum(sizes + ORDER - 1)
+    total = np.concatenate([[0.0], np.cumsum(cost)])
+    return (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
+
+
 def log_perplexities(docs: list[str], tables: list[GramTable]) -> np.ndarray:
     """Mean of -ln p over the characters of each text; 0 for an empty one."""
     s, sizes = symbols(docs)
@@ -210,14 +326,22 @@ def dup_lines(doc: str) -> int:
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
 
 
-def measure(docs: DataFrame, tables: list[GramTable]) -> DataFrame:
-    """doc_id, lang and the statistics of each row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(tables)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            t = texts(batch)
+def measure(docs: DataFrame) -> DataFrame:
+    """doc_id, row_hash, lang and the statistics of each row."""
+    batches = stored(packed(docs.select("doc_id", "row_hash", "lang", "text")))
+    blocks = _prime(batches.count() // 8)
+    names = [x.split()[0] for x in STATS.split(", ")]
+
+    def run(batch: pa.Table, costs: pa.Table) -> pa.Table:
+        body = batch["body"][0].as_py()
+        keys = _keys(body)
+        of, cost = keys % np.uint64(blocks), np.zeros(len(keys), dtype=np.float32)
+        for block, found in zip(costs["block"].to_pylist(), costs["costs"].to_pylist(), strict=True):
+            cost[of == block] = np.frombuffer(found, dtype=np.float32)
+        table = GramTable(keys, cost, cost)
+        out = []
+        for part in _slices(body):
+            t = texts(part)
             n_words, n_repeat = repeated_words(t)
             cols = [
                 n_words,
@@ -226,11 +350,12 @@ def measure(docs: DataFrame, tables: list[GramTable]) -> DataFrame:
                 [dup_lines(d) for d in t],
                 n_repeat,
             ]
-            names = [x.split()[0] for x in STATS.split(", ")]
-            arrays = [batch.column("doc_id"), batch.column("row_hash"), batch.column("lang"), *(pa.array(c, pa.int64()) for c in cols), pa.array(log_perplexities(t, shared.value), pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_hash", "lang", *names])
+            arrays = [part.column("doc_id"), part.column("row_hash"), part.column("lang"), *(pa.array(c, pa.int64()) for c in cols), pa.array(mean_costs(t, table), pa.float64())]
+            out.append(pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_hash", "lang", *names]))
+        return pa.Table.from_batches(out)
 
-    return docs.select("doc_id", "row_hash", "lang", "text").mapInArrow(run, f"doc_id long, row_hash long, lang string, {STATS}")
+    costs = costs_of_batches(batches, blocks)
+    return batches.groupBy("batch").cogroup(costs.groupBy("batch")).applyInArrow(run, f"doc_id long, row_hash long, lang string, {STATS}")
 
 
 def bands(measured: DataFrame, ranges: float = BAND_RANGES) -> DataFrame:
@@ -247,7 +372,7 @@ def bands(measured: DataFrame, ranges: float = BAND_RANGES) -> DataFrame:
     return found.select(F.col("lang").alias("of_lang"), (F.col("q1") - spread).alias("low"), (F.col("q3") + STEP + spread).alias("high"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model_grams: int = MODEL_GRAMS) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of docs: doc_id, row_hash (of the text), lang, the statistics, base_failed, low, high, kept.
 
     A null or empty text has no words and fails the base rules. Null languages are one language. A language none of
@@ -256,7 +381,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"coalesce(cast(`{lang_col}` as string), '') as lang", f"`{text_col}` as text", f"xxhash64(`{text_col}`) as row_hash")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    measured = stored(measure(docs, train(docs, model_grams)).withColumn("base_failed", failed))
+    measured = stored(measure(docs).withColumn("base_failed", failed))
     band = stored(bands(measured))
     if band.count() <= 10_000:  # a row per language
         band = F.broadcast(band)
@@ -264,8 +389,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False)))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model_grams: int = MODEL_GRAMS) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that judge() keeps."""
-    kept = judge(docs, id_col, text_col, lang_col, model_grams).filter("kept").select(F.col("doc_id").alias("_doc_id"), F.col("row_hash").alias("_row_hash"))
+    kept = judge(docs, id_col, text_col, lang_col).filter("kept").select(F.col("doc_id").alias("_doc_id"), F.col("row_hash").alias("_row_hash"))
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(f"`{text_col}`") == F.col("_row_hash"))
     return docs.join(kept, same, "left_semi")
