@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -340,7 +341,7 @@ def foreign_script_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, doc_id of benchmark items and documents that have the item's rarest run of five words in common."""
+    """item_id, doc_id of benchmark items and documents that have the item's second run of five words in common; for quote_fuzzy only, which misses others."""
     grams = lambda words: F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 5, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, 5), " "))
     items = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")).withColumn("words", F.split("quote", " "))
     keys = items.select("item_id", F.get(grams(F.col("words")), F.lit(1)).alias("gram")).filter("gram is not null")
@@ -349,12 +350,36 @@ def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "doc_id").distinct()
 
 
+def exact_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id, doc_id of items (item_id, text) that stand word for word in docs (doc_id, text).
+
+    The words of an item between its first and its last stand whole in any text that holds it, so the first five of them (or as many as there
+    are) are met with the documents' runs of that length. Items of one or two words have none: those few are compared with every document.
+    """
+    run = lambda words, start, n: F.array_join(F.slice(words, start, n), " ")
+    items = items.select("item_id", F.col("text").alias("quote")).withColumn("words", F.split("quote", r"[ \n]", -1)).withColumn("n", F.least(F.size("words") - 2, F.lit(5)))
+    keys = items.filter("n > 0").select("item_id", "quote", "n", run(F.col("words"), F.lit(2), F.col("n")).alias("gram"))
+    lengths = sorted(r.n for r in items.filter("quote is not null").select("n").distinct().collect())
+    docs = docs.select("doc_id", "text")
+    words = docs.select("doc_id", F.split("text", r"[ \n]", -1).alias("words"))
+    pairs = []
+    if found := [n for n in lengths if n > 0]:
+        runs = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))), lambda i: run(F.col("words"), i + 1, n))
+        grams = reduce(DataFrame.unionByName, (words.select("doc_id", F.lit(n).alias("n"), F.explode(F.array_distinct(runs(n))).alias("gram")) for n in found))
+        met = grams.join(keys.select("item_id", "n", "gram"), ["n", "gram"]).select("item_id", "doc_id").distinct()
+        pairs.append(met.join(keys.select("item_id", "quote").distinct(), "item_id").join(docs, "doc_id"))
+    if any(n <= 0 for n in lengths):
+        pairs.append(docs.join(F.broadcast(items.filter("n <= 0").select("item_id", "quote")), F.contains("text", F.col("quote"))).select("doc_id", "item_id", "quote", "text"))
+    if not pairs:
+        return docs.join(items.select("item_id").limit(0), F.lit(False)).select("item_id", "doc_id")
+    rows = pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1])
+    return rows.filter(F.contains("text", F.col("quote"))).select("item_id", "doc_id")
+
+
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_exact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item word for word: met over a run of words, then compared whole."""
-    pairs = _shared(spark, sf_dir)
-    pairs = pairs.join(_table(spark, sf_dir, "benchmark").withColumnRenamed("text", "quote"), "item_id").join(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return pairs.filter(F.contains("text", F.col("quote"))).select("item_id", "doc_id")
+    """Documents that hold a benchmark item word for word: met over inner words, then compared whole."""
+    return exact_quotes(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
 
 
 @query()
