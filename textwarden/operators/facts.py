@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lex
 from ..functions import text as tx
 from ..functions.dims import ACTIONS, CRITICAL_KINDS, DEFAULT, KINDS, Lexicon
+from ..functions.fuzzy import near_quote
 
 Check = tuple[str, Column, Column]  # name, when it fails, when it warns
 
@@ -88,16 +89,27 @@ def features(facts: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     return out.withColumn("risk", risk(F.col("kind"), F.col("med_action"), F.col("drug"), F.col("drugs"), lexicon))
 
 
-def classify(facts: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """kind and med_action as the quote reads, the given ones in model_kind and model_action. Kinds that matter are not re-derived."""
+def source_line(quote: Column, source: Column) -> Column:
+    """The line of the source that a quote comes from, so that a label which the quote dropped is seen; the quote itself if none."""
+    plain = lambda t: F.lower(F.regexp_replace(t, r"\s+", " "))
+    head = F.lower(F.substring(F.regexp_replace(F.regexp_replace(quote, r"^\s+|\s+$", ""), r"\s+", " "), 1, 40))
+    line = F.get(F.filter(F.split(source, r"\R"), lambda x: F.contains(plain(x), head)), F.lit(0))
+    return F.coalesce(F.when(F.length(head) > 0, F.regexp_replace(line, r"^\s+|\s+$", "")), quote)
+
+
+def classify(facts: DataFrame, lexicon: Lexicon = DEFAULT, source: Column | None = None) -> DataFrame:
+    """kind and med_action as the quote, or its line in the source, reads; the given ones in model_kind and model_action. Kinds that matter are not re-derived."""
     quote = F.col("source_quote")
-    said, named = lex.text_action(quote), F.coalesce(lex.canonical_drug(F.col("drug"), lexicon), F.get(F.array_sort(lex.drugs_in(quote, lexicon)), F.lit(0)))
-    medicine = named.isNotNull() & (quote.rlike(lex.DOSE) | said.isNotNull())
+    if source is not None:
+        facts = facts.withColumn("_line", source_line(quote, source))
+    line = quote if source is None else F.col("_line")
+    acts, named = lex.text_action(line), F.coalesce(lex.canonical_drug(F.col("drug"), lexicon), F.get(F.array_sort(lex.drugs_in(quote, lexicon)), F.lit(0)))
+    medicine = named.isNotNull() & (quote.rlike(lex.DOSE) | acts.isNotNull())
     kind = F.when(F.col("kind").isin(*CRITICAL_KINDS), F.col("kind")).when(medicine, "medication").when(quote.rlike(lex.WARNING), "warning_sign").when(quote.rlike(lex.FOLLOW_UP), "follow_up").otherwise(F.col("kind"))
-    out = facts.withColumns({"model_kind": F.col("kind"), "model_action": F.col("med_action"), "_said": said, "_named": named}).withColumn("kind", kind)
+    out = facts.withColumns({"model_kind": F.col("kind"), "model_action": F.col("med_action"), "_said": F.when(lex.is_labelled(line), acts).otherwise(lex.text_action(quote)), "_named": named}).withColumn("kind", kind)
     is_medicine = F.col("kind") == "medication"
     out = out.withColumn("drug", F.when(is_medicine & F.col("drug").isNull(), F.col("_named")).otherwise(F.col("drug")))
-    return out.withColumn("med_action", F.when(is_medicine, F.coalesce("_said", "med_action")).otherwise(F.col("med_action"))).drop("_said", "_named")
+    return out.withColumn("med_action", F.when(is_medicine, F.coalesce("_said", "med_action")).otherwise(F.col("med_action"))).drop("_said", "_named", "_line")
 
 
 def fact_checks(facts: DataFrame, sources: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
@@ -107,6 +119,11 @@ def fact_checks(facts: DataFrame, sources: DataFrame, lexicon: Lexicon = DEFAULT
     unlabelled = F.regexp_replace(quote, r"^[A-Z][A-Za-z -]{2,25}:\s*", "")
     found = tx.contained(quote, F.col("source")) | ((F.length(unlabelled) >= 20) & tx.contained(unlabelled, F.col("source")))
     never, medicine = F.lit(False), F.col("kind") == "medication"
+    # Window by window only where containment fails: other rows have no quote for it.
+    rows = rows.withColumn("_found", F.coalesce(found, never))
+    left = lambda q: near_quote(F.when(~F.col("_found"), tx.squash(q)), F.when(~F.col("_found"), tx.squash(F.col("source"))))
+    rows = rows.withColumns({"_near": left(quote), "_near_unlabelled": left(F.when(F.length(unlabelled) >= 20, unlabelled))})
+    found = F.col("_found") | F.col("_near") | F.col("_near_unlabelled")
     return checks_of(
         rows,
         ["case_id", "fact_id"],

@@ -178,7 +178,8 @@ def fact_checks_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         "med_action": F.when(F.col("k") == 4, F.when(F.col("med_action") == "new", "hold").otherwise("new")).otherwise(F.col("med_action")),
         "kind": F.when(F.col("k") == 5, "diagnosis").otherwise(F.col("kind")),
     })
-    return facts.fact_checks(facts.classify(rows), sources).select("fact_id", "name", "status")
+    classified = facts.classify(rows.join(sources, "case_id", "left"), source=F.col("source")).drop("source")
+    return facts.fact_checks(classified, sources).select("fact_id", "name", "status")
 
 
 _PAYLOAD = '[{"id":"F1","kind":"medication","med_action":"stop","drug":"Aspirin","source_quote":"STOP: aspirin"},"no object",{"id":"f 2","kind":"odd","detail":7},{"id":"F1","kind":"follow_up"},{"kind":"test","med_action":"give"}]'
