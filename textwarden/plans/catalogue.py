@@ -299,6 +299,17 @@ def mask_counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy(masking.kind_of(F.col("m.token")).alias("kind")).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
 
 
+@query()
+def mask_counts_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, kind, n: masked values of every kind, with every rule at work. No SQL: the rules need look-around."""
+    return masked_kinds(_table(spark, sf_dir, "documents"))
+
+
+def masked_kinds(docs: DataFrame) -> DataFrame:
+    rows = masking.mask(docs.select("doc_id", "text"), "text").select("doc_id", F.explode_outer("mapping").alias("m")).filter("m is not null")  # outer: else the rules are inlined into a filter
+    return rows.groupBy("doc_id", masking.kind_of(F.col("m.token")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
 def mask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """unmask(mask(text)) is the text, with every rule at work."""
@@ -336,6 +347,16 @@ def numbers_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.filter("size(n) > 0 and `all` >= 0").select("doc_id", F.size("n").cast("long").alias("n"))
 
 
+@query()
+def number_values_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, number: what numbers_in finds, decimals, separators and number words included. No SQL."""
+    return number_values(_table(spark, sf_dir, "documents"))
+
+
+def number_values(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.explode_outer(F.array_distinct(tx.numbers_in(F.col("text")))).alias("number")).filter("number is not null")
+
+
 @query(r"SELECT lang, count(*) FILTER (WHERE regexp_matches(text, '[\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}\x{0400}-\x{04ff}\x{0600}-\x{06ff}\x{0e00}-\x{0e7f}]')) AS n FROM documents GROUP BY lang")
 def foreign_script_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(lex.foreign_script(F.col("text"), "en") != "").alias("n"))
