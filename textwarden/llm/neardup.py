@@ -6,10 +6,10 @@ number of shingles a document are such, so this table is small at any size of th
 Equal texts are one; texts that share a band are compared by their exact weighted Jaccard similarity.
 
 No bucket of a band is expanded into its pairs. Each text is compared with its bucket's centre (the text that shares most
-buckets with others). Only in buckets that are then still of several classes more is compared: in those of up to BLOCK
-texts, texts of different classes pair by pair; in larger ones, what is left over is compared with the whole bucket in blocks
-of BLOCK_TEXTS, two blocks a task, as products of matrices that give out only the links that join classes. So no similar pair of a
-bucket is left out. Classes are the components of the links found.
+buckets with others). Only in buckets that are then still of several classes more is compared, as products of matrices that give
+out only the links that join classes: buckets of up to BLOCK texts whole, many of them in a task; of larger ones what is left over
+with the whole bucket in blocks of BLOCK_TEXTS, two blocks a task. So no similar pair of a bucket is left out. Classes are the
+components of the links found.
 """
 
 from __future__ import annotations
@@ -32,29 +32,42 @@ BLOCK = 64
 FILTER_BITS = 1 << 24
 #: Texts of a large bucket that meet as many others in one task.
 BLOCK_TEXTS = 500
-#: Shingles that a task counts at one time when it looks for frequent ones, and samples at one time.
-HELD_SHINGLES, SAMPLED_SHINGLES = 3_000_000, 1 << 15
+#: Texts of small buckets that one task compares, each bucket by itself.
+GROUP_TEXTS = 500
+#: Shingles that a task counts at one time when it looks for frequent ones, and samples at one time; words it hashes at one time.
+HELD_SHINGLES, SAMPLED_SHINGLES, HELD_WORDS = 3_000_000, 1 << 15, 1 << 20
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingles(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """document (number in docs), hash (48 bits) and count of the distinct shingles, sorted by document, then hash.
 
-    Words are lower case; a text of fewer words than WORDS is one shingle, one without words has none.
+    Words are lower case; a text of fewer words than WORDS is one shingle, one without words has none. A text of any length
+    is taken whole: at 32 bytes a word, temporary arrays aside, which are of HELD_WORDS.
     """
     w, n = word_hashes([d.lower() for d in docs])
-    starts = np.cumsum(n) - n
-    doc = np.repeat(np.arange(len(docs)), n)
-    at, stop = np.arange(len(w)), (starts + n)[doc]
-    h = np.zeros(len(w), dtype=np.uint64)
-    for j in range(WORDS):
-        h *= np.uint64(0xC2B2AE3D27D4EB4F)
-        if j < len(w):
-            h[: len(w) - j] += np.where(at[: len(w) - j] + j < stop[: len(w) - j], w[j:], np.uint64(0))
-    whole = (at + WORDS <= stop) | (at == starts[doc])
-    key = np.sort((doc[whole].astype(np.uint64) << np.uint64(48)) | (mix(h[whole]) >> np.uint64(16)))
+    key = np.zeros(len(w), dtype=np.uint64)
+    whole = np.zeros(len(w), dtype=bool)
+    ends = np.cumsum(n)
+    starts = ends - n
+    for lo in range(0, len(w), HELD_WORDS):
+        hi = min(lo + HELD_WORDS, len(w))
+        at = np.arange(lo, hi)
+        doc = np.searchsorted(ends, at, side="right")
+        stop = ends[doc]
+        h = np.zeros(hi - lo, dtype=np.uint64)
+        for j in range(WORDS):
+            h *= np.uint64(0xC2B2AE3D27D4EB4F)
+            h += np.where(at + j < stop, w[np.minimum(at + j, len(w) - 1)], np.uint64(0))
+        whole[lo:hi] = (at + WORDS <= stop) | (at == starts[doc])
+        key[lo:hi] = (doc.astype(np.uint64) << np.uint64(48)) | (mix(h) >> np.uint64(16))
+    del w
+    key = key[whole]
+    key.sort()
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
-    return (key[first] >> np.uint64(48)).astype(np.int64), key[first] & np.uint64((1 << 48) - 1), np.diff(np.append(first, len(key)))
+    count = np.diff(np.append(first, len(key)))
+    key = key[first]
+    return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1), count
 
 
 class Weights:
@@ -105,7 +118,8 @@ def weights(docs: DataFrame) -> Weights:
             doc, s, _ = shingles(texts(batch))
             held.append(s)
             n += int(np.count_nonzero(np.diff(doc))) + 1 if len(doc) else 0
-            if sum(map(len, held)) > HELD_SHINGLES:
+            # Of fewer than 2 RARE documents every shingle would be frequent.
+            if sum(map(len, held)) > (HELD_SHINGLES if n >= 8 * RARE else 4 * HELD_SHINGLES):
                 yield out()
                 held, n = [], 0
         if n:
@@ -141,16 +155,17 @@ def samples(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray) -> np.ndar
     Of each shingle, r and c ~ Gamma(2, 1) and b ~ U(0, 1) come from its hash; with t = floor(ln w / r + b) the sample is
     the (shingle, t) of least ln c - r (t - b + 1).
     """
-    firsts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)])
-    keys = np.zeros((len(firsts), BANDS), dtype=np.uint64)
-    log_w, unit = np.log(weight), np.float32(2.0**-24)
-    a = 0
-    while a < len(firsts):
-        b = max(a + 1, int(np.searchsorted(firsts, firsts[a] + SAMPLED_SHINGLES)))
-        lo, hi = firsts[a], firsts[b] if b < len(firsts) else len(doc)
-        h, lw, at = shingle[lo:hi], log_w[lo:hi], firsts[a:b] - lo
-        lengths = np.diff(np.append(at, hi - lo))
-        owner = np.repeat(np.arange(b - a), lengths)
+    new = np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)]
+    n = int(np.count_nonzero(new))
+    least, found = np.full((len(_SEEDS), n), np.inf, dtype=np.float32), np.zeros((len(_SEEDS), n), dtype=np.uint64)
+    unit, row = np.float32(2.0**-24), -1
+    for lo in range(0, len(doc), SAMPLED_SHINGLES):
+        h, lw, begins = shingle[lo : lo + SAMPLED_SHINGLES], np.log(weight[lo : lo + SAMPLED_SHINGLES]), new[lo : lo + SAMPLED_SHINGLES].copy()
+        row += int(begins[0])  # the document of the slice's first shingle
+        begins[0] = True
+        at = np.flatnonzero(begins)
+        owner = np.cumsum(begins) - 1
+        rows = np.arange(row, row + len(at))
         for k, seed in enumerate(_SEEDS):
             z = mix(h ^ seed)
             y = mix(z ^ np.uint64(0xA0761D6478BD642F))
@@ -160,11 +175,16 @@ def samples(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray) -> np.ndar
             beta = (y & np.uint64(0xFFFF)).astype(np.float32) * np.float32(2.0**-16)
             t = np.floor(lw / r + beta)
             cost = np.log(c) - r * (t - beta + 1)
-            best = np.flatnonzero(cost == np.minimum.reduceat(cost, at)[owner])
+            low = np.minimum.reduceat(cost, at)
+            best = np.flatnonzero(cost == low[owner])
             best = best[np.concatenate([[True], owner[best[1:]] != owner[best[:-1]]])]
             sample = mix(h[best] ^ (t[best].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            keys[a:b, k // ROWS] = mix(keys[a:b, k // ROWS] * np.uint64(3) + sample)
-        a = b
+            better = low < least[k, rows]  # a document goes on over slices
+            least[k, rows[better]], found[k, rows[better]] = low[better], sample[better]
+        row += len(at) - 1
+    keys = np.zeros((n, BANDS), dtype=np.uint64)
+    for k in range(len(_SEEDS)):
+        keys[:, k // ROWS] = mix(keys[:, k // ROWS] * np.uint64(3) + found[k])
     return keys
 
 
@@ -319,6 +339,29 @@ def _block_links(docs: list[str], classes: list, left: np.ndarray, right: np.nda
     return links
 
 
+def _links_in_buckets(few: DataFrame, n_few: int, classes: _Classes) -> DataFrame:
+    """few: bucket, key, class, of buckets of up to BLOCK texts. Links (a, b) between texts of one bucket and different classes.
+
+    A text is sent once for each of its buckets, not for each of its pairs; a task takes the buckets of about GROUP_TEXTS texts.
+    """
+    shared, similarity = few.sparkSession.sparkContext.broadcast(classes.table), classes.similarity
+    placed = few.withColumn("group", F.pmod(F.xxhash64("bucket", F.lit(5)), F.lit(max(1, n_few // GROUP_TEXTS)))).join(classes.held, "key")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("bucket", "ascending"), ("key", "ascending")])
+        bucket, keys, of_class = table["bucket"].to_numpy(), table["key"].to_pylist(), table["class"].to_pylist()
+        a, b = [], []
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist()
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            every = np.arange(hi - lo)
+            for x, y in _block_links([t or "" for t in table["text"][lo:hi].to_pylist()], of_class[lo:hi], every, every, shared.value, similarity):
+                a.append(keys[lo + x])
+                b.append(keys[lo + y])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return placed.groupBy("group").applyInArrow(run, "a binary, b binary")
+
+
 def _links_in_blocks(rows: DataFrame, classes: _Classes) -> DataFrame:
     """rows: bucket, key, class, n, centre_class. Links (a, b) between texts of one bucket and different classes, compared exactly.
 
@@ -366,10 +409,8 @@ def _compare(members: DataFrame, classes: _Classes) -> None:
     classes.link(now().join(with_class(), "bucket").filter("class <> centre_class").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
     rest = stored(now().join(_apart(now()), "bucket", "left_semi"))
     few = stored(rest.filter(F.col("n") <= BLOCK).select("bucket", "key", "class"))
-    pairs = few.withColumnsRenamed({"key": "a", "class": "a_class"}).join(few.withColumnsRenamed({"key": "b", "class": "b_class"}), "bucket").filter("a_class < b_class")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if not few.isEmpty():
-        classes.link(pairs)
+    if (n_few := few.count()):
+        classes.join(_links_in_buckets(few, n_few, classes))
     many = rest.filter(F.col("n") > BLOCK).select("bucket", "key").join(classes.of, "key")
     if many.isEmpty():
         return
@@ -387,7 +428,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     Texts are in one class if a chain of similar texts joins them; equal texts are. A text without words (null, empty) is
     like no other, and its class_id is its own doc_id. Repeated rows are in one class; a null doc_id counts only where a
-    class has no other. Other columns are not read. An empty table gives no rows.
+    class has no other. Other columns are not read. An empty table gives no rows. A text of any length is compared whole: a
+    text of 100 MB takes a task about 1 GB.
     """
     keyed = _keyed(docs, id_col, text_col)
     table = weights(keyed)
@@ -413,7 +455,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs without those whose class has a row that goes before (lower doc_id, null last; then lower key).
 
-    Of repeated rows (same id and text) one stays. Texts without words stay, a repeated one as one row.
+    Of repeated rows (same id and text) one stays. Texts without words stay, a repeated one as one row. Other columns stay as
+    they are, whatever their names. An empty table stays empty. Long texts as in classify().
     """
     classes = stored(classify(docs, id_col, text_col, similarity).filter("worded"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")

@@ -1,9 +1,9 @@
 """Quality rules (operator 5): simple text statistics, and the perplexity of a character n-gram model of the corpus.
 
-Spark counts the n-grams of all documents; a modified Kneser-Ney model is made of the counts with joins and sums and
-dealt out by n-gram: batches of documents ask it for the n-grams they hold, so no task or driver holds the whole.
-Every n-gram of the corpus is in it. A document goes if its perplexity lies outside its language's band: too low is
-repetitive, too high is unlike the language. Bands come from the quartiles of each language's documents.
+Spark counts the n-grams of all documents; a modified Kneser-Ney model is made of the counts with joins and sums. Its most
+frequent n-grams (a fixed number) are sent to every task, the others are dealt out by n-gram: batches of documents ask for those
+they hold, so no task or driver holds the whole. Every n-gram of the corpus is in it. A document goes if its perplexity lies outside
+its language's band: too low is repetitive, too high is unlike the language. Bands come from the quartiles of each language's documents.
 """
 
 from __future__ import annotations
@@ -18,16 +18,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import chunks, mix, stored, texts, word_hashes
+from .shared import chunks, mix, stored, texts, word_hashes, word_starts
 
-#: Characters of an n-gram: 5 times 12 bits fit one signed 64-bit number.
+#: Symbols of an n-gram: 5 times 12 bits fit one signed 64-bit number.
 ORDER, BITS = 5, 12
-LOW_SYMBOLS = 1 << (BITS - 1)
+#: Code points below SINGLES are a symbol each; others are two, of their upper bits (from SINGLES on) and their lower 10
+#: (from LOWS on), so no two characters share symbols.
+SINGLES, LOWS = 1984, 3072
 MASK = (1 << BITS) - 1
+#: Characters turned into symbols, and symbols into n-grams, at one time.
+WINDOW = 1 << 22
 #: Bytes of text in a batch, whose different n-grams get their part of the model.
 BATCH_BYTES = 16 << 20
 #: Distinct n-grams that a task holds before it hands its counts on.
 HELD_GRAMS = 1_500_000
+#: The most frequent n-grams, so many at most, are sent to every task; batches ask for the others.
+SENT_GRAMS = 1 << 20
 #: A band reaches so many interquartile ranges beyond the quartiles of the log-perplexity, which is counted in steps.
 BAND_RANGES, STEP = 3.0, 0.001
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -37,32 +43,64 @@ _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def symbols(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts as numbers below 2^BITS, and the number of them of each text.
+    """The texts as symbols (16-bit), and the number of them of each text.
 
-    ORDER - 1 zeros stand before each text. A run of blanks is one space. Code points under 2048 are themselves (NUL
-    is 1); others share the numbers above by hash.
+    ORDER - 1 zeros stand before each text. A run of blanks is one space; NUL is symbol 1.
     """
-    pad = "\0" * (ORDER - 1)
-    points = np.frombuffer("".join(pad + d.replace("\0", "\1") for d in docs).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    blank = _BLANK[np.minimum(points, 0x20)] & (points <= 0x20)
-    keep = ~(blank & np.concatenate([[False], blank[:-1]]))
-    sizes = np.fromiter((len(d) + ORDER - 1 for d in docs), dtype=np.int64, count=len(docs))
-    kept = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
-    s = np.where(blank, np.uint32(0x20), points)[keep].astype(np.uint64)
-    high = s >= LOW_SYMBOLS
-    if high.any():
-        s[high] = LOW_SYMBOLS + mix(s[high]) % np.uint64(LOW_SYMBOLS)
-    return s, np.diff(kept) - (ORDER - 1)
+    found, sizes = [np.zeros(0, dtype=np.uint16)], np.zeros(len(docs), dtype=np.int64)
+    held: list[str] = []
+    owners: list[int] = []
+    blank_before = False
+
+    def taken() -> None:
+        nonlocal blank_before
+        points = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        blank = _BLANK[np.minimum(points, 0x20)] & (points <= 0x20)
+        many = (~(blank & np.concatenate([[blank_before], blank[:-1]]))).astype(np.int8)
+        blank_before = bool(blank[-1])
+        points = np.where(blank, np.uint32(0x20), points)
+        many[points >= SINGLES] = 2
+        s = np.repeat(points, many)
+        if len(high := np.flatnonzero(points >= SINGLES)):
+            at = np.cumsum(many, dtype=np.int64)[high] - 2
+            s[at], s[at + 1] = SINGLES + (points[high] >> np.uint32(10)), LOWS + (points[high] & np.uint32(1023))
+        found.append(s.astype(np.uint16))
+        lengths = np.fromiter(map(len, held), dtype=np.int64, count=len(held))
+        np.add.at(sizes, owners, np.add.reduceat(many, np.cumsum(lengths) - lengths, dtype=np.int64))
+        held.clear()
+        owners.clear()
+
+    size = 0
+    for i, d in enumerate(docs):
+        d = "\0" * (ORDER - 1) + d.replace("\0", "\1")
+        for lo in range(0, len(d), WINDOW):
+            held.append(d[lo : lo + WINDOW])
+            owners.append(i)
+            size += len(held[-1])
+            if size >= WINDOW:
+                taken()
+                size = 0
+    if held:
+        taken()
+    return np.concatenate(found), sizes - (ORDER - 1)
 
 
 def grams(s: np.ndarray, n: int) -> np.ndarray:
     """The n-gram that ends at each place, as a number (places before the n-th: what there is)."""
+    s = s.astype(np.uint64)
     g = s.copy()
     for k in range(1, n):
         g[k:] |= s[:-k] << np.uint64(BITS * k)
     return g
 
 
+def gram_windows(s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The n-grams of ORDER symbols that end at each place, in windows: the first place, and the n-grams from there on."""
+    for lo in range(0, len(s), WINDOW):
+        before = max(0, lo - ORDER + 1)
+        yield lo, grams(s[before : lo + WINDOW], ORDER)[lo - before :]
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """batch long, body binary: the rows of docs in batches of about BATCH_BYTES of text, compressed."""
 
@@ -101,6 +139,8 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(keys):
+        return keys, counts
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -108,16 +148,21 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The different n-grams of ORDER characters of the rows' texts, sorted, and their counts."""
+    """The different n-grams of ORDER symbols of the rows' texts, sorted, and their counts."""
     s, _ = symbols(texts(batch))
-    g = grams(s, ORDER)[s > 0]
-    g.sort()
-    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, dtype=np.int64)
-    return g[first], np.diff(np.append(first, len(g)))
+    parts = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))]
+    for lo, g in gram_windows(s):
+        g = g[s[lo : lo + len(g)] > 0]
+        g.sort()
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)])
+        parts.append((g[first], np.diff(np.append(first, len(g)))))
+        if len(parts) > 2:
+            parts = [_merged(parts)]
+    return _merged(parts) if len(parts) > 1 else parts[0]
 
 
 def gram_counts(batches: DataFrame) -> DataFrame:
-    """gram long, n long: counts of the n-grams of ORDER characters over all texts of the packed batches."""
+    """gram long, n long: counts of the n-grams of ORDER symbols over all texts of the packed batches."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -145,20 +190,19 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 class GramTable:
-    """Two numbers for each n-gram, in arrays sorted by the n-gram's hash; an index by the hash's first bits finds them."""
+    """A number for each n-gram, in arrays sorted by the n-gram's hash; an index by the hash's first bits finds them."""
 
-    def __init__(self, gram: np.ndarray, share: np.ndarray, back: np.ndarray):
+    def __init__(self, gram: np.ndarray, cost: np.ndarray):
         keys = mix(gram.astype(np.uint64))
         order = np.argsort(keys)
         self.keys = np.append(keys[order], np.uint64(0))
-        # One place more for n-grams that aren't there: no share, and all mass to the lower order.
-        self.share, self.back = np.append(share[order], 0).astype(np.float32), np.append(back[order], 1).astype(np.float32)
+        self.cost = np.append(cost[order], 0).astype(np.float32)  # one place more, for n-grams that aren't there
         self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
         firsts = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
         self.index = np.append(np.searchsorted(self.keys[:-1], firsts), len(keys)).astype(np.int32)
 
     def find(self, gram: np.ndarray) -> np.ndarray:
-        """Places of the n-grams; the last place if absent."""
+        """Places of the n-grams; the last place if absent. The hash is one to one, so what is found is the n-gram."""
         h = mix(gram)
         bucket = (h >> self.shift).astype(np.int64)
         at, stop = self.index[bucket], self.index[bucket + 1]
@@ -172,9 +216,13 @@ class GramTable:
             left, at, stop, h = left[on], at[on] + 1, stop[on], h[on]
         return out
 
+    def lacks(self, gram: np.ndarray) -> np.ndarray:
+        """Which of the n-grams it doesn't hold."""
+        return self.find(gram) == len(self.keys) - 1
+
 
 def levels(batches: DataFrame) -> list[DataFrame]:
-    """For the n-grams of 1 to ORDER characters, all of them: gram, context, share, and back of the context."""
+    """For the n-grams of 1 to ORDER symbols, all of them: gram, n (count), share, and back of the context."""
     counts = stored(gram_counts(batches))
     found = []
     for n in range(ORDER, 0, -1):
@@ -182,38 +230,38 @@ def levels(batches: DataFrame) -> list[DataFrame]:
         c = F.col("n")
         rows = counts.select("gram", F.shiftright("gram", BITS).alias("context"), "n", F.when(c == 1, d1).when(c == 2, d2).otherwise(d3).alias("less"))
         of = rows.groupBy("context").agg(F.sum("n").alias("of"), F.sum("less").alias("all_less"))
-        found.append(rows.join(of, "context").select("gram", "context", ((c - F.col("less")) / F.col("of")).alias("share"), (F.col("all_less") / F.col("of")).alias("back")))
-        # Lower orders count the different characters before them.
+        found.append(rows.join(of, "context").select("gram", "n", ((c - F.col("less")) / F.col("of")).alias("share"), (F.col("all_less") / F.col("of")).alias("back")))
+        # Lower orders count the different symbols before them.
         if n > 1:
             counts = stored(counts.groupBy(F.col("gram").bitwiseAND((1 << BITS * (n - 1)) - 1).alias("gram")).agg(F.count("gram").alias("n")))
     return found[::-1]
 
 
-def train(docs: DataFrame) -> list[GramTable]:
-    """The tables of the n-grams of 1 to ORDER characters on the driver, to score any texts: for a small corpus."""
-    found = levels(stored(packed(docs.select("text"))))
-    tables = []
-    for n in range(ORDER + 1):
-        share = found[max(n, 1) - 1].select("gram", "share").filter(F.lit(n > 0))
-        back = found[min(n, ORDER - 1)].groupBy(F.col("context").alias("gram")).agg(F.first("back").alias("back")).filter(F.lit(n < ORDER))
-        rows = share.join(back, "gram", "full").select("gram", F.coalesce("share", F.lit(0.0)).cast("float").alias("share"), F.coalesce("back", F.lit(1.0)).cast("float").alias("back"))
-        t = rows.toArrow()
-        tables.append(GramTable(*(t[x].to_numpy() for x in ("gram", "share", "back"))))
-    return tables
-
-
 def gram_costs(batches: DataFrame) -> DataFrame:
-    """gram long, cost float: -ln p of the last character after the others, for each n-gram of ORDER characters of the corpus."""
+    """gram long, n long, cost float: count and -ln p of the last symbol after the others, for each n-gram of ORDER symbols of the corpus."""
     lower = None
-    for rows in levels(batches):
+    for n, rows in enumerate(levels(batches), 1):
         if lower is None:
             p = F.col("share") + F.col("back") / (1 << BITS)  # the lowest order stands on an even chance of all symbols
         else:
-            rows = rows.withColumn("rest", F.col("gram").bitwiseAND(mask)).join(lower.withColumnRenamed("gram", "rest"), "rest")
+            rows = rows.withColumn("rest", F.col("gram").bitwiseAND((1 << BITS * (n - 1)) - 1)).join(lower.withColumnRenamed("gram", "rest"), "rest")
             p = F.col("share") + F.col("back") * F.col("p")
-        mask = (1 << BITS) - 1 if lower is None else mask << BITS | MASK
-        lower = stored(rows.select("gram", p.alias("p")))
-    return lower.select("gram", (-F.log(F.greatest("p", F.lit(1e-12)))).cast("float").alias("cost"))
+        if n < ORDER:
+            lower = stored(rows.select("gram", p.alias("p")))
+    return rows.select("gram", "n", (-F.log(F.greatest(p, F.lit(1e-12)))).cast("float").alias("cost"))
+
+
+def frequent(model: DataFrame) -> tuple[float, GramTable]:
+    """The count from which on n-grams are among the SENT_GRAMS most frequent ones, to a quarter of its power of two, and their table."""
+    step = F.floor(F.log2("n") * 4)
+    steps = sorted(((r.step, r.n) for r in model.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, total = float("inf"), 0
+    for k, n in steps:
+        if (total := total + n) > SENT_GRAMS:
+            break
+        least = float(k)
+    found = model.filter(step >= least).select("gram", "cost").toArrow()
+    return least, GramTable(found["gram"].to_numpy(), found["cost"].to_numpy())
 
 
 def _prime(least: int) -> int:
@@ -223,15 +271,17 @@ def _prime(least: int) -> int:
     return n
 
 
-def costs_of_batches(batches: DataFrame, blocks: int) -> DataFrame:
-    """batch, block, costs binary (float32): of the batch's different n-grams whose rest by `blocks` is the block, in order.
+def costs_of_batches(batches: DataFrame, rare: DataFrame, sent: GramTable, blocks: int) -> DataFrame:
+    """batch, block, costs binary (float32): of the batch's different n-grams that `sent` lacks and whose rest by `blocks` is the block, in order.
 
-    Each batch asks for what its texts hold, block by block; a block's task looks it up in its share of the model.
+    Each batch asks for what its texts hold, block by block; a block's task looks it up in its share of the model (rare).
     """
+    shared = batches.sparkSession.sparkContext.broadcast(sent)
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, body in _bodies(rows):
             keys = _keys(body)
+            keys = keys[shared.value.lacks(keys)]
             of = keys % np.uint64(blocks)
             asked = [(k, keys[of == k]) for k in np.unique(of)]
             if asked:
@@ -253,66 +303,74 @@ def costs_of_batches(batches: DataFrame, blocks: int) -> DataFrame:
         return pa.table({"batch": asked["batch"], "block": asked["block"], "costs": pa.array(out, pa.binary())})
 
     asked = batches.mapInArrow(ask, "block long, batch long, n long, asked binary")
-    model = gram_costs(batches).withColumn("block", F.col("gram") % blocks)
+    model = rare.select("gram", "cost").withColumn("block", F.col("gram") % blocks)
     return asked.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(answer, "batch long, block long, costs binary")
 
 
 def _keys(body: bytes) -> np.ndarray:
-    """The different n-grams of ORDER characters of a packed batch, sorted."""
+    """The different n-grams of ORDER symbols of a packed batch, sorted."""
     parts = [_counted(x) for x in _slices(body)]
     return _merged(parts)[0] if parts else np.zeros(0, dtype=np.uint64)
 
 
 def mean_costs(docs: list[str], table: GramTable) -> np.ndarray:
-    """Mean of the table's shares over the n-grams of ORDER characters of each text; 0 for an empty one."""
-    s, sizes = symbols(docs)
-    if not len(s):
-        return np.zeros(len(docs))
-    cost = np.where(s > 0, table.share[table.find(grams(s, ORDER))], 0).astype(np.float64)
-    ends = np.cumsum(sizes + ORDER - 1)
-    total = np.concatenate([[0.0], np.cumsum(cost)])
-    return (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
-
-
-def log_perplexities(docs: list[str], tables: list[GramTable]) -> np.ndarray:
-    """Mean of -ln p over the characters of each text; 0 for an empty one."""
+    """Mean of the table's costs over the n-grams of ORDER symbols of each text; 0 for an empty one."""
     s, sizes = symbols(docs)
-    if not len(s):
-        return np.zeros(len(docs))
-    # The lowest order stands on an even chance of all symbols.
-    p = np.full(len(s), 1.0 / (1 << BITS), dtype=np.float32)
-    before = np.zeros(len(s), dtype=np.int32)  # place of the context in its table; that of no characters is one
-    nothing = tables[0].find(np.zeros(1, dtype=np.uint64))[0]
-    before[:] = nothing
-    for n in range(1, ORDER + 1):
-        at = tables[n].find(grams(s, n))
-        p = tables[n].share[at] + tables[n - 1].back[before] * p
-        before = np.concatenate([[len(tables[n].keys) - 1], at[:-1]]).astype(np.int32)
-    ends = np.cumsum(sizes + ORDER - 1)
-    lp = np.concatenate([[0.0], np.cumsum(np.where(s > 0, np.log(np.maximum(p, 1e-12)), 0).astype(np.float64))])
-    return -(lp[ends] - lp[ends - sizes]) / np.maximum(sizes, 1)
+    ends, total = np.cumsum(sizes + ORDER - 1), np.zeros(len(docs))
+    for lo, g in gram_windows(s):
+        hi = lo + len(g)
+        upto = np.concatenate([[0.0], np.cumsum(np.where(s[lo:hi] > 0, table.cost[table.find(g)], 0).astype(np.float64))])
+        own = np.arange(np.searchsorted(ends, lo, side="right"), min(np.searchsorted(ends, hi) + 1, len(docs)))
+        total[own] += upto[np.minimum(ends[own], hi) - lo] - upto[np.maximum(ends[own] - sizes[own], lo).clip(max=hi) - lo]
+    return total / np.maximum(sizes, 1)
 
 
 def repeated_words(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: words, and words within 3-word windows that the text holds twice or more."""
+    """Of each text: words, and words within 3-word windows that the text holds twice or more.
+
+    Windows of the same hash are compared word for word.
+    """
     w, n_words = word_hashes(docs)
     covered = np.zeros(len(w), dtype=bool)
-    doc = np.repeat(np.arange(len(docs), dtype=np.uint64), n_words)
+    ends = np.cumsum(n_words)
     if len(w) >= 3:
-        h = mix(w[:-2] + mix(w[1:-1] + mix(w[2:])))
+        doc = np.repeat(np.arange(len(docs), dtype=np.uint32), n_words)
         inside = np.flatnonzero(doc[:-2] == doc[2:])
-        key = (doc[inside] << np.uint64(44)) | (h[inside] >> np.uint64(20))
-        order = np.argsort(key, kind="stable")
+        key = mix(w[:-2] + mix(w[1:-1] + mix(w[2:])))[inside] ^ mix(doc[inside].astype(np.uint64) + np.uint64(1))
+        del w
+        order = np.argsort(key)
         key = key[order]
-        same = key[1:] == key[:-1]
-        twice = inside[order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]]
+        same = np.concatenate([[False], key[1:] == key[:-1]])[: len(key)]
+        some = same | np.append(same[1:], False)[: len(key)]
+        found, goes_on = inside[order[some]], same[some].tolist()
+        del key, order, inside
+        raw = "\n".join(docs).encode("utf-8", "surrogatepass")
+        starts = word_starts(raw)
+        begin, stop = starts[found].tolist(), np.append(starts, len(raw))[found + 3].tolist()
+        twice, run = [], []
+        for i, d, a, b, on in zip(found.tolist(), doc[found].tolist(), begin, stop, goes_on, strict=True):
+            if not on:
+                twice += _agreeing(run)
+                run = []
+            run.append(((d, *raw[a:b].split()), i))
+        twice += _agreeing(run)
+        twice = np.array(twice, dtype=np.int64)
         for k in range(3):
             covered[twice + k] = True
-    ends = np.cumsum(n_words)
     total = np.concatenate([[0], np.cumsum(covered)])
     return n_words, total[ends] - total[ends - n_words]
 
 
+def _agreeing(run: list[tuple[tuple, int]]) -> list[int]:
+    """Of windows of one hash, (text and words, number), the numbers of those whose words another one of the text has."""
+    if all(words == run[0][0] for words, _ in run):
+        return [i for _, i in run] if len(run) > 1 else []
+    of: dict[tuple, list[int]] = {}
+    for words, i in run:
+        of.setdefault(words, []).append(i)
+    return [i for same in of.values() if len(same) > 1 for i in same]
+
+
 def dup_lines(doc: str) -> int:
     seen: set[str] = set()
     n = 0
@@ -330,15 +388,20 @@ def measure(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash, lang and the statistics of each row."""
     batches = stored(packed(docs.select("doc_id", "row_hash", "lang", "text")))
     blocks = _prime(batches.count() // 8)
+    model = stored(gram_costs(batches))
+    least, sent = frequent(model)
+    shared = docs.sparkSession.sparkContext.broadcast(sent)
     names = [x.split()[0] for x in STATS.split(", ")]
 
     def run(batch: pa.Table, costs: pa.Table) -> pa.Table:
         body = batch["body"][0].as_py()
         keys = _keys(body)
-        of, cost = keys % np.uint64(blocks), np.zeros(len(keys), dtype=np.float32)
+        at = shared.value.find(keys)
+        cost, lacking = shared.value.cost[at], at == len(shared.value.keys) - 1
+        of = np.where(lacking, keys % np.uint64(blocks), np.uint64(blocks))
         for block, found in zip(costs["block"].to_pylist(), costs["costs"].to_pylist(), strict=True):
             cost[of == block] = np.frombuffer(found, dtype=np.float32)
-        table = GramTable(keys, cost, cost)
+        table = GramTable(keys, cost)
         out = []
         for part in _slices(body):
             t = texts(part)
@@ -354,7 +417,8 @@ def measure(docs: DataFrame) -> DataFrame:
             out.append(pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_hash", "lang", *names]))
         return pa.Table.from_batches(out)
 
-    costs = costs_of_batches(batches, blocks)
+    rare = model.filter(F.floor(F.log2("n") * 4) < least)
+    costs = costs_of_batches(batches, rare, sent, blocks)
     return batches.groupBy("batch").cogroup(costs.groupBy("batch")).applyInArrow(run, f"doc_id long, row_hash long, lang string, {STATS}")
 
 
@@ -376,8 +440,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """One row per row of docs: doc_id, row_hash (of the text), lang, the statistics, base_failed, low, high, kept.
 
     A null or empty text has no words and fails the base rules. Null languages are one language. A language none of
-    whose documents passes the base rules keeps none. Repeated rows are each judged. Other columns are not read.
-    An empty table gives no rows.
+    whose documents passes the base rules keeps none. Repeated rows are each judged, and counted in the model, as often as they
+    stand there; documents of equal perplexity are judged alike. Other columns are not read. An empty table gives no rows. A text of
+    any length is taken whole, in windows; a task holds it once, with about 30 bytes a word.
     """
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"coalesce(cast(`{lang_col}` as string), '') as lang", f"`{text_col}` as text", f"xxhash64(`{text_col}`) as row_hash")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -390,7 +455,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that judge() keeps."""
+    """The rows and columns of docs that judge() keeps; repeated rows, nulls and long texts as there. An empty table stays empty."""
     kept = judge(docs, id_col, text_col, lang_col).filter("kept").select(F.col("doc_id").alias("_doc_id"), F.col("row_hash").alias("_row_hash"))
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(f"`{text_col}`") == F.col("_row_hash"))
     return docs.join(kept, same, "left_semi")
