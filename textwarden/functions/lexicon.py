@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dims import ACTION_WORDS, CONTINUE, CUES, DEFAULT, EXPECTED_SCRIPTS, LABELS, LIMIT, NOT_A_STOP, REASSURANCE, SCRIPTS, STOP, STOP_WORDS, TEMPORARY, Lexicon
+from .dims import ACTION_WORDS, CONTINUE, CUES, DEFAULT, EXPECTED_SCRIPTS, LABEL, LABELS, LIMIT, NOT_A_STOP, REASSURANCE, SCRIPTS, STOP, STOP_WORDS, TEMPORARY, Lexicon
 from .text import _all, _map, _text, digits_in
 
 WORD = r"[a-zA-ZÀ-ÿ]+"
@@ -15,7 +15,6 @@ DOSE = r"(?i)\b\d+(?:[.,/]\d+)?\s*(?:mg|mcg|g|units?|puffs?|tablets?|capsules?|m
 WARNING = r"(?i)\b(?:911|999|112|emergency|return to|go to the|call (?:your|the)|get help|urgent)"
 FOLLOW_UP = r"(?i)\b(?:follow-?up|appointment|clinic|class|lab|blood test|panel|intake|physiotherapy)\b"
 PLACEHOLDER = r"\[(?:PATIENT|CLINICIAN|CONTACT|MRN|ID|DATE_OF_BIRTH|DATE|EMAIL|PHONE|ADDRESS)_\d+\]"
-_LABEL = r"^\W*(" + "|".join(w for words in LABELS.values() for w in words) + r")\b"
 
 
 def drugs_in(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
@@ -54,13 +53,13 @@ def polarity_in(text: Column, lang: str) -> Column:
     if not cues:
         return F.struct(no.alias("continue"), no.alias("stop"), no.alias("temporary"))
     t = F.lower(_text(text))
-    bare = F.regexp_replace(t, f"(?iU){cues['continue']}", " ")
-    return F.struct(_any(t, [cues["continue"]]).alias("continue"), _any(bare, [cues["stop"]]).alias("stop"), no.alias("temporary"))
+    bare = reduce(lambda x, p: F.regexp_replace(x, f"(?iU){p}", " "), cues["continue"], t)
+    return F.struct(_any(t, cues["continue"]).alias("continue"), _any(bare, cues["stop"]).alias("stop"), no.alias("temporary"))
 
 
 def has_cue(text: Column, lang: str, cue: str) -> Column:
-    pattern = CUES.get(lang, {}).get(cue)
-    return _any(_text(text), [pattern]) if pattern else F.lit(False)
+    patterns = CUES.get(lang, {}).get(cue)
+    return _any(_text(text), patterns) if patterns else F.lit(False)
 
 
 def reassurance(text: Column) -> Column:
@@ -74,17 +73,16 @@ def states_limit(text: Column) -> Column:
 
 def text_action(quote: Column) -> Column:
     """What a quote says to do: its capital label, else 'continue' if it reads so, else the first family of words found."""
-    label = F.regexp_extract(_text(quote), _LABEL, 1)
-    by_label = {word: action for action, words in LABELS.items() for word in words}
+    label = F.regexp_extract(_text(quote), LABEL, 1)
     t = F.lower(_text(quote))
     out = F.lit(None).cast("string")
     for action, words in reversed(ACTION_WORDS.items()):
         out = F.when(t.rlike(r"\b(?:" + "|".join(words) + r")\b"), F.lit(action)).otherwise(out)
-    return F.when(label != "", F.element_at(_map(by_label), label)).when(polarity(t)["continue"], F.lit("continue")).otherwise(out)
+    return F.when(label != "", F.element_at(_map(LABELS), label)).when(polarity(t)["continue"], F.lit("continue")).otherwise(out)
 
 
 def is_labelled(quote: Column) -> Column:
-    return _text(quote).rlike(_LABEL)
+    return _text(quote).rlike(LABEL)
 
 
 def clause_for(text: Column, drug: Column, lexicon: Lexicon = DEFAULT) -> Column:

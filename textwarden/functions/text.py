@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dims import AM, MONTHS, PM, UNITS, WORD_NUMBERS
+from .dims import TIME as _TIME
 
 NUMBER = r"(?<![0-9A-Za-z.])\d+(?:[.,]\d+)?"
 THOUSANDS = r"(?<=\d),(?=\d{3}\b)"
@@ -193,9 +194,7 @@ def spell_dates(text: Column) -> Column:
     return F.aggregate(longest, _text(text), spelled)
 
 
-_PERIOD_WORD = r"[ap]\.?\s?m\b|de la (?:mañana|tarde|noche)|del (?:mattino|pomeriggio)|di (?:mattina|sera)|della sera|du (?:matin|soir)|de l'apr[èe]s-midi"
-_TIME_FORMS = [r"(\d{1,2})\s?(?::|h)\s?(\d{2})(?![0-9])", r"(\d{1,2})\s?[点時](?:\s?(\d{1,2})\s?分)?", r"(\d{1,2})\s?giờ(?:\s?(\d{2}))?(?=\s?(?:sáng|chiều|tối))", rf"(\d{{1,2}})(?=\s?(?:{_PERIOD_WORD}))()"]
-TIME = r"(?iu)(?<![0-9/.,])(?:" + "|".join(_TIME_FORMS) + ")"
+TIME = "(?iu)" + _TIME
 
 
 def _getter(array: Column, shift: int) -> Callable[[Column], Column]:
@@ -210,7 +209,7 @@ def times_in(text: Column, lang: str = "en") -> Column:
     t = _text(text)
     # What stands between the matches shows what is around each.
     matches, between = _all(t, TIME), F.split(t, TIME, -1)
-    groups = [_all(t, TIME, g) for g in range(1, 9)]
+    groups = [_all(t, TIME, g) for g in range(1, 8)]
     places = F.sequence(F.lit(0), F.greatest(F.size(matches) - 1, F.lit(0)))
     at = lambda array, shift: F.transform(places, _getter(array, shift))
     zipped = _zipped(m=matches, **{f"g{i}": g for i, g in enumerate(groups, 1)}, before=at(between, 0), after=at(between, 1), next=at(matches, 1))
