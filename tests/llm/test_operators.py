@@ -29,8 +29,7 @@ def digest(x):
 
 
 def ids_of(text):
-    t = Tokenizer.from_file(queries.WORD_BPE)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(queries.WORD_BPE)  # as the library has it
     return [*t.encode(text or "", add_special_tokens=False).ids, queries.END_ID]
 
 
@@ -187,6 +186,9 @@ def test_token_container(spark, docs, rows):
         at += r[1]
     assert [r[0] for r in got] == sorted((r[0] for r in rows), key=lambda x: -1 if x is None else x)
     assert sorted(((r[0], r[2]) for r in got), key=repr) == sorted(((r[0], crc(ids_of(r[1]))) for r in rows), key=repr)
+    # By the index, without the others.
+    some = tokens.read_documents(spark, path, [4, 6, 300, 304, 999]).collect()
+    assert sorted((r.doc_id, r.ids) for r in some) == sorted((r[0], ids_of(r[1])) for r in rows if r[0] in (4, 6, 300, 304))
 
 
 def test_packing(docs, rows):
@@ -208,7 +210,47 @@ def test_packing(docs, rows):
             assert p.offset == at
             at += p.length
         assert at <= packing.CAPACITY
-    assert sum(packing.cut(10_000)) == 10_000 and packing.cut(0) == [] and packing.count_of(2048) == 2
+    for n in [*range(0, 9000, 7), 4095, 4096, 4097]:
+        pieces = packing.cut(n)
+        assert sum(pieces) == n and len(pieces) <= n // 4096 + 8
+        # Whole in its class, or the full length of one; rests are short.
+        assert all(x < packing.SMALLEST or (4096 // x) * x >= 0.97 * 4096 for x in pieces)
+    assert packing.cut(4095) == [4095] and packing.cut(2048) == [2048] and packing.cut(1360) == [1360] and packing.count_of(2048) == 2
+
+
+def test_packing_pads_little(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(["word"] * int(n))) for i, n in enumerate(rng.lognormal(6, 1, 3000).astype(int) % 9000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), queries.WORD_BPE).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("length").alias("pieces")).collect()
+    assert sum(r.n for r in got) == sum(len(t.split()) + 1 for _, t in rows)
+    assert sum(4096 - r.n for r in got) < 0.03 * 4096 * len(got)
+
+
+def test_ids_are_the_librarys():
+    from textwarden.llm.wordids import word_encoder
+
+    t = Tokenizer.from_file(queries.WORD_BPE)
+    texts = ["<|endoftext|> a", "a<|startoftext|>hi", "it's THE I'LL 'S", "T\u0308 T\u0331 \u00c5\u030a A\u030a", "\u00a0a\u2003b", "ΣΑΣ ÀÉ straße İ", "日本語 テキスト", "x" * 70_000, "", " \n", "a\x1cb 1234 ,.;'s", "<|endoftext", "é" * 50]
+    encoder = word_encoder(queries.WORD_BPE, 2)
+    ids, counts = encoder.encode(texts)
+    assert counts.tolist() == [len(t.encode(x, add_special_tokens=False).ids) + 1 for x in texts]
+    assert ids.tolist() == [i for x in texts for i in [*t.encode(x, add_special_tokens=False).ids, 2]]
+    # Another make of tokenizer goes through the library.
+    other = word_encoder(public_tokenizers.path("byte_bpe_50k.json"), 7)
+    b = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, counts = other.encode(texts)
+    assert not other.by_words and ids.tolist() == [i for x in texts for i in [*b.encode(x, add_special_tokens=False).ids, 7]]
+
+
+def test_caches_start_anew(monkeypatch, rows):
+    from textwarden.llm import wordids
+
+    encoder, table = wordids.WordEncoder(queries.WORD_BPE, 2), bpe.byte_bpe(queries.BYTE_BPE, public_tokenizers.PATTERN)
+    want = [encoder.encode([r[1] or ""])[0].tolist() for r in rows], [table.encode([r[1] or ""])[0].tolist() for r in rows]
+    monkeypatch.setattr(wordids, "CACHE_BYTES", 1000)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1000)
+    assert want == ([encoder.encode([r[1] or ""])[0].tolist() for r in rows], [table.encode([r[1] or ""])[0].tolist() for r in rows])
+    assert len(encoder.words) < 2000 and table.held < 1_000_000
 
 
 def test_byte_bpe(docs, rows):

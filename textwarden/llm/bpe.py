@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding (operator 10).
 
 Two tiers. A minimal perfect hash over the vocabulary resolves pre-tokens that are tokens as they stand. The others
-are merged by rank with a heap over linked bytes. Tasks keep the ids of the words they have met (a bounded cache).
+are merged by rank with a heap over linked bytes. Tasks keep the ids of the words they have met (caches bounded in bytes).
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 
 from .shared import chunks, ranges, texts
 
-CACHE_WORDS = 400_000
+#: Bytes that a task's caches may take; beyond it they start anew. ENTRY_BYTES: of an entry, besides its text and ids.
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 200
 #: Keys a bucket of the perfect hash has on average.
 BUCKET = 3
 
@@ -110,6 +111,7 @@ class _Chunks(dict):
             flat.extend(self.bpe.piece(token.encode("utf-8", "replace")))
         start.append(at)
         length.append(len(flat) - at)
+        self.bpe.held += ENTRY_BYTES + len(text) + 4 * length[-1]
         code = self[text] = len(start) - 1
         return code
 
@@ -132,6 +134,7 @@ class ByteBpe:
 
     def forget(self) -> None:
         self.pieces: dict[bytes, list[int]] = {}
+        self.held = 0
         self.arrays = (array("i"), array("q"), array("q"))
         self.first, self.later = _Chunks(self, "", self.arrays), _Chunks(self, " ", self.arrays)
 
@@ -139,6 +142,7 @@ class ByteBpe:
         if (ids := self.pieces.get(b)) is None:
             at = self.whole.find(b)
             ids = self.pieces[b] = [self.ids[at]] if at >= 0 else merged(b, self.ranks)
+            self.held += ENTRY_BYTES + len(b) + 8 * len(ids)
         return ids
 
     def stretches(self, text: str) -> list[int]:
@@ -157,13 +161,13 @@ class ByteBpe:
 
     def encode(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order and the number of ids of each text."""
-        if len(self.first) + len(self.later) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.forget()
         codes, ends = array("q"), array("q")
         for doc in docs:
             codes.extend(self.stretches(doc))
             ends.append(len(codes))
-        flat, start, length = (np.array(a, dtype=t) for a, t in zip(self.arrays, (np.int32, np.int64, np.int64), strict=True))
+        flat, start, length = (np.frombuffer(a, dtype=t) if len(a) else np.zeros(0, dtype=t) for a, t in zip(self.arrays, (np.int32, np.int64, np.int64), strict=True))
         code = np.array(codes, dtype=np.int64)
         lengths = length[code]
         total = np.concatenate([[0], np.cumsum(lengths)])

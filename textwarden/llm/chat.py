@@ -56,32 +56,43 @@ def turns_of(conversation: str) -> list[tuple[str, str]]:
     return found
 
 
+def unique(messages: DataFrame) -> DataFrame:
+    """tree, node, parent, role, text, score: one row for each node of a tree.
+
+    Of rows that name the same node the first stays, in the order of parent, role, text and score (null first). A null tree is
+    the one without a name; messages without a node are each their own, equal ones are one.
+    """
+    node = F.coalesce(F.col("node").cast("string"), F.concat(F.lit("\0"), F.md5(F.to_json(F.struct("parent", "role", "text", "score")))))
+    named = messages.select(F.coalesce(F.col("tree").cast("string"), F.lit("")).alias("tree"), node.alias("node"), F.col("parent").cast("string").alias("parent"), "role", "text", F.col("score").cast("double").alias("score"))
+    return named.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "node", "m.*")
+
+
 def linked(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """messages: tree, node (unique), parent (node or null), score. Returns (tree, node, depth, total, leaf) for messages
-    with a root, and for each round the pointers (node, up).
+    """messages: tree, node (unique in its tree), parent (node of the tree, or null), score. Returns (tree, node, depth, total,
+    leaf) for messages with a root, and for each round the pointers (tree, node, up).
 
-    A parent that isn't there makes a root. Messages on a loop, or that hang on one, have no root and are left out: their
+    A parent that isn't in the tree makes a root. Messages on a loop, or that hang on one, have no root and are left out: their
     pointers are still there when they reach over as many steps as there are messages.
     """
-    known = messages.select(F.col("node").alias("parent_node"), F.lit(True).alias("known"))
-    base = messages.join(known, F.col("parent") == F.col("parent_node"), "left")
-    base = base.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"))
-    state = stored(base)
+    known = messages.select(F.col("tree").alias("known_tree"), F.col("node").alias("known"))
+    base = messages.join(known, (F.col("tree") == F.col("known_tree")) & (F.col("parent") == F.col("known")), "left")
+    base = stored(base.select("tree", "node", F.col("known").alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total")))
+    state = base
     jumps: list[DataFrame] = []
     n = state.count()
     while 1 << len(jumps) <= n and not (on := state.filter("up is not null")).isEmpty():
-        jumps.append(on.select("node", "up"))
-        above = state.select(F.col("node").alias("a_node"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"), F.col("total").alias("a_total"))
+        jumps.append(on.select("tree", "node", "up"))
+        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"), F.col("total").alias("a_total"))
         # Only messages that are still on their way are joined; depth and total cover the message and those up to, not with, `up`.
-        moved = on.join(above, F.col("up") == F.col("a_node")).select("tree", "node", F.col("a_up").alias("up"), (F.col("depth") + F.col("a_depth")).alias("depth"), (F.col("total") + F.col("a_total")).alias("total"))
+        moved = on.join(above, ["tree", "up"]).select("tree", "node", F.col("a_up").alias("up"), (F.col("depth") + F.col("a_depth")).alias("depth"), (F.col("total") + F.col("a_total")).alias("total"))
         state = stored(state.filter("up is null").unionByName(moved))
-    parents = base.filter("up is not null").select(F.col("up").alias("p_node")).distinct()
-    rooted = state.filter("up is null").join(parents, F.col("node") == F.col("p_node"), "left")
-    return rooted.select("tree", "node", "depth", "total", F.col("p_node").isNull().alias("leaf")), jumps
+    parents = base.filter("up is not null").select("tree", F.col("up").alias("node"), F.lit(False).alias("leaf")).distinct()
+    rooted = state.filter("up is null").join(parents, ["tree", "node"], "left")
+    return rooted.select("tree", "node", "depth", "total", F.coalesce("leaf", F.lit(True)).alias("leaf")), jumps
 
 
 def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
-    """tree, path (1 is best), node, depth: the messages of each tree's `paths` best leaves.
+    """tree, path (1 is best), node, depth: the messages of each tree's `paths` best leaves; messages as unique() has them.
 
     Leaves rank by mean score of their path, then length (longer first), then node.
     """
@@ -91,9 +102,9 @@ def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     marked = rooted.filter("leaf").withColumn("path", rank).filter(F.col("path") <= paths).select("tree", "path", "node")
     for jump in reversed(jumps):
         both = F.explode(F.array_compact(F.array("node", "up")))
-        marked = marked.join(jump, "node", "left").select("tree", "path", both.alias("node"))
+        marked = marked.join(jump, ["tree", "node"], "left").select("tree", "path", both.alias("node"))
     # A message is reached by one sum of powers of two, so no path has it twice.
-    return marked.join(rooted.select("node", "depth"), "node")
+    return marked.join(rooted.select("tree", "node", "depth"), ["tree", "node"])
 
 
 def format_trees(messages: DataFrame, paths: int = 1) -> DataFrame:
@@ -101,11 +112,13 @@ def format_trees(messages: DataFrame, paths: int = 1) -> DataFrame:
     spans array<struct<start, end>> (what is learnt, in code points of conversation).
 
     A conversation is a run of `<|im_start|>role\\ntext<|im_end|>\\n`. Control strings inside texts and roles are escaped; turns_of()
-    reads them back. Null roles and texts are empty. Nodes must be unique. Trees without a leaf (loops) give no row.
-    An empty table gives none. Other columns are not read. One path, however long, is one row and so one task's.
+    reads them back. Null roles and texts are empty. Nodes are of their tree; repeated nodes, null nodes and trees as in unique().
+    Trees without a leaf (loops) give no row. An empty table gives none. Other columns are not read. One path, however long, is one row
+    and so one task's, as is its longest text.
     """
+    messages = stored(unique(messages))
     chosen = best_paths(messages.select("tree", "node", "parent", "score"), paths)
-    turns = chosen.join(messages.select("node", "role", "text"), "node")
+    turns = chosen.join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
     turns = turns.select("tree", "path", F.struct("depth", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("turn"))
     listed = turns.groupBy("tree", "path").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
 
@@ -121,14 +134,14 @@ def format_trees(messages: DataFrame, paths: int = 1) -> DataFrame:
 def from_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Messages of conversations that are lists of turns: each turn answers the one before it.
 
-    Turns that share a number stand in the order of role and text; a null number comes first. Null conversations are one.
+    Turns that share a number stand in the order of role and text; a null number comes first. Null conversations are one. A
+    repeated turn stays repeated. Other columns are not read. An empty table gives no messages. Texts are not looked into.
     """
     rows = turns.select(F.col(f"`{conv_col}`").cast("string").alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").alias("role"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.withColumn("tree", F.coalesce("conv", F.lit("null")))
     place = F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text"))
     rows = rows.withColumn("place", place)
-    node = lambda at: F.concat_ws("#", "tree", at.cast("string"))
-    return rows.select("tree", node(F.col("place")).alias("node"), F.when(F.col("place") > 1, node(F.col("place") - 1)).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    return rows.select("tree", F.col("place").cast("string").alias("node"), F.when(F.col("place") > 1, (F.col("place") - 1).cast("string")).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def digests(conversations: DataFrame) -> DataFrame:

@@ -8,14 +8,16 @@ each with the bytes it covers; containment is the share of the smaller document'
 from __future__ import annotations
 
 import hashlib
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import chunks, mix, texts
@@ -24,32 +26,43 @@ from .shared import chunks, mix, texts
 SMALLEST, NORMAL, LARGEST = 16, 48, 192
 #: Zero bits that an end needs before and after NORMAL bytes.
 STRICT_BITS, LOOSE_BITS = 8, 4
-#: Bytes that a gear hash of 32 bits sees.
-WINDOW = 32
+#: Bytes that a gear hash of 32 bits sees, and that are hashed at one time.
+WINDOW, HASHED_BYTES = 32, 4 << 20
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-#: Ranges of ids for each shuffle partition, so that partitions come out even.
-RANGES_A_PARTITION = 4
+#: Bytes of text of a range of ids, which is a task, and sampled rows for each bound between ranges.
+RANGE_BYTES, SAMPLED_ROWS = 8 << 20, 64
+
+
+def cut_places(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where an end may lie, LOOSE_BITS and STRICT_BITS: in the texts joined with WINDOW zero bytes after each, in windows."""
+    joined = b"".join(r + bytes(WINDOW) for r in raws)
+    sizes = np.fromiter(map(len, raws), dtype=np.int64, count=len(raws))
+    gaps = np.cumsum(sizes + WINDOW) - WINDOW
+    loose, strict = [], []
+    for lo in range(0, len(joined), HASHED_BYTES):
+        begin, stop = max(0, lo - WINDOW), min(lo + HASHED_BYTES, len(joined))
+        h = GEAR[np.frombuffer(joined, dtype=np.uint8, count=stop - begin, offset=begin)]
+        for gap in gaps[(gaps < stop) & (gaps + WINDOW > begin)].tolist():
+            h[max(0, gap - begin) : gap - begin + WINDOW] = 0
+        k = 1
+        while k < WINDOW:
+            h[k:] += h[:-k] << np.uint32(k)
+            k *= 2
+        h = h[lo - begin :]
+        at = np.flatnonzero(h >> np.uint32(32 - LOOSE_BITS) == 0)
+        strict.append(at[h[at] >> np.uint32(32 - STRICT_BITS) == 0] + lo + 1)
+        loose.append(at + lo + 1)
+    none = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(loose or none), np.concatenate(strict or none)
 
 
 def chunk_ends(raws: list[bytes]) -> list[list[int]]:
     """Of each text, where its chunks end."""
-    buf = np.frombuffer(b"".join(r + bytes(WINDOW) for r in raws), dtype=np.uint8)
-    h = GEAR[buf]
-    sizes = np.fromiter(map(len, raws), dtype=np.int64, count=len(raws))
-    starts = np.cumsum(sizes + WINDOW) - sizes - WINDOW
-    gaps = (np.repeat(starts + sizes, WINDOW).reshape(-1, WINDOW) + np.arange(WINDOW)).ravel()
-    h[gaps] = 0
-    k = 1
-    while k < WINDOW:
-        h[k:] += h[:-k] << np.uint32(k)
-        k *= 2
-    loose = np.flatnonzero(h >> np.uint32(32 - LOOSE_BITS) == 0)
-    strict = loose[h[loose] >> np.uint32(32 - STRICT_BITS) == 0]
-    loose, strict = (loose + 1).tolist(), (strict + 1).tolist()
-    out = []
+    loose, strict = (array("q", x.astype(np.int64).tobytes()) for x in cut_places(raws))
+    out, start = [], 0
     n_strict, n_loose = len(strict), len(loose)
-    for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-        stop, at, ends = start + size, start, []
+    for raw in raws:
+        stop, at, ends = start + len(raw), start, []
         while at < stop:
             i = bisect_left(strict, at + SMALLEST)
             if i < n_strict and strict[i] < at + NORMAL:
@@ -60,6 +73,7 @@ def chunk_ends(raws: list[bytes]) -> list[list[int]]:
             at = min(at, stop)
             ends.append(at - start)
         out.append(ends)
+        start = stop + WINDOW
     return out
 
 
@@ -91,43 +105,51 @@ def containment(a: dict[str, int], b: dict[str, int]) -> float:
     return min(1.0, sum(min(n, b[d]) for d, n in a.items() if d in b) / total)
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many bounds are at or below key, by a coarse look and a fine one."""
-    if not bounds:
-        return F.lit(0)
-    width = max(1, int(len(bounds) ** 0.5))
-    array = F.array(*map(F.lit, bounds))
-    coarse = F.size(F.filter(F.array(*map(F.lit, bounds[::width])), lambda b: b <= key))
-    fine = F.size(F.filter(F.slice(array, (F.col("_coarse") - 1) * width + 1, width), lambda b: b <= key))
-    return coarse, F.when(F.col("_coarse") == 0, 0).otherwise((F.col("_coarse") - 1) * width + fine)
+def range_of(key: np.ndarray, hash_: np.ndarray, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """How many bounds (keys, hashes), sorted, are at or below each (key, hash)."""
+    low, high = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
+    for a in np.unique(low[low < high]):  # keys that are bounds
+        rows = np.flatnonzero((low == a) & (high > a))
+        low[rows] = a + np.searchsorted(hashes[a : high[rows[0]]], hash_[rows], side="right")
+    return low
+
+
+def _bounds(keyed: DataFrame, n_rows: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds (key, hash) of n ranges of about as many rows, from SAMPLED_ROWS rows for each: all that reaches the driver."""
+    span = 1 << 40
+    limit = int(min(1.0, SAMPLED_ROWS * n / max(1, n_rows)) * span)
+    found = keyed.select("key", "hash").filter(F.pmod(F.xxhash64("key", "hash"), F.lit(span)) < limit).distinct().toArrow()
+    keys, hashes = found["key"].to_numpy(), found["hash"].to_numpy()
+    order = np.lexsort((hashes, keys))[np.linspace(0, len(keys), n, endpoint=False).astype(np.int64)[1:]] if len(keys) else []
+    return keys[order], hashes[order]
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (bucket, halo, doc_id, text), so partitioned and sorted that each document's next one (falling id; after the
     last, the first) is the next row of its bucket; halo rows only serve as a next one.
 
-    Each range of ids is a bucket and gets the first document of the range that follows. Null ids come last; rows that share
-    an id stand in the order of a hash of their texts. Only bounds and heads of ranges, a few for each partition, reach
-    the driver.
+    A bucket is a range of ids, and within an id of text hashes, so that many rows of one id or of none are split. It is a
+    partition, of about RANGE_BYTES, and gets the first document of the range that follows. Null ids come last; rows that share
+    an id stand in the order of a hash of their texts. Only bounds and heads of ranges reach the driver.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions")) * RANGES_A_PARTITION
-    keyed = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"coalesce(`{text_col}`, '') as text").withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    bounds = sorted({int(x) for x in keyed.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n)})
-    if bounds:
-        coarse, bucket = _bucket(F.col("key"), bounds)
-        keyed = keyed.withColumn("_coarse", coarse).withColumn("bucket", bucket).drop("_coarse")
-    else:
-        keyed = keyed.withColumn("bucket", F.lit(0))
-    keyed = keyed.withColumn("hash", F.xxhash64("text"))
-    heads = sorted((r.bucket, r.m.key, r.m.hash) for r in keyed.groupBy("bucket").agg(F.max(F.struct("key", "hash")).alias("m")).collect())
-    before = [heads[i - 1] for i in range(len(heads))]
-    halo = spark.createDataFrame([(h[1], h[2], b[0]) for h, b in zip(before, heads, strict=True)], "key long, hash long, to long")
-    rows = keyed.join(F.broadcast(halo), ["key", "hash"], "left")
-    own = F.struct(F.col("bucket").cast("long").alias("bucket"), F.lit(False).alias("halo"))
+    keyed = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"coalesce(`{text_col}`, '') as text").withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("hash", F.xxhash64("text"))
+    size = keyed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).head()
+    n = 1 + size.bytes // RANGE_BYTES
+    shared = spark.sparkContext.broadcast(_bounds(keyed, size.rows, n))
+
+    @F.pandas_udf("int")
+    def bucket(key: pd.Series, hash_: pd.Series) -> pd.Series:
+        return pd.Series(range_of(key.to_numpy(), hash_.to_numpy(), *shared.value).astype(np.int32))
+
+    ids = keyed.select("key", "hash").withColumn("bucket", bucket("key", "hash"))
+    heads = sorted((r.bucket, r.m.key, r.m.hash) for r in ids.groupBy("bucket").agg(F.max(F.struct("key", "hash")).alias("m")).collect())
+    halo = spark.createDataFrame([(h[1], h[2], heads[i - 1][0]) for i, h in enumerate(heads)], "key long, hash long, to int")
+    rows = keyed.withColumn("bucket", bucket("key", "hash")).join(F.broadcast(halo), ["key", "hash"], "left")
+    own = F.struct(F.col("bucket"), F.lit(False).alias("halo"))
     rows = rows.withColumn("place", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("bucket"), F.lit(True).alias("halo"))))))
     rows = rows.select("place.bucket", "place.halo", "doc_id", "text", "key", "hash")
-    parted = rows.repartition(n // RANGES_A_PARTITION, "bucket").sortWithinPartitions("bucket", "halo", F.desc("key"), F.desc("hash"))
+    parted = rows.repartitionById(n, "bucket").sortWithinPartitions("bucket", "halo", F.desc("key"), F.desc("hash"))
     return parted.select("bucket", "halo", "doc_id", "text")
 
 
@@ -143,9 +165,9 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each row: the fingerprints of its text and edited text, and how like they and the next document's are.
 
-    A null text is empty; empty texts have empty fingerprints. Repeated rows are neighbours and compared as such. A table of
-    one row is its own next. An empty table gives no rows. Other columns are not read. A text over the chunk size
-    of the task is held whole, with its next one.
+    A null text is empty; empty texts have empty fingerprints. Repeated rows are neighbours and compared as such; copies of one row
+    (same id and text) go to one task. A table of one row is its own next. An empty table gives no rows. Other columns are not
+    read. A text of any length is held whole, with its next one: chunks are found in windows, a text's chunks take 130 bytes each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

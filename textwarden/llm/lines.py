@@ -13,8 +13,8 @@ from .shared import stored
 
 #: A line goes from every document when so many sites show it.
 MIN_SITES = 5
-#: Shorter lines (code points, trimmed) are no boilerplate: common short sentences would go with them.
-MIN_CHARS = 20
+#: Code points that a line has at least, trimmed: lines of blanks alone stay.
+MIN_CHARS = 1
 #: log2 of the registers of a sketch, and how near an estimate is counted again: a share of the threshold (over six
 #: standard errors of the sketch) and sites.
 SKETCH_LG_K, NEAR_SHARE, NEAR_SITES = 12, 0.1, 2
@@ -43,14 +43,15 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Lines are split at \\n and compared with ASCII blanks cut from their ends; the lines that stay keep theirs. A null
     text stays null (no lines); an empty one has one, empty, line. A null site counts for no line. Repeated rows stay
-    repeated; rows that share an id are told apart by their texts. An empty table gives no rows. Columns of docs named
-    n_lines or n_removed are replaced. A line over 2^31 bytes is Spark's limit of a string.
+    repeated; rows that share an id are told apart by their texts. Lines shown by equally many sites are judged alike. An empty table
+    gives no rows. Columns of docs named n_lines or n_removed are replaced. A text of any length is split whole in its task.
     """
     text = F.col(f"`{text_col}`")
     keyed = docs.select(F.col(f"`{id_col}`").alias("row_id"), F.xxhash64(text).alias("row_hash"), F.col(f"`{site_col}`").cast("string").alias("site"), text.alias("text"))
     lines = keyed.select("row_id", "row_hash", "site", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.select("row_id", "row_hash", "site", "pos", _trimmed(F.col("line")).alias("line")).filter(F.char_length("line") >= min_chars)
-    lines = lines.select("row_id", "row_hash", "site", "pos", F.xxhash64("line").alias("line_hash"))
+    # 128 bits, of two seeds, so that no two lines of any corpus share a hash.
+    lines = lines.select("row_id", "row_hash", "site", "pos", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("line_hash"))
     # What is joined on the line's hash is written first: then Spark can split the rows of a line that is everywhere.
     # Only lines with several occurrences on more than one site can spread; these sums are exact and keep no strings.
     site_hash = F.when(F.col("site").isNotNull(), F.xxhash64("site"))

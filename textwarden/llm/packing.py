@@ -2,9 +2,9 @@
 
 A piece of length L belongs to the reciprocal-capacity class k = floor(capacity / L): k of them always fit one
 bin. Every bin of a class takes that fixed number of pieces, so each task fills its own bins without asking others,
-and the job has no shuffle. Documents are cut where cutting is free of waste: full sequences first, then halves,
-quarters, ... of the capacity down to SMALLEST, whose classes fill bins exactly; only the rest (< SMALLEST) leaves
-padding. At its end a task puts the pieces of its unfinished bins together, largest first.
+and the job has no shuffle. A document stays whole where k of its length fill a bin up to WASTE of it; else it is cut into a piece
+of the next class's full length, floor(capacity / (k + 1)), of which k + 1 fill a bin, and a rest that is treated alike. Rests
+below SMALLEST aren't cut. At its end a task puts the pieces of its unfinished bins together, largest first.
 """
 
 from __future__ import annotations
@@ -20,25 +20,26 @@ from .shared import chunks, texts
 from .wordids import word_encoder
 
 CAPACITY = 4096
-#: The smallest share of the capacity that a document is cut to; what is shorter stays one piece.
+#: What is shorter stays one piece.
 SMALLEST = 256
+#: Share of a bin that whole documents of one class may leave empty.
+WASTE = 0.03
 #: Fixed documents a bin of the classes of short rests: class k takes lengths up to capacity / k.
 REST_COUNTS = (16, 18, 20, 22, 24, 28, 32, 40, 48, 64, 96, 128, 256, 512, 1024, 4096)
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def cut(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int]:
+def cut(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST, waste: float = WASTE) -> list[int]:
     """Lengths of the pieces of a document of n ids."""
     out = [capacity] * (n // capacity)
     n %= capacity
-    part = capacity // 2
-    while part >= smallest:
-        if n >= part:
-            out.append(part)
-            n -= part
-        part //= 2
-    return out + [n] * (n > 0)
+    while n:
+        k = capacity // n
+        piece = n if n < smallest or k * n >= (1 - waste) * capacity else capacity // (k + 1)
+        out.append(piece)
+        n -= piece
+    return out
 
 
 def count_of(length: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> int:
@@ -86,8 +87,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "d
     doc_tokens, sequence_id, offset (gapless from 0 in its sequence). A sequence is used up to `capacity` ids.
 
     A null or empty text is the end id alone. Repeated rows are packed once each, also where they share an id; a null
-    id stays null. Other columns are not read. An empty table gives no rows. A text of any length is encoded whole,
-    and only its task holds it. sequence_id holds the task's number in its upper bits, so a task that runs again after
+    id stays null. Pieces of equal length go in the order they are read. Other columns are not read. An empty table gives no rows. A
+    text of any length is encoded whole, and only its task holds it. sequence_id holds the task's number in its upper bits, so a task that runs again after
     a lost executor gives the same rows as long as its input is read in the same order (files are).
     """
 

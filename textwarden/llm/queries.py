@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, fingerprints, lines, neardup, packing, quality, secrets, tokens, toxicity
-from .shared import shared_folder, stored, table
+from .shared import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -32,7 +32,7 @@ def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.digests(chat.format_trees(stored(chat.from_turns(turns))))
+    return chat.digests(chat.format_trees(chat.from_turns(turns)))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,9 @@ KINDS = {
     "access": (r"(AKIA[A-Z0-9]+)", 1, 20),
     "hex": (r"([0-9a-f]{24,})", 1, 24),
 }
-#: Tokens with a digit that can be a known value: from a token's start on, up to its end.
-BARE, BARE_CHARS = r"((?<![A-Za-z0-9+/_.=-])[A-Za-z+/_.=-]*+[0-9][A-Za-z0-9+/_.=-]*+)", 12
+#: Tokens of so many characters with a digit that can be a known value: from a token's start on, up to its end.
+BARE_CHARS = 12
+BARE = r"((?<![A-Za-z0-9+/_.=-])(?=[A-Za-z0-9+/_.=-]{12})[A-Za-z+/_.=-]*+[0-9][A-Za-z0-9+/_.=-]*+)"
 ORDER = ["assign", "access", "hex", "known"]
 #: A value is an example if so many owners show it, or two owners and so many repositories.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
@@ -69,13 +70,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
 
     Spans of the kinds assign, access and hex are all there, examples or not; `known` spans are bare tokens whose value
     is assigned elsewhere, is live-looking, and lies outside the other spans. A null text, like an empty one, has none. Repeated rows
-    each have theirs; rows that share an id are told apart by their texts. Null owners and repositories don't count.
-    An empty table gives no rows. A column named secrets is replaced.
+    each have theirs; rows that share an id are told apart by their texts. Spans that begin at one place go by kind. Null owners and
+    repositories don't count; a row's repository and owner are columns of the caller's choice. An empty table gives no rows. A column named
+    secrets is replaced. A text of any length is scanned whole in its task, by Spark's own patterns.
     """
     found = candidates(docs, id_col, text_col, repository_col, owner_col).withColumn("value_hash", F.sha2(F.col("value").cast("binary"), 256)).drop("value")
     # Both sides are written first: then Spark can split the rows of a value that is everywhere.
     found = stored(found)
-    owned = stored(ownership(found.filter("kind <> 'known'")).withColumnRenamed("value_hash", "owned_hash"))
+    # Where a value stands bare counts as well, of values that some pattern has found.
+    candidate = stored(found.filter("kind <> 'known'").select("value_hash").distinct())
+    owned = stored(ownership(found.join(candidate, "value_hash", "left_semi")).withColumnRenamed("value_hash", "owned_hash"))
     judged = found.join(owned, F.col("value_hash") == F.col("owned_hash"), "left").filter((F.col("kind") != "known") | (F.col("assigned") & F.col("live")))
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("kind")).cast("int")
     spans = judged.select("row_id", "row_hash", F.struct(F.col("start"), rank.alias("rank"), F.col("end"), F.col("kind"), F.col("live")).alias("s"))
@@ -88,7 +92,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     by_doc = spans.groupBy("row_id", "row_hash").agg(F.sort_array(F.collect_set("s")).alias("secrets"))
     by_doc = by_doc.select(F.col("row_id").alias("_row_id"), F.col("row_hash").alias("_row_hash"), "secrets")
     base_docs = docs.drop("secrets")
-    joined = base_docs.join(by_doc, F.col(f"`{id_col}`").eqNullSafe(F.col("_row_id")) & (F.xxhash64(f"`{text_col}`") == F.col("_row_hash")), "left")
+    # The hash is taken before the join, which then needs no text where the caller needs none.
+    joined = base_docs.withColumn("_own_hash", F.xxhash64(f"`{text_col}`")).join(by_doc, F.col(f"`{id_col}`").eqNullSafe(F.col("_row_id")) & (F.col("_own_hash") == F.col("_row_hash")), "left")
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,live:boolean>>")
     return joined.select(*base_docs.columns, F.coalesce("secrets", none).alias("secrets"))
 

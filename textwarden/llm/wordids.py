@@ -1,22 +1,36 @@
 """Token ids of texts by a tokenizers file, at the price of its distinct words.
 
 The vocabulary's pre-tokenizer drops white space and never joins across it, so a text's ids are those of its
-words in order. Each task keeps the ids of the words it has met (a bounded cache) and gathers them with numpy.
+words in order. Each task keeps the ids of the words it has met (a cache bounded in bytes) and gathers them with numpy. Texts for which
+that doesn't hold (strings of added tokens; letters that a mark follows), and tokenizers of other make, go through the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
 
 import numpy as np
+import regex
 from tokenizers import Tokenizer
 
 from .shared import ranges
 
-#: Distinct words whose ids a task keeps; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+#: Bytes that a task's cache of words and ids may take; beyond it the cache starts anew. WORD_BYTES: of an entry, besides its word and ids.
+CACHE_BYTES, WORD_BYTES = 64 << 20, 160
+#: The make of tokenizer whose ids are those of its words: parts of its file.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Where lower case before the normalizer would be seen: a mark composes with an upper case letter otherwise than with a lower case one.
+_MARKED = regex.compile(r"[A-Z]\p{M}").search
 
 
 #: Words that need neither the normalizer nor the pre-tokenizer: letters of ASCII and Latin-1, then ASCII punctuation.
@@ -50,9 +64,24 @@ class _Words(dict):
     """The number of a word (bytes without ASCII white space); its ids go to the ragged arrays."""
 
     def __init__(self, tokenizer: Tokenizer, end_id: int):
-        self.normalize, self.split = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
+        self.tokenizer = tokenizer
+        self.normalize = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+        self.split = tokenizer.pre_tokenizer.pre_tokenize_str if tokenizer.pre_tokenizer else None
         self.pieces = _Pieces(tokenizer)
-        self.flat, self.start, self.length = array("I", [end_id]), array("q", [0]), array("q", [1])
+        self.flat, self.start, self.length, self.held = array("I", [end_id]), array("q", [0]), array("q", [1]), 0
+
+    def added(self, at: int) -> int:
+        """The number of what has been put to `flat` from `at` on."""
+        self.start.append(at)
+        self.length.append(len(self.flat) - at)
+        self.held += WORD_BYTES + 4 * self.length[-1]
+        return len(self.start) - 1
+
+    def whole(self, text: str) -> int:
+        """The number of a text that the library encodes."""
+        at = len(self.flat)
+        self.flat.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self.added(at)
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
@@ -66,41 +95,46 @@ class _Words(dict):
         else:
             for piece, _ in self.split(self.normalize(text)):
                 self.flat.extend(self.pieces[piece])
-        self.start.append(at)
-        self.length.append(len(self.flat) - at)
-        code = self[word] = len(self.start) - 1
+        code = self[word] = self.added(at)
+        self.held += 2 * len(word)  # here, and in pieces
         return code
 
 
 class WordEncoder:
     """Encodes texts as Tokenizer.encode(text, add_special_tokens=False) does, then adds end_id.
 
-    Strings of special tokens in a text are ordinary text.
+    Strings of added tokens in a text are those tokens, as the library has it.
     """
 
     def __init__(self, path: str, end_id: int):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
         self.size = self.tokenizer.get_vocab_size()
+        made = json.loads(self.tokenizer.to_str())
+        model = made["model"]
+        self.by_words = (made["normalizer"], made["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) and model["type"] == "BPE" and not model["dropout"] and not made["truncation"]
+        self.added = [t["content"] for t in made["added_tokens"]]
         self.words = _Words(self.tokenizer, end_id)
 
     def encode(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (unsigned 32-bit) and the number of ids of each text."""
-        if len(self.words) > CACHE_WORDS:
+        if self.words.held > CACHE_BYTES:
             self.words = _Words(self.tokenizer, self.end_id)
         words, codes, ends = self.words, array("q"), array("q")
         number = words.__getitem__
         for doc in docs:
-            # Lower case is the vocabulary's; for ASCII it is taken here already, so that fewer words differ.
-            codes.extend(map(number, doc.encode("utf-8", "replace").lower().split()))
+            if not self.by_words or any(t in doc for t in self.added) or (not doc.isascii() and _MARKED(doc)):
+                codes.append(words.whole(doc))
+            else:
+                # Lower case is the vocabulary's; for ASCII it is taken here already, so that fewer words differ.
+                codes.extend(map(number, doc.encode("utf-8", "replace").lower().split()))
             codes.append(0)
             ends.append(len(codes))
-        code = np.array(codes, dtype=np.int64)
-        length = np.array(words.length, dtype=np.int64)[code]
-        ids = np.array(words.flat, dtype=np.uint32)[ranges(np.array(words.start, dtype=np.int64)[code], length)]
+        code = np.frombuffer(codes, dtype=np.int64)
+        length = np.frombuffer(words.length, dtype=np.int64)[code]
+        ids = np.frombuffer(words.flat, dtype=np.uint32)[ranges(np.frombuffer(words.start, dtype=np.int64)[code], length)]
         total = np.concatenate([[0], np.cumsum(length)])
-        return ids, np.diff(total[np.array(ends, dtype=np.int64)], prepend=0)
+        return ids, np.diff(total[np.frombuffer(ends, dtype=np.int64)], prepend=0)
 
 
 @lru_cache(maxsize=2)
