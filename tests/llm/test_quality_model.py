@@ -77,6 +77,8 @@ def test_batches_and_blocks(spark, rows, monkeypatch):
     columns = ["doc_id", "row_hash", "log_perplexity"]
     whole = sorted(quality.judge(docs).select(*columns).collect(), key=key)
     monkeypatch.setattr(quality, "BATCH_BYTES", 1)
+    monkeypatch.setattr(quality, "SENT_GRAMS", 200)
+    monkeypatch.setattr(quality, "BLOCK_BATCHES", 3)
     small = sorted(quality.judge(docs.repartition(7, F.col("text"))).select(*columns).collect(), key=key)
     assert len(whole) == len(rows)
     for a, b in zip(whole, small, strict=True):

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import chunks, mix, stored, texts, word_hashes, word_starts
+from .shared import chunks, mix, stored, stored_by, texts, word_hashes, word_starts
 
 #: Symbols of an n-gram: 5 times 12 bits fit one signed 64-bit number.
 ORDER, BITS = 5, 12
@@ -34,6 +34,8 @@ BATCH_BYTES = 16 << 20
 HELD_GRAMS = 1_500_000
 #: The most frequent n-grams, so many at most, are sent to every task; batches ask for the others.
 SENT_GRAMS = 1 << 20
+#: Batches and n-grams of the model for each block of it that is asked.
+BLOCK_BATCHES, BLOCK_GRAMS = 40, 2_000_000
 #: A band reaches so many interquartile ranges beyond the quartiles of the log-perplexity, which is counted in steps.
 BAND_RANGES, STEP = 3.0, 0.001
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -386,10 +388,10 @@ STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash, lang and the statistics of each row."""
-    batches = stored(packed(docs.select("doc_id", "row_hash", "lang", "text")))
-    blocks = _prime(batches.count() // 8)
+    batches = stored_by(packed(docs.select("doc_id", "row_hash", "lang", "text")), "batch")
     model = stored(gram_costs(batches))
     least, sent = frequent(model)
+    blocks = _prime(max(batches.count() // BLOCK_BATCHES, model.count() // BLOCK_GRAMS))
     shared = docs.sparkSession.sparkContext.broadcast(sent)
     names = [x.split()[0] for x in STATS.split(", ")]
 

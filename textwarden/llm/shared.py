@@ -54,6 +54,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, column: str) -> DataFrame:
+    """stored(), in as many buckets of a column as Spark has shuffle partitions: what groups by it later needs no shuffle of df."""
+    spark = df.sparkSession
+    name = f"textwarden_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, column).option("path", shared_folder(spark) + "/t").saveAsTable(name)
+    return spark.table(name)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `most` bytes of text, one row at least."""
     for batch in batches:
