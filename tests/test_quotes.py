@@ -1,5 +1,6 @@
 import duckdb
 
+from textwarden.operators import quotes
 from textwarden.plans import catalogue
 
 
@@ -11,7 +12,7 @@ def test_exact_quotes_of_any_shape(spark):
     docs = [(100 + i, f"xx{t}yy and more text after it") for i, t in items if t] + [(200 + i, f"Before {t}") for i, t in items if t] + [(300 + i, t) for i, t in items]
     docs += [(400, ""), (401, "one two three four five six seven eight"), (402, "short one there")]
     want = {(i, d) for i, q in items for d, t in docs if q is not None and t is not None and q in t}
-    got = catalogue.exact_quotes(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = quotes.exact(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert len(got) == len(want) and {(r.item_id, r.doc_id) for r in got} == want
 
 

@@ -14,16 +14,18 @@ def near(quote: str, source: str, threshold: float = 0.85) -> bool:
     n = len(quote)
     if not n:
         return False
+    matcher = SequenceMatcher(None, "", quote)  # what it knows of the second text is kept over windows
     for at in range(0, max(1, len(source) - n + 1), max(1, n // 8)):
-        m = SequenceMatcher(None, quote, source[at : at + n])
-        if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold:
+        matcher.set_seq1(source[at : at + n])
+        if matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold and SequenceMatcher(None, quote, source[at : at + n]).ratio() >= threshold:
             return True
     return False
 
 
-def _near_all(quote: pd.Series, source: pd.Series) -> pd.Series:
-    return pd.Series([near(q or "", s or "") for q, s in zip(quote, source, strict=True)])
+def near_quote(quote: Column, source: Column, threshold: float = 0.85) -> Column:
+    """near() of short texts, for the rows that a search has left; null for null."""
 
+    def run(quote: pd.Series, source: pd.Series) -> pd.Series:
+        return pd.Series([near(q or "", s or "", threshold) for q, s in zip(quote, source, strict=True)])
 
-def near_quote(quote: Column, source: Column) -> Column:
-    return F.pandas_udf(_near_all, "boolean")(quote, source)
+    return F.pandas_udf(run, "boolean")(quote, source)

@@ -91,6 +91,22 @@ def clause_for(text: Column, drug: Column, lexicon: Lexicon = DEFAULT) -> Column
     return F.coalesce(F.get(F.filter(parts, lambda p: F.array_contains(drugs_in(p, lexicon), drug)), F.lit(0)), _text(text))
 
 
+def span_for(text: Column, drug: Column, lexicon: Lexicon = DEFAULT) -> Column:
+    """The part of a text about one medicine: from its first mention back to the last point, comma or other medicine, and on to the
+    next other medicine. The text if it isn't named."""
+    names = _map(lexicon.canonical())
+    words = r"(?i)(?<![a-zA-ZÀ-ÿ])(" + "|".join(sorted(lexicon.canonical(), key=len, reverse=True)) + r")(?![a-zA-ZÀ-ÿ])"
+    t = _text(text)
+    found, between = _all(t, words, 1), F.split(t, words, -1)
+    marks = F.transform(F.arrays_zip(found.alias("word"), F.slice(between, 2, F.size(between)).alias("after")), lambda m: F.struct(m["word"], m["after"], (F.element_at(names, F.lower(m["word"])) == drug).alias("own")))
+    first = F.array_position(F.transform(marks, lambda m: m["own"]), F.lit(True)).cast("int")
+    before = F.regexp_replace(F.get(between, first - 1), r"(?s)^.*[.;,]", "")
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("over"))
+    piece = lambda acc, m: F.struct(F.when(acc["over"] | ~m["own"], acc["text"]).otherwise(F.concat(acc["text"], m["word"], m["after"])).alias("text"), (acc["over"] | ~m["own"]).alias("over"))
+    on = F.aggregate(F.slice(marks, first, F.size(marks)), start, piece, lambda acc: acc["text"])
+    return F.when(first > 0, F.concat(before, on)).otherwise(t)
+
+
 def foreign_script(text: Column, lang: str) -> Column:
     """The first run of a writing system that the language does not use, '' if there is none."""
     own = EXPECTED_SCRIPTS.get(lang, [])

@@ -28,7 +28,8 @@ def _text(text: Column) -> Column:
 
 
 def _map(values: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+    """A map of strings; one value in the plan, however many entries it has."""
+    return F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in values.items())), F.lit("\n"), F.lit("\t"))
 
 
 def _zipped(**arrays: Column) -> Column:

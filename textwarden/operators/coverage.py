@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lex
 from ..functions import text as tx
 from ..functions.dims import CRITICAL_KINDS, DEFAULT, Lexicon
+from .facts import features
 
 
 def omissions(facts: DataFrame, sentences: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
@@ -25,38 +26,33 @@ def omissions(facts: DataFrame, sentences: DataFrame, lexicon: Lexicon = DEFAULT
     t = F.col("text_en")
     clock = F.transform(tx.times_in(t), lambda x: F.concat_ws(":", x["hour"], x["minute"]))
     days = F.transform(tx.dates_in(t), lambda x: F.concat_ws("/", x["month"], x["day"]))
+    # What a fact needs of the texts that cite it is collected, once for each difference, and no text.
     said = sentences.filter(~F.coalesce("removed", no)).select(
         "case_id", "fact_ids",
-        tx.numbers_in(t).alias("numbers"), lex.placeholders_in(t).alias("tokens"), lex.drugs_in(t, lexicon).alias("drugs"),
-        lex.has_cue(t, "en", "prn").alias("prn"), lex.polarity(t).alias("p"), days.alias("days"), clock.alias("clock"),
+        F.struct(
+            tx.numbers_in(t).alias("numbers"), lex.placeholders_in(t).alias("tokens"), lex.drugs_in(t, lexicon).alias("drugs"),
+            lex.has_cue(t, "en", "prn").alias("prn"), lex.polarity(t).alias("p"), days.alias("days"), clock.alias("clock"),
+        ).alias("s"),
     )
-    said = said.select("case_id", F.explode("fact_ids").alias("fact_id"), F.struct("numbers", "tokens", "drugs", "prn", "p", "days", "clock").alias("s"))
-    by_fact = said.groupBy("case_id", "fact_id").agg(F.collect_list("s").alias("said"))
-    rows = wanted.join(by_fact, ["case_id", "fact_id"], "left")
+    by_fact = said.select("case_id", F.explode("fact_ids").alias("fact_id"), "s").groupBy("case_id", "fact_id").agg(F.collect_set("s").alias("said"))
+    rows = features(wanted, lexicon).join(by_fact, ["case_id", "fact_id"], "left")
     every = lambda name: F.array_distinct(F.flatten(F.transform("said", lambda s: s[name])))
-    quote, dose, action, kind = F.coalesce("source_quote", F.lit("")), F.coalesce("dose", F.lit("")), F.col("med_action"), F.col("kind")
-    canon = lex.canonical_drug(F.col("drug"), lexicon)
+    lost = lambda need, name: F.size(F.array_except(F.col("needs")[need], every(name))) > 0
+    action, kind, canon = F.col("med_action"), F.col("kind"), F.col("canon")
     told = F.col("said").isNotNull()
-    current = F.regexp_replace(quote, r"(?i)\b(?:from|was|previously)\s+(?:[a-z]+\s+){0,2}?\d+(?:[.,]\d+)?", "")
     taken = (kind == "medication") & action.isin("new", "changed", "continue")
-    dose_lost = F.size(F.array_except(tx.digits_in(dose), every("numbers"))) > 0
-    numbers_lost = F.size(F.array_except(F.array_except(tx.digits_in(current), every("numbers")), tx.date_numbers(quote))) > 0
-    day_lost = F.size(F.array_except(F.transform(tx.dates_in(quote), lambda x: F.concat_ws("/", x["month"], x["day"])), every("days"))) > 0
-    time_lost = F.size(F.array_except(F.transform(tx.times_in(quote), lambda x: F.concat_ws(":", x["hour"], x["minute"])), every("clock"))) > 0
-    limits = F.array_except(F.array_except(tx.digits_in(tx.strip_times(tx.strip_dates(quote))), every("numbers")), F.array(F.lit("1")))
-    contact_lost = F.size(F.array_except(lex.placeholders_in(quote), every("tokens"))) > 0
     naming = F.filter("said", lambda s: F.array_contains(s["drugs"], canon))
     by_kind = (
         F.when(~told, "not_explained")
-        .when(taken & dose_lost, "dose_never_stated")
-        .when(taken & numbers_lost, "numbers_never_stated")
-        .when((kind == "follow_up") & (day_lost | time_lost), "appointment_never_stated")
-        .when((kind == "warning_sign") & ((F.size(limits) > 0) | contact_lost), "threshold_never_stated")
+        .when(taken & lost("dose", "numbers"), "dose_never_stated")
+        .when(taken & lost("numbers", "numbers"), "numbers_never_stated")
+        .when((kind == "follow_up") & (lost("days", "days") | lost("clock", "clock")), "appointment_never_stated")
+        .when((kind == "warning_sign") & (lost("limits", "numbers") | lost("tokens", "tokens")), "threshold_never_stated")
     )
     by_name = F.when(
         told & (kind == "medication") & canon.isNotNull(),
         F.when(F.size(naming) == 0, "never_named")
-        .when(lex.has_cue(quote, "en", "prn") & ~F.coalesce(action.isin("stop", "hold"), no) & ~F.exists(naming, lambda s: s["prn"]), "as_needed_not_told")
+        .when(F.col("prn") & ~F.coalesce(action.isin("stop", "hold"), no) & ~F.exists(naming, lambda s: s["prn"]), "as_needed_not_told")
         .when(action.isin("stop", "hold") & ~F.exists(naming, lambda s: s["p"]["stop"] & ~s["p"]["continue"]), "stop_not_clear"),
     )
     return rows.select("case_id", "fact_id", F.explode(F.array_compact(F.array(by_kind, by_name))).alias("rule"))

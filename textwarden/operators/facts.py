@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
 from ..functions import text as tx
-from ..functions.dims import ACTIONS, CRITICAL_KINDS, DEFAULT, KINDS, Lexicon
+from ..functions.dims import ACTIONS, CRITICAL_KINDS, CUES, DEFAULT, KINDS, Lexicon
 from ..functions.fuzzy import near_quote
 
 Check = tuple[str, Column, Column]  # name, when it fails, when it warns
 
 
-def checks_of(rows: DataFrame, keys: list[str], checks: list[Check], passes: tuple[str, ...] = ()) -> DataFrame:
-    """keys, seq, name, status: a row for each check that fails or warns, and for each named in passes that does neither."""
+def checks_of(rows: DataFrame, keys: list[str], checks: list[Check], passes: tuple[str, ...] = (), only: list[str] | None = None) -> DataFrame:
+    """keys, seq, name, status: a row for each check (of `only`) that fails or warns, and for each named in passes that does neither."""
     found = []
     for seq, (name, fails, warns) in enumerate(checks):
+        if only is not None and name not in only:
+            continue
         status = F.when(F.coalesce(fails, F.lit(False)), F.lit("fail")).when(F.coalesce(warns, F.lit(False)), F.lit("warn"))
         status = status.otherwise(F.lit("pass")) if name in passes else status
         found.append(F.when(status.isNotNull(), F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("name"), status.alias("status"))))
@@ -64,8 +66,23 @@ def risk(kind: Column, action: Column, drug: Column, named: Column, lexicon: Lex
     return F.when(F.coalesce(high, F.lit(False)), "high").otherwise("normal")
 
 
+def needs() -> Column:
+    """What a fact's quote says that its reader must be told: struct of arrays."""
+    quote, dose = F.coalesce("source_quote", F.lit("")), F.coalesce("dose", F.lit(""))
+    current = F.regexp_replace(quote, r"(?i)\b(?:from|was|previously)\s+(?:[a-z]+\s+){0,2}?\d+(?:[.,]\d+)?", "")
+    return F.struct(
+        tx.digits_in(dose).alias("dose"),
+        F.array_except(tx.digits_in(current), tx.date_numbers(quote)).alias("numbers"),
+        F.transform(tx.dates_in(quote), lambda x: F.concat_ws("/", x["month"], x["day"])).alias("days"),
+        F.transform(tx.times_in(quote), lambda x: F.concat_ws(":", x["hour"], x["minute"])).alias("clock"),
+        F.array_except(tx.digits_in(tx.strip_times(tx.strip_dates(quote))), F.array(F.lit("1"))).alias("limits"),
+        lex.placeholders_in(quote).alias("tokens"),
+    )
+
+
 def features(facts: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """facts with what their texts say: canon, numbers, drugs, quote_drugs, units, days, quote_polarity and risk.
+    """facts with what their texts say: canon, numbers, drugs, quote_drugs, units, steps, dates, needs, quote_polarity and risk.
+    doubtful (not found in the source, or a medicine the lists disagree on) is false unless given.
 
     Facts that have these columns already are returned as they are: compute them where a fact is one row.
     """
@@ -84,6 +101,10 @@ def features(facts: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
         "dates": tx.dates_in(F.col("source_quote")),
         "per_day": tx.per_day(F.concat_ws(" ", "frequency", "source_quote")),
         "prn": lex.has_cue(F.col("source_quote"), "en", "prn"),
+        # A fixed schedule first, then as needed: what stands before the first cue found, cue by cue.
+        "then": F.coalesce(*(F.when(F.col("source_quote").rlike(f"(?iU){p}"), F.regexp_extract(F.col("source_quote"), f"(?isU)^(.*?){p}", 1).rlike(r"(?i)\bthen\b")) for p in CUES["en"]["prn"]), F.lit(False)),
+        "needs": needs(),
+        "doubtful": F.col("doubtful") if "doubtful" in facts.columns else F.lit(False),
         "quote_polarity": lex.polarity(F.col("source_quote")),
     })
     return out.withColumn("risk", risk(F.col("kind"), F.col("med_action"), F.col("drug"), F.col("drugs"), lexicon))
@@ -194,3 +215,15 @@ def uncovered(units: DataFrame, facts: DataFrame, threshold: float = 0.6) -> Dat
     none = F.filter("units", lambda u: F.lit(False))
     keep = F.aggregate("units", none, lambda acc, u: F.when(F.exists(acc, lambda a: F.size(F.array_intersect(a["tokens"], u["tokens"])) >= threshold * F.size(u["tokens"])), acc).otherwise(F.concat(acc, F.array(u))))
     return listed.select("case_id", F.posexplode(keep).alias("n", "u")).select("case_id", F.concat(F.lit("R"), (F.col("n") + 1).cast("string")).alias("fact_id"), "u.line_no", "u.pos", "u.unit", "u.covered")
+
+
+def with_rule_facts(facts: DataFrame, missed: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """The model's facts and those that rules add for what it has missed (rows of uncovered()): origin 'rule', amber, to be covered in any case."""
+    unit = F.col("unit")
+    found = missed.select(
+        "case_id", "fact_id", F.lit("other").alias("kind"), F.lit(None).cast("string").alias("med_action"), F.get(F.array_sort(lex.drugs_in(unit, lexicon)), F.lit(0)).alias("drug"),
+        F.nullif(F.regexp_extract(unit, lex.DOSE, 0), F.lit("")).alias("dose"), unit.alias("detail"), unit.alias("source_quote"), F.lit("rule").alias("origin"), F.lit("amber").alias("status"),
+    )
+    by_rule = classify(found, lexicon).drop("model_kind", "model_action").withColumn("must_cover", F.lit(True))
+    both = facts.unionByName(by_rule, allowMissingColumns=True)
+    return both.withColumn("must_cover", F.coalesce("must_cover", F.lit(False)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import masking
@@ -19,3 +19,19 @@ def released(sentences: DataFrame, mappings: DataFrame, allowed: DataFrame) -> D
     rows = sentences.join(allowed.select("case_id"), "case_id", "left_semi").join(mappings, "case_id", "left")
     text = F.when(F.col("mapping").isNull(), F.col("text_en")).otherwise(masking.unmask(F.col("text_en"), F.col("mapping")))
     return sections(rows.withColumn("text_en", text))
+
+
+#: The order in which a reader sees medicines, by what to do with them.
+ACTION_ORDER = ["stop", "hold", "changed", "new", "continue", "other"]
+
+
+def by_action(rows: DataFrame) -> DataFrame:
+    """rows (med_action) with `action`, 'other' where there is none that is known, and its `place` in the order of display."""
+    action = F.when(F.col("med_action").isin(*ACTION_ORDER), F.col("med_action")).otherwise("other")
+    out = rows.withColumn("action", action)
+    return out.withColumn("place", F.array_position(F.array(*map(F.lit, ACTION_ORDER)), F.col("action")).cast("int"))
+
+
+def is_emergency(text: Column) -> Column:
+    """Whether a warning tells its reader to call or go at once."""
+    return F.coalesce(text, F.lit("")).rlike(r"(?i)\b(?:911|999|112|emergency)\b")

@@ -37,7 +37,7 @@ def cited(sentences: DataFrame, facts: DataFrame, lexicon: Lexicon = DEFAULT) ->
     used = features(facts, lexicon).select(
         "case_id",
         "fact_id",
-        F.struct("fact_id", "kind", "med_action", "canon", "numbers", "drugs", "units", "steps", "dates", "per_day", "prn", "quote_polarity", "risk", "source_quote", "detail").alias("fact"),
+        F.struct("fact_id", "kind", "med_action", "canon", "numbers", "drugs", "units", "steps", "dates", "per_day", "prn", "then", "doubtful", "quote_polarity", "risk", "source_quote", "detail").alias("fact"),
     )
     bridge = sentences.select(*KEY, F.explode(F.array_distinct("fact_ids")).alias("fact_id"))
     joined = bridge.join(used, ["case_id", "fact_id"], "left")
@@ -90,8 +90,8 @@ def _meant(lexicon: Lexicon) -> Column:
     return F.transform(F.filter(meds, about), lambda f: F.struct(f["med_action"].alias("action"), pol(f).alias("p"), f["quote_polarity"].alias("q")))
 
 
-def sentence_checks(rows: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """case_id, sent_id, seq, name, status of rows (with_cited): what the English says against the cited facts."""
+def sentence_checks(rows: DataFrame, lexicon: Lexicon = DEFAULT, only: list[str] | None = None) -> DataFrame:
+    """case_id, sent_id, seq, name, status of rows (with_cited): what the English says against the cited facts. only: the checks to make."""
     never = F.lit(False)
     extra = F.array_except(F.array_except("numbers", _union("numbers")), F.array(F.lit("1")))
     allowed = _union("drugs")
@@ -109,8 +109,14 @@ def sentence_checks(rows: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     known_steps = _union("steps")
     other_dose = lambda s: F.exists(known_steps, lambda k: (k["low"] == s["low"]) & (k["high"] == s["high"]) & (k["dose"] != s["dose"]))
     named = lambda f: F.array_contains("drugs", f["canon"])
-    often = lambda f: named(f) & (F.size("per_day") > 0) & (F.size(f["per_day"]) > 0) & (F.size(F.array_except("per_day", f["per_day"])) > 0)
-    regular = lambda f: named(f) & f["prn"] & ~f["source_quote"].rlike(r"(?i)\bthen\b") & ~F.col("prn") & ~lex.states_limit(F.col("text_en"))
+    # What a text with one medicine and no inner stop says is about that medicine; else the part about it decides.
+    text = F.col("text_en")
+    single = (F.size("drugs") <= 1) & ~text.rlike(r"[.;,]\s*\S")
+    about_it = lambda whole, read: lambda f: F.when(single, whole).otherwise(read(lex.span_for(text, f["canon"], lexicon)))
+    said = about_it(F.col("per_day"), tx.per_day)
+    often = lambda f: named(f) & (F.size(f["per_day"]) > 0) & (F.size(F.array_except(said(f), f["per_day"])) > 0)
+    when_needed = about_it(F.col("prn") | lex.states_limit(text), lambda x: lex.has_cue(x, "en", "prn") | lex.states_limit(x))
+    regular = lambda f: named(f) & f["prn"] & ~f["then"] & ~when_needed(f)
     quotes = F.array_join(F.transform("cited", lambda f: F.coalesce(f["source_quote"], F.lit(""))), " ")
     details = F.array_join(F.transform("cited", lambda f: F.coalesce(f["detail"], F.lit(""))), " ")
     facts_text = F.concat_ws(" ", quotes, details)
@@ -134,8 +140,10 @@ def sentence_checks(rows: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
             ("reassurance", never, soothing.isNotNull() & lex.reassurance(quotes).isNull()),
             ("salt_sodium", says_salt, never),
             ("placeholder", invented, never),
+            ("cited_fact", never, F.exists("cited", lambda f: f["doubtful"])),
         ],
         passes=("citation", "numbers"),
+        only=only,
     )
 
 

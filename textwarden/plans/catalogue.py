@@ -2,48 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
 from ..functions import masking
-from ..functions.fuzzy import near_quote
 from ..functions import text as tx
-from ..operators import coverage, facts, mutation, packet, quiz, review, rollup, sentences
+from ..operators import coverage, facts, mutation, packet, quiz, quotes, review, rollup, sentences
 from ..sources import readers
-from ..sources.shipping import ship
 from ..streaming import streams
 from . import inputs
 from .inputs import EXPECTED, FACTS, SENTENCES
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+from .registry import QUERIES, SQL, Query, query
+from .registry import table as _table
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The projected sentences with risk and what they cite, and their checks."""
+def _checked(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The projected sentences with risk and what they cite, and their checks (of `only`)."""
     rows = sentences.with_cited(inputs.sentences(spark, sf_dir), inputs.facts_of_cases(spark, sf_dir))
     rows = rows.withColumn("risk", F.when(F.exists("cited", lambda f: f["risk"] == "high"), "high").otherwise("normal"))
-    return rows, sentences.sentence_checks(rows)
+    return rows, sentences.sentence_checks(rows, only=only)
 
 
 # ------------------------------------------------------------------ statuses of cases
@@ -62,8 +41,8 @@ def packet_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _one_check(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows, checks = _checked(spark, sf_dir)
-        mine = checks.filter(F.col("name") == name).select("case_id", "sent_id", "status")
+        rows, checks = _checked(spark, sf_dir, [name])
+        mine = checks.select("case_id", "sent_id", "status")
         return rows.select("case_id", "sent_id", "text_en").join(mine, ["case_id", "sent_id"], "left").groupBy("case_id", "text_en").agg(F.count("status").alias("n"), F.max("status").alias("status"))
 
     return run
@@ -99,8 +78,11 @@ def _blockers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     own = inputs.facts_of_cases(spark, sf_dir)
     cases = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderstatus") == "P", "facts").otherwise("ready").alias("stage"))
     missing = coverage.omissions(own, inputs.sentences(spark, sf_dir))
-    none = own.select("case_id", "fact_id", F.lit("green").alias("status"), F.lit(False).alias("dismissed")), own.select("case_id", "drug", F.lit(True).alias("resolved"))
-    return cases, rollup.blockers(judged, missing, *none, cases)
+    part = F.col("p_partkey")
+    # Some facts aren't in the source, some of those are dismissed; some medicines disagree, some of those are resolved.
+    found = own.select("case_id", "fact_id", F.when(part % 17 == 0, "red").otherwise("green").alias("status"), (part % 2 == 0).alias("dismissed"))
+    issues = own.filter(part % 19 == 0).select("case_id", "drug", (part % 3 == 0).alias("resolved"))
+    return cases, rollup.blockers(judged, missing, found, issues, cases)
 
 
 _OMISSIONS = f"""
@@ -124,6 +106,8 @@ _BLOCKED = f"""
 SELECT o_orderkey AS case_id, 'not_ready' AS source FROM orders WHERE o_orderstatus = 'P'
 UNION ALL SELECT case_id, 'sentence' FROM ({EXPECTED}) WHERE status <> 'green' OR risk = 'high'
 UNION ALL SELECT case_id, 'omission' FROM ({_OMISSIONS}) WHERE rule IS NOT NULL
+UNION ALL SELECT case_id, 'fact' FROM (SELECT DISTINCT case_id, p_partkey FROM ({SENTENCES})) WHERE p_partkey % 17 = 0 AND p_partkey % 2 <> 0
+UNION ALL SELECT case_id, 'medicine' FROM (SELECT DISTINCT case_id, p_partkey FROM ({SENTENCES})) WHERE p_partkey % 19 = 0 AND p_partkey % 3 <> 0
 """
 
 
@@ -138,16 +122,22 @@ def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.releasable(cases, found).select("case_id")
 
 
-@query(f"""
-SELECT case_id, CASE WHEN med_action IN ('stop', 'hold') THEN 0 ELSE 1 END AS section, count(*) AS waiting,
-       count(*) FILTER (WHERE status = 'red') AS red, count(*) FILTER (WHERE status = 'green') AS high_only
-FROM ({EXPECTED}) WHERE status <> 'green' OR risk = 'high' GROUP BY 1, 2
-""")
+_WAITING = f"""
+SELECT case_id, 0 AS rank, fact_id AS o, fact_id AS id, 'red' AS state FROM ({_OMISSIONS}) WHERE rule IS NOT NULL
+UNION ALL SELECT case_id, 3, text_en, text_en, CASE WHEN status = 'green' THEN 'high' ELSE status END FROM ({EXPECTED}) WHERE status <> 'green' OR risk = 'high'
+"""
+
+
+@query(f"SELECT case_id, CAST(dense_rank() OVER (PARTITION BY case_id ORDER BY rank, o) AS INTEGER) AS place, id, state, count(*) AS n FROM ({_WAITING}) GROUP BY case_id, rank, o, id, state")
 def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What waits for a reviewer in each case, in order: omissions, then sentences; equal ones share a place."""
     rows, checks = _checked(spark, sf_dir)
-    judged = rollup.judged(rows.select("case_id", "sent_id", "risk", "med_action"), checks).filter("needs_review")
-    section = F.when(F.col("med_action").isin("stop", "hold"), 0).otherwise(1)
-    return judged.groupBy("case_id", section.alias("section")).agg(F.count(F.lit(1)).alias("waiting"), F.count_if(F.col("status") == "red").alias("red"), F.count_if(F.col("status") == "green").alias("high_only"))
+    own, said = inputs.facts_of_cases(spark, sf_dir), inputs.sentences(spark, sf_dir)
+    judged = rollup.judged(rows.select("case_id", "sent_id", "risk", "text_en"), checks)
+    none = own.select("case_id", F.col("drug"), F.lit(True).alias("resolved")), own.select("case_id", "fact_id", F.lit("green").alias("status"), F.lit(False).alias("dismissed"))
+    listed = judged.select("case_id", F.col("text_en").alias("sent_id"), F.lit(0).alias("pos"), F.lit("medicines").alias("section"), "status", "needs_review", F.lit(False).alias("reviewed"), F.lit(False).alias("removed"))
+    found = review.queue(coverage.omissions(own, said), none[0], none[1], listed, by="id")
+    return found.groupBy("case_id", "place", "id", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------------------ facts
@@ -182,45 +172,6 @@ def fact_checks_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.fact_checks(classified, sources).select("fact_id", "name", "status")
 
 
-_PAYLOAD = '[{"id":"F1","kind":"medication","med_action":"stop","drug":"Aspirin","source_quote":"STOP: aspirin"},"no object",{"id":"f 2","kind":"odd","detail":7},{"id":"F1","kind":"follow_up"},{"kind":"test","med_action":"give"}]'
-
-
-@query("""
-SELECT * FROM (VALUES (1, 1, 'F1', 'medication', 'stop', 'Aspirin', '', 'STOP: aspirin'), (1, 3, 'F2', 'other', NULL, NULL, '7', ''),
-  (1, 4, 'F4x', 'follow_up', NULL, NULL, '', ''), (1, 5, 'F5', 'test', NULL, NULL, '', '')) t(case_id, pos, fact_id, kind, med_action, drug, detail, source_quote)
-""")
-def fact_extract_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(1, _PAYLOAD), (2, "{broken")], "case_id int, payload string")
-    return facts.normalise(raw).select("case_id", "pos", "fact_id", "kind", "med_action", "drug", "detail", "source_quote")
-
-
-_LINES = ["STOP taking these medicines:", "Ibuprofen 400 mg", "Aspirin 81 mg", "", "Metoprolol 25 mg twice daily", "CONTINUE: Lasix 40 mg daily, keep potassium in range", "NEW: Eliquis 5 mg"]
-
-
-def _lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, i, x) for i, x in enumerate(_LINES)], "case_id int, line_no int, line string")
-
-
-@query("SELECT * FROM (VALUES (1, 1, 'ibuprofen', 'stop'), (1, 2, 'aspirin', 'stop'), (1, 4, 'metoprolol', NULL), (1, 5, 'furosemide', 'continue'), (1, 6, 'apixaban', 'new')) t(case_id, line_no, drug, action)")
-def med_list_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.medicine_lines(_lines(spark)).select("case_id", "line_no", "drug", "action")
-
-
-@query("SELECT * FROM (VALUES (1, 'aspirin', 'stop', 'continue'), (1, 'apixaban', 'new', 'stop')) t(case_id, drug, text_actions, model_actions)")
-def med_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([(1, "medication", "Aspirin", "continue"), (1, "medication", "Eliquis", "stop"), (1, "medication", "furosemide", "continue"), (1, "diagnosis", "ibuprofen", "new")], "case_id int, kind string, drug string, med_action string")
-    found = facts.cross_check(own, facts.medicine_lines(_lines(spark)))
-    return found.select("case_id", "drug", F.array_join("text_actions", "/").alias("text_actions"), F.array_join("model_actions", "/").alias("model_actions"))
-
-
-@query("SELECT * FROM (VALUES ('R1', 'Weigh yourself every morning'), ('R2', 'Call the clinic about swollen legs')) t(fact_id, unit)")
-def uncovered_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = ["Patient: someone", "Take furosemide 40 mg daily; Weigh yourself every morning.", "ACTIVITY", "Follow-up: Call the clinic about swollen legs. Weigh yourself each morning"]
-    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(source)], "case_id int, line_no int, line string")
-    own = spark.createDataFrame([(1, "F1", "Take furosemide 40 mg daily", "")], "case_id int, fact_id string, source_quote string, detail string")
-    return facts.uncovered(facts.instruction_units(lines), own).select("fact_id", "unit")
-
-
 @query("""
 SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'fail' WHEN l.quality = 0 THEN 'warn' WHEN l.quality = 1 THEN 'pass' ELSE 'warn' END AS status
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
@@ -242,16 +193,15 @@ def uncovered_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OTHER = inputs.pick(inputs.DRUGS, "((p_partkey + 3) % 7)")
 
 
+_KINDS = f"""
+SELECT *, unnest(['clean', 'number_changed', 'unsupported_sentence', 'hallucinated_medicine', 'wrong_medicine_named', CASE WHEN med_action IN ('stop', 'hold') THEN 'flip_stop_to_keep' END,
+  CASE WHEN med_action = 'hold' THEN 'hold_as_permanent_stop' END, CASE WHEN unit IN ('mg', 'ml') THEN 'other_unit' END]) AS mutation FROM ({SENTENCES}) WHERE k >= 5
+"""
+
+
 @query(f"""
-WITH s AS (SELECT * FROM ({SENTENCES}) WHERE k >= 5),
-m AS (
-  SELECT 'clean' AS mutation, 0 AS f, 0 AS b, med_action, unit FROM s
-  UNION ALL SELECT 'number_x10', 1, 1, med_action, unit FROM s
-  UNION ALL SELECT 'flip_stop', 1, 1, med_action, unit FROM s WHERE med_action IN ('stop', 'hold')
-  UNION ALL SELECT 'uncite', 1, 1, med_action, unit FROM s
-  UNION ALL SELECT 'wrong_medicine', 1, 1, med_action, unit FROM s
-  UNION ALL SELECT 'other_unit', 1, 1, med_action, unit FROM s WHERE unit IN ('mg', 'ml'))
-SELECT coalesce(mutation, 'all') AS mutation, count(*) AS total, count(*) FILTER (WHERE f = 1) AS flagged, count(*) FILTER (WHERE b = 1) AS blocked FROM m GROUP BY ROLLUP (mutation)
+SELECT coalesce(mutation, 'all') AS mutation, count(*) AS total, count(*) FILTER (WHERE mutation <> 'clean') AS flagged, count(*) FILTER (WHERE mutation NOT IN ('clean', 'hold_as_permanent_stop')) AS blocked
+FROM ({_KINDS}) WHERE mutation IS NOT NULL GROUP BY ROLLUP (mutation)
 """)
 def mutation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutation.matrix(_mutated(spark, sf_dir))
@@ -266,11 +216,7 @@ def _mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("flagged", F.coalesce(F.col("status") != "green", F.lit(False))).withColumn("blocked", F.coalesce(F.col("status") == "red", F.lit(False)))
 
 
-@query(f"""
-SELECT mutation, outcome, count(*) AS n FROM (
-  SELECT unnest([CASE WHEN true THEN 'number_x10' END, CASE WHEN med_action IN ('stop', 'hold') THEN 'flip_stop' END, 'uncite', 'wrong_medicine', CASE WHEN unit IN ('mg', 'ml') THEN 'other_unit' END]) AS mutation, 'blocked' AS outcome
-  FROM ({SENTENCES}) WHERE k >= 5) WHERE mutation IS NOT NULL GROUP BY 1, 2
-""")
+@query(f"SELECT mutation, CASE mutation WHEN 'hold_as_permanent_stop' THEN 'flagged' ELSE 'blocked' END AS outcome, count(*) AS n FROM ({_KINDS}) WHERE mutation <> 'clean' GROUP BY mutation")
 def mutation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against the clean sentence: blocked before flagged before slipped."""
     rows = _mutated(spark, sf_dir)
@@ -283,20 +229,22 @@ def mutation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ text functions on documents
 
 _EMAIL = r"([\w.+-]+@[\w-]+\.[\w.]*\w)"
-_MASKED = [r for r in masking.RULES if r[0] == "EMAIL"]
 
 
-@query(rf"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '{_EMAIL}', 1))) AS n FROM documents WHERE regexp_matches(text, '{_EMAIL}')")
+@query(rf"SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '{_EMAIL}', 1), lambda x: lower(x)))) AS n FROM documents WHERE regexp_matches(text, '{_EMAIL}')")
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = masking.mask(docs, "text", _MASKED).select("doc_id", F.size("mapping").cast("long").alias("n"), F.regexp_count("masked", F.lit(r"\[EMAIL_\d+\]")).alias("tokens"))
-    return rows.filter("n > 0 and tokens >= n").select("doc_id", "n")
+    """Documents with e-mail addresses, all rules at work, and how many tokens stand for them; each is in the text."""
+    docs = masking.mask(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    mine = F.filter("mapping", lambda m: F.startswith(m["token"], F.lit("[EMAIL_")))
+    rows = docs.select("doc_id", F.size(mine).cast("long").alias("n"), F.size(F.array_distinct(F.regexp_extract_all("masked", F.lit(r"\[EMAIL_\d+\]"), F.lit(0)))).alias("tokens"))
+    return rows.filter("n > 0 and tokens = n").select("doc_id", "n")
 
 
-@query(rf"SELECT 'EMAIL' AS kind, sum(len(list_distinct(regexp_extract_all(text, '{_EMAIL}', 1)))) AS n FROM documents")
-def mask_counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = masking.mask(_table(spark, sf_dir, "documents"), "text", _MASKED).select(F.explode("mapping").alias("m"))
-    return docs.groupBy(masking.kind_of(F.col("m.token")).alias("kind")).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
+@query("SELECT doc_id, false AS touched FROM documents")
+def mask_leaves_common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a rule has taken a lower-case word of letters for a value: none may."""
+    docs = masking.mask(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", masking.RULES)
+    return docs.select("doc_id", F.exists("mapping", lambda m: m["value"].rlike(r"^\p{Ll}+$")).alias("touched"))
 
 
 @query()
@@ -317,12 +265,6 @@ def mask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(masking.unmask(F.col("masked"), F.col("mapping")).cast("binary"), 256).alias("digest"))
 
 
-@query("SELECT * FROM (VALUES ('[PATIENT_1] vio a [PATIENT_1]; [PATIENT_1], no a Nunezia'), ('Max 4 tablets')) t(masked)")
-def mask_names_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("Núñez vio a NUNEZ; nuñez, no a Nunezia", ["Núñez"]), ("Max 4 tablets", [])], "text string, names array<string>")
-    return rows.select(masking.mask_names(F.col("text"), F.col("names")).alias("masked"))
-
-
 @query(r"""
 WITH w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*') AS words FROM documents WHERE lang = 'en'),
 s AS (SELECT doc_id, source, text, len(words) AS n, list_sum(list_transform(words, lambda x: CASE WHEN length(trim(lower(x), '.,;:!?''"()')) = 0 THEN 0 WHEN length(trim(lower(x), '.,;:!?''"()')) <= 3 THEN 1
@@ -341,10 +283,22 @@ def word_count_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(tx.word_count(F.col("text"))).cast("decimal(38,0)").alias("words"))
 
 
-@query(r"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '(?:^|[^0-9A-Za-z.])([0-9]+)', 1))) AS n FROM documents WHERE regexp_matches(text, '(?:^|[^0-9A-Za-z.])[0-9]')")
+_WORDS = tx.WORD_NUMBERS
+_PLAIN_NUMBERS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(\d),(\d{3})\b', '\1\2', 'g'), '(\d),(\d{3})\b', '\1\2', 'g'), '\[[A-Z_]+_\d+\]', ' ', 'g'), '\b(\d{1,2})\s?h\s?(\d{2})\b', '\1:\2', 'g')"
+_NORM = r"regexp_replace(regexp_replace(CASE WHEN contains(replace(x, ',', '.'), '.') THEN regexp_replace(replace(x, ',', '.'), '\.?0+$', '') ELSE x END, '^0+(\d)', '\1'), '^\.', '0.')"
+_SAID = "|".join(sorted((w.replace(".", r"\.") for w in _WORDS), key=len, reverse=True))
+
+
+@query(rf"""
+WITH n AS (SELECT doc_id, list_sort(list_distinct(list_concat(
+    list_transform(regexp_extract_all({_PLAIN_NUMBERS}, '(?:^|[^0-9A-Za-z.])(\d+(?:[.,]\d+)?)', 1), lambda x: {_NORM}),
+    list_transform(regexp_extract_all(text, '(?i)\b({_SAID})\b', 1), lambda x: CASE lower(x) {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _WORDS.items())} END)))) AS found FROM documents)
+SELECT doc_id, len(found) AS n, array_to_string(found, ' ') AS numbers FROM n WHERE len(found) > 0
+""")
 def numbers_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![0-9A-Za-z.])\d+"), F.lit(0))).alias("n"), F.size(tx.numbers_in(F.col("text"))).alias("all"))
-    return docs.filter("size(n) > 0 and `all` >= 0").select("doc_id", F.size("n").cast("long").alias("n"))
+    """What numbers_in finds in each document: decimals, separators and number words included."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.array_sort(tx.numbers_in(F.col("text"))).alias("found"))
+    return docs.filter("size(found) > 0").select("doc_id", F.size("found").cast("long").alias("n"), F.array_join("found", " ").alias("numbers"))
 
 
 @query()
@@ -362,122 +316,16 @@ def foreign_script_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(lex.foreign_script(F.col("text"), "en") != "").alias("n"))
 
 
-def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, doc_id of benchmark items and documents that have the item's second run of five words in common; for quote_fuzzy only, which misses others."""
-    grams = lambda words: F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 5, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, 5), " "))
-    items = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")).withColumn("words", F.split("quote", " "))
-    keys = items.select("item_id", F.get(grams(F.col("words")), F.lit(1)).alias("gram")).filter("gram is not null")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"[ \n]").alias("words"))
-    found = docs.select("doc_id", F.explode(F.array_distinct(grams(F.col("words")))).alias("gram")).join(keys, "gram")
-    return found.select("item_id", "doc_id").distinct()
-
-
-def exact_quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """item_id, doc_id of items (item_id, text) that stand word for word in docs (doc_id, text).
-
-    The words of an item between its first and its last stand whole in any text that holds it, so the first five of them (or as many as there
-    are) are met with the documents' runs of that length. Items of one or two words have none: those few are compared with every document.
-    """
-    run = lambda words, start, n: F.array_join(F.slice(words, start, n), " ")
-    items = items.select("item_id", F.col("text").alias("quote")).withColumn("words", F.split("quote", r"[ \n]", -1)).withColumn("n", F.least(F.size("words") - 2, F.lit(5)))
-    keys = items.filter("n > 0").select("item_id", "quote", "n", run(F.col("words"), F.lit(2), F.col("n")).alias("gram"))
-    lengths = sorted(r.n for r in items.filter("quote is not null").select("n").distinct().collect())
-    docs = docs.select("doc_id", "text")
-    words = docs.select("doc_id", F.split("text", r"[ \n]", -1).alias("words"))
-    pairs = []
-    if found := [n for n in lengths if n > 0]:
-        runs = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))), lambda i: run(F.col("words"), i + 1, n))
-        grams = reduce(DataFrame.unionByName, (words.select("doc_id", F.lit(n).alias("n"), F.explode(F.array_distinct(runs(n))).alias("gram")) for n in found))
-        met = grams.join(keys.select("item_id", "n", "gram"), ["n", "gram"]).select("item_id", "doc_id").distinct()
-        pairs.append(met.join(keys.select("item_id", "quote").distinct(), "item_id").join(docs, "doc_id"))
-    if any(n <= 0 for n in lengths):
-        pairs.append(docs.join(F.broadcast(items.filter("n <= 0").select("item_id", "quote")), F.contains("text", F.col("quote"))).select("doc_id", "item_id", "quote", "text"))
-    if not pairs:
-        return docs.join(items.select("item_id").limit(0), F.lit(False)).select("item_id", "doc_id")
-    rows = pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1])
-    return rows.filter(F.contains("text", F.col("quote"))).select("item_id", "doc_id")
-
-
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_exact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item word for word: met over inner words, then compared whole."""
-    return exact_quotes(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+    return quotes.exact(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
 
 
 @query()
 def quote_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that a document holds word for word or nearly: the rest is compared window by window with the standard library's ratio."""
-    pairs = _shared(spark, sf_dir)
-    pairs = pairs.join(_table(spark, sf_dir, "benchmark").withColumnRenamed("text", "quote"), "item_id").join(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    exact = tx.contained(F.col("quote"), F.col("text"))
-    return pairs.select("item_id", "doc_id", F.when(exact, F.lit(True)).otherwise(near_quote(tx.squash(F.col("quote")), tx.squash(F.col("text")))).alias("held"))
-
-
-# ------------------------------------------------------------------ languages
-
-
-@query("""
-SELECT * FROM (VALUES ('en', '10/21', '2026'), ('es', '10/21', '2026'), ('fr', '10/21', '2026'), ('it', '10/21', NULL), ('vi', '10/21', '2026'), ('zh', '10/21', '2026'), ('en2', '3/4', '2025'), ('es2', '4/3', '2025')) t(id, day, year)
-""")
-def dates_multilang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("en", "en", "See us on October 21st, 2026."), ("es", "es", "Venga el 21 de octubre de 2026."), ("fr", "fr", "Le 21 octobre 2026"), ("it", "it", "il 21 ottobre"), ("vi", "vi", "ngày 21 tháng 10 năm 2026"), ("zh", "zh", "2026年10月21日"), ("en2", "en", "on 3/4/25"), ("es2", "es", "el 3/4/25")]
-    df = spark.createDataFrame(rows, "id string, lang string, text string")
-    out = F.lit(None).cast("array<struct<year:int,month:int,day:int>>")
-    for lang in ("en", "es", "fr", "it", "vi", "zh"):
-        out = F.when(F.col("lang") == lang, tx.dates_in(F.col("text"), lang)).otherwise(out)
-    return df.select("id", F.explode(out).alias("d")).select("id", F.concat_ws("/", "d.month", "d.day").alias("day"), F.col("d.year").cast("string").alias("year"))
-
-
-@query("SELECT * FROM (VALUES ('a', '10:30 am'), ('b', '2:0 pm'), ('c', '9:0 am'), ('d', '11:0 ?'), ('e', '2:15 pm'), ('f', '8:30 pm'), ('g', '0:0 pm')) t(id, clock)")
-def times_multilang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", "en", "at 10:30 a.m."), ("b", "vi", "lúc 2 giờ chiều"), ("c", "es", "a las 9 de la mañana"), ("d", "fr", "à 11h00"), ("e", "zh", "下午2点15分"), ("f", "en", "20:30"), ("g", "en", "12:00")]
-    df = spark.createDataFrame(rows, "id string, lang string, text string")
-    out = F.lit(None).cast("array<struct<hour:int,minute:int,period:string>>")
-    for lang in ("en", "es", "fr", "vi", "zh"):
-        out = F.when(F.col("lang") == lang, tx.times_in(F.col("text"), lang)).otherwise(out)
-    return df.select("id", F.explode(out).alias("t")).select("id", F.format_string("%d:%d %s", "t.hour", "t.minute", "t.period").alias("clock"))
-
-
-@query("SELECT * FROM (VALUES ('a', '40', 'mg'), ('b', '2.5', 'ml'), ('c', '2', 'tablet'), ('d', '14', 'unit'), ('e', '2', 'capsule'), ('f', '1000', 'mcg'), ('f', '3', 'day')) t(id, num, unit)")
-def quantities_multilang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", "Take 40 mg"), ("b", "2,50 ml"), ("c", "2 to 4 tablets"), ("d", "14单位"), ("e", "2 viên nang"), ("f", "1,000 mcg for 3 days")]
-    df = spark.createDataFrame(rows, "id string, text string")
-    return df.select("id", F.explode(tx.quantities(F.col("text"))).alias("q")).select("id", "q.num", "q.unit")
-
-
-@query("SELECT * FROM (VALUES ('a', '201', '250', '4'), ('a', '251', '300', '6'), ('b', '150', '200', '2')) t(id, low, high, dose)")
-def dose_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([("a", "201-250 give 4 units; 251 to 300 give 6 units"), ("b", "150 a 200: 2 unidades")], "id string, text string")
-    return df.select("id", F.explode(tx.scale_steps(F.col("text"))).alias("s")).select("id", "s.low", "s.high", "s.dose")
-
-
-@query("SELECT * FROM (VALUES ('twice daily', 2), ('3 times a day', 3), ('every 8 hours', 3), ('take it BID', 2), ('once daily', 1), ('at bedtime', 1), ('one tablet each day', 1)) t(text, n)")
-def per_day_doses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(x,) for x in ("twice daily", "3 times a day", "every 8 hours", "every 8 hours as needed", "take it BID", "once daily", "at bedtime", "one tablet each day")]
-    return spark.createDataFrame(rows, "text string").select("text", F.explode(tx.per_day(F.col("text"))).alias("n"))
-
-
-_SPANISH = [
-    ("S1", "Take 40 mg twice daily.", "Tome 40 mg dos veces al día.", "Take 40 mg twice daily.", True),
-    ("S2", "Take 40 mg on October 21, 2026.", "Tome 40 mcg el 21 de octubre de 2026.", "Take 40 mcg on October 21, 2026.", True),
-    ("S3", "Stop taking ibuprofen.", "Siga tomando ibuprofeno.", "Keep taking ibuprofen.", True),
-    ("S4", "Take it only if you need it.", "Tómelo siempre.", "Always take it.", True),
-    ("S5", "Less than 2 g of sodium.", "Menos de 2 g de sal.", "Less than 2 g of salt.", False),
-    ("S6", "Come at 9:30 am.", "Venga a las 9:30 de la tarde.", "Come at 9:30 pm.", False),
-    ("S7", "Take furosemide.", "Tome furosemida.", "Take furosemida.", True),
-    ("S8", "Call [PHONE_1].", "Llame.", "Call.", False),
-    ("S9", "Walk.", "", "", False),
-    ("S10", "Walk.", "Camine 走.", "", False),
-]
-
-
-@query("""
-SELECT * FROM (VALUES ('S2', 'translation_units', 'fail'), ('S3', 'translation_polarity', 'fail'), ('S4', 'translation_as_needed', 'fail'), ('S5', 'translation_salt_sodium', 'fail'), ('S6', 'translation_time', 'fail'),
-  ('S7', 'back_drug', 'warn'), ('S8', 'translation_placeholder', 'fail'), ('S9', 'translation', 'fail'), ('S10', 'translation_script', 'fail'), ('S10', 'back_translation', 'warn')) t(sent_id, name, status)
-""")
-def translation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, *r) for r in _SPANISH], "case_id int, sent_id string, text_en string, text_tl string, back_en string, about_medicine boolean")
-    return sentences.translation_checks(rows, "es").select("sent_id", "name", "status")
+    """item_id, doc_id: items that a document holds word for word or nearly. No SQL: the similarity is the standard library's; tests compare all pairs."""
+    return quotes.near(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
 
 
 # ------------------------------------------------------------------ quiz, packets, reviews
@@ -522,7 +370,7 @@ def first_answer_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def audit_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.latest(_table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+    return review.latest(_table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("""
@@ -550,14 +398,29 @@ def session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", F.col("w.start").alias("began"), "n")
 
 
-@query("SELECT user_id, event_type FROM events GROUP BY user_id, event_type")
-def stream_first_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _table(spark, sf_dir, "events").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = streams.new_folder(spark)
-    found = streams.drained(streams.first_answer_keys(stream, ["user_id", "event_type"], "400 days"), f"{folder}/out", f"{folder}/state")
-    return found.select("user_id", "event_type")
+    reader = spark.readStream.schema(schema)
+    stream = reader.parquet(f"{sf_dir}/events.parquet") if _is_folder(spark, f"{sf_dir}/events.parquet") else reader.option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+def stream_first_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a stream: the first event of each key by time, whatever order they arrive in."""
+    return streams.first_answers(_event_stream(spark, sf_dir), ["user_id", "event_type"], streams.new_folder(spark))
+
+
+@query("SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.counted(_event_stream(spark, sf_dir), ["event_type"], streams.new_folder(spark))
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '172799.999999' SECOND PRECEDING AND CURRENT ROW) AS n FROM events) WHERE event_type = 'error' AND n >= 3")
+def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a stream with state: failures that are the third or later of their user in two days."""
+    failed = _event_stream(spark, sf_dir).filter("event_type = 'error'").select("user_id", "event_id", "ts")
+    return streams.throttled(failed, streams.new_folder(spark), limit=3, seconds=172_800).select("user_id", "event_id")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -577,12 +440,12 @@ def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F') WHERE n = 1")
 def evict_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
-    return review.latest(done, ["o_custkey"], [F.asc("o_orderdate"), F.asc("o_orderkey")]).select("o_custkey", "o_orderkey")
+    return review.latest(done, ["o_custkey"], ["o_orderdate", "o_orderkey"], first=True).select("o_custkey", "o_orderkey")
 
 
 @query("SELECT o_custkey, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
 def merge_last_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.merged(_table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderpriority", "o_orderkey")
+    return readers.merged(_table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderpriority", "o_orderkey")
 
 
 @query("""
@@ -599,12 +462,9 @@ def edit_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.edited_state(base, events).filter("text_en <> 'first'").select(F.col("case_id").alias("user_id"), "text_en", "removed", "tl_stale")
 
 
-@query("SELECT * FROM (VALUES (1, '{\"a\":1}'), (2, '[1,2]'), (3, NULL)) t(id, value)")
-def json_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, 'Sure:\n```json\n{"a": 1}\n```'), (2, "Here it is: [1, 2]"), (3, "no json")], "id int, text string")
-    return rows.select("id", F.to_json(readers.lenient_json(F.col("text"))).alias("value"))
-
-
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def props_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k")).filter("k is not null")
+
+
+from . import languages, workflow  # noqa: E402, F401  # they register their queries

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of an inline text and of an upload.
@@ -26,10 +26,18 @@ def ingest(texts: DataFrame, languages: list[str]) -> DataFrame:
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files of up to MAX_BYTES as text: bytes that are no UTF-8 become U+FFFD. PDFs are left to a reader of their own (null text)."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MAX_BYTES)
-    text = F.when(~F.lower("path").endswith(".pdf"), F.make_valid_utf8(F.col("content").cast("string")))
-    return files.select("path", "length", text.alias("text"))
+    """Files as text, with `error`: 'too large' over MAX_BYTES, whose text is null. Bytes that are no UTF-8 become U+FFFD. PDFs are left to a reader of their own (null text)."""
+    files = spark.read.format("binaryFile").load(path)
+    error = F.when(F.col("length") > MAX_BYTES, "too large")
+    text = F.when(error.isNull() & ~F.lower("path").endswith(".pdf"), F.make_valid_utf8(F.col("content").cast("string")))
+    return files.select("path", "length", error.alias("error"), text.alias("text"))
+
+
+def replayable(spark: SparkSession, path: str) -> DataFrame:
+    """case_id, source, model, note of recorded outputs, from each file's `_meta`; the run's summary is none of them."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("case_id"), F.try_parse_json("value").alias("v"))
+    field = lambda name: F.expr(f"try_variant_get(v, '$._meta.{name}', 'string')").alias(name)
+    return files.filter("case_id <> 'summary'").select("case_id", field("source"), field("model"), field("note"))
 
 
 def lenient_json(text: Column) -> Column:
@@ -49,6 +57,12 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
     return rows.selectExpr("case_id", "stage", "key", "to_json(payload) as payload", seconds)
 
 
-def merged(runs: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Of each key the row of the last run."""
-    return runs.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+def merged(runs: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Of each key the row of the last run, in the order of `by`."""
+    return runs.groupBy(*keys).agg(F.max_by(F.struct(*runs.columns), F.struct(*by)).alias("_row")).select("_row.*")
+
+
+def with_timings(run: DataFrame, earlier: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a run; seconds that it lacks are those of an earlier run."""
+    before = earlier.groupBy(*keys).agg(F.max("seconds").alias("_seconds"))
+    return run.join(before, keys, "left").withColumn("seconds", F.coalesce("seconds", "_seconds")).drop("_seconds")

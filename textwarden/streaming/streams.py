@@ -3,33 +3,80 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def events_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """A stream of the Parquet files of a folder; ts becomes a timestamp that watermarks accept."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(folder)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs the stream until nothing is left, to Parquet in the folder (exactly once), and reads that.
 
-
-def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Runs the stream until nothing is left, to Parquet at path (exactly once), and reads that."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    In update mode each trigger adds the changed rows, with its number in `batch`.
+    """
+    path = f"{folder}/out"
+    to = stream.writeStream.option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        query = to.format("parquet").option("path", path).start()
+    else:
+        # A trigger that runs again writes its own part again: its folder is replaced.
+        query = to.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    spark = stream.sparkSession
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.option("basePath", path).schema(stream.schema.add("batch", "long")).parquet(path)
+
+
+def first_answers(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """The first event (ts, event_id) of each key by time: the state holds one for each key, and the last trigger's word counts."""
+    first = stream.groupBy(*keys).agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    rows = drained(first, folder, "update")
+    return rows.groupBy(*keys).agg(F.max_by("first", "batch").alias("first")).select(*keys, F.col("first.event_id").alias("event_id"))
+
+
+def counted(stream: DataFrame, keys: list[str], folder: str, size: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Counts of events by key and window of time; the watermark drops the state of windows that are over by `delay`."""
+    counts = stream.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    rows = drained(counts.select(*keys, F.col("w.start").alias("start"), "n"), folder, "update")
+    return rows.groupBy(*keys, "start").agg(F.max_by("n", "batch").alias("n"))
+
 
+def throttled(failures: DataFrame, folder: str, limit: int, seconds: int) -> DataFrame:
+    """Of failures (user_id, event_id, ts) those that are the limit-th or later of their user within the seconds up to them.
 
-def first_answer_keys(stream: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
-    """One event of each key; state is dropped when the watermark has passed."""
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+    The state of a user is the times of the failures in the last `seconds`, in order; it ends when that time is over.
+    """
+    span = pd.Timedelta(seconds=seconds)
 
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = [pd.Timestamp(t) for t in state.get[0]] if state.exists else []
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        out = []
+        for event_id, ts in zip(rows["event_id"], rows["ts"], strict=True):
+            held = [t for t in held if t > ts - span] + [ts]
+            if len(held) >= limit:
+                out.append(event_id)
+        state.update(([t.value for t in held],))
+        state.setTimeoutTimestamp(int(held[-1].timestamp() * 1000) + seconds * 1000)
+        yield pd.DataFrame({"user_id": [key[0]] * len(out), "event_id": out})
 
-def tumbling_counts(stream: DataFrame, size: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    return stream.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select("w.start", "event_type", "n")
+    watched = failures.withWatermark("ts", f"{seconds} seconds").groupBy("user_id")
+    blocked = watched.applyInPandasWithState(step, "user_id long, event_id long", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return drained(blocked, folder)
 
 
 def new_folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/textwarden-streams"
+    """A folder below spark.checkpoint.dir, which driver and executors share; a local one if all runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "/tmp/textwarden-streams"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
