@@ -37,7 +37,7 @@ def omissions(facts: DataFrame, sentences: DataFrame, lexicon: Lexicon = DEFAULT
     by_fact = said.select("case_id", F.explode("fact_ids").alias("fact_id"), "s").groupBy("case_id", "fact_id").agg(F.collect_set("s").alias("said"))
     rows = features(wanted, lexicon).join(by_fact, ["case_id", "fact_id"], "left")
     every = lambda name: F.array_distinct(F.flatten(F.transform("said", lambda s: s[name])))
-    lost = lambda need, name: F.size(F.array_except(F.col("needs")[need], every(name))) > 0
+    lost = lambda need, name: F.size(F.array_except(F.col(f"need_{need}"), every(name))) > 0
     action, kind, canon = F.col("med_action"), F.col("kind"), F.col("canon")
     told = F.col("said").isNotNull()
     taken = (kind == "medication") & action.isin("new", "changed", "continue")

@@ -66,22 +66,23 @@ def risk(kind: Column, action: Column, drug: Column, named: Column, lexicon: Lex
     return F.when(F.coalesce(high, F.lit(False)), "high").otherwise("normal")
 
 
-def needs() -> Column:
-    """What a fact's quote says that its reader must be told: struct of arrays."""
+def needs() -> dict[str, Column]:
+    """What a fact's quote says that its reader must be told: arrays, as columns of their own (a struct's fields would be pruned through the
+    generator of coverage's rules, which loses its rows in Spark 4.1)."""
     quote, dose = F.coalesce("source_quote", F.lit("")), F.coalesce("dose", F.lit(""))
     current = F.regexp_replace(quote, r"(?i)\b(?:from|was|previously)\s+(?:[a-z]+\s+){0,2}?\d+(?:[.,]\d+)?", "")
-    return F.struct(
-        tx.digits_in(dose).alias("dose"),
-        F.array_except(tx.digits_in(current), tx.date_numbers(quote)).alias("numbers"),
-        F.transform(tx.dates_in(quote), lambda x: F.concat_ws("/", x["month"], x["day"])).alias("days"),
-        F.transform(tx.times_in(quote), lambda x: F.concat_ws(":", x["hour"], x["minute"])).alias("clock"),
-        F.array_except(tx.digits_in(tx.strip_times(tx.strip_dates(quote))), F.array(F.lit("1"))).alias("limits"),
-        lex.placeholders_in(quote).alias("tokens"),
-    )
+    return {
+        "need_dose": tx.digits_in(dose),
+        "need_numbers": F.array_except(tx.digits_in(current), tx.date_numbers(quote)),
+        "need_days": F.transform(tx.dates_in(quote), lambda x: F.concat_ws("/", x["month"], x["day"])),
+        "need_clock": F.transform(tx.times_in(quote), lambda x: F.concat_ws(":", x["hour"], x["minute"])),
+        "need_limits": F.array_except(tx.digits_in(tx.strip_times(tx.strip_dates(quote))), F.array(F.lit("1"))),
+        "need_tokens": lex.placeholders_in(quote),
+    }
 
 
 def features(facts: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """facts with what their texts say: canon, numbers, drugs, quote_drugs, units, steps, dates, needs, quote_polarity and risk.
+    """facts with what their texts say: canon, numbers, drugs, quote_drugs, units, steps, dates, need_*, quote_polarity and risk.
     doubtful (not found in the source, or a medicine the lists disagree on) is false unless given.
 
     Facts that have these columns already are returned as they are: compute them where a fact is one row.
@@ -103,7 +104,7 @@ def features(facts: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
         "prn": lex.has_cue(F.col("source_quote"), "en", "prn"),
         # A fixed schedule first, then as needed: what stands before the first cue found, cue by cue.
         "then": F.coalesce(*(F.when(F.col("source_quote").rlike(f"(?iU){p}"), F.regexp_extract(F.col("source_quote"), f"(?isU)^(.*?){p}", 1).rlike(r"(?i)\bthen\b")) for p in CUES["en"]["prn"]), F.lit(False)),
-        "needs": needs(),
+        **needs(),
         "doubtful": F.col("doubtful") if "doubtful" in facts.columns else F.lit(False),
         "quote_polarity": lex.polarity(F.col("source_quote")),
     })

@@ -92,7 +92,7 @@ MEANING: list[tuple[str, str | None, str | None, str, str, str, str, list[tuple[
     ("medication", "continue", "insulin", "", "CONTINUE: insulin 201-250 give {n} units", "Keep taking insulin: for 201-250 take {n} units.", "F1", []),
     ("follow_up", None, None, "", "See the clinic on {en_month} {d}, {y}", "See the clinic on {en_month} {d}, {y}.", "F1", []),
     ("follow_up", None, None, "", "See the clinic on {en_month} {d}, {y}", "See the clinic on the {d} {en_month} 19{mm}.", "F1", [("numbers", "fail"), ("dates", "fail")]),
-    ("medication", "new", "{drug}", "twice daily", "NEW: {drug} {n} mg twice daily", "Take {drug} {n} mg every 12 hours or three times a day.", "F1", [("numbers", "fail"), ("frequency", "fail")]),
+    ("medication", "new", "{drug}", "twice daily", "NEW: {drug} 9{n} mg twice daily", "Take {drug} 9{n} mg every 12 hours or three times a day.", "F1", [("numbers", "fail"), ("frequency", "fail")]),
     ("medication", "new", "{drug}", "twice daily", "NEW: {drug} {n} mg twice daily, not like digoxin", "Once a day take digoxin, {drug} {n} mg twice daily, digoxin once a day.", "F1", []),
     ("medication", "new", "{drug}", "", "NEW: {drug} {n} mg as needed for pain", "Take {drug} {n} mg every day.", "F1", [("as_needed", "fail")]),
     ("medication", "new", "{drug}", "", "NEW: {drug} {n} mg as needed for pain", "Take {drug} {n} mg only if you have pain.", "F1", []),
