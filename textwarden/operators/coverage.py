@@ -23,17 +23,19 @@ def omissions(facts: DataFrame, sentences: DataFrame, lexicon: Lexicon = DEFAULT
             sentences = sentences.withColumn(name, F.lit(False))
     no = F.lit(False)
     wanted = facts.filter((F.col("kind").isin(*CRITICAL_KINDS) | F.coalesce("must_cover", no)) & ~F.coalesce("dismissed", no))
-    t = F.col("text_en")
+    t = F.col("_text")
     clock = F.transform(tx.times_in(t), lambda x: F.concat_ws(":", x["hour"], x["minute"]))
     days = F.transform(tx.dates_in(t), lambda x: F.concat_ws("/", x["month"], x["day"]))
-    # What a fact needs of the texts that cite it is collected, once for each difference, and no text.
-    said = sentences.filter(~F.coalesce("removed", no)).select(
-        "case_id", "fact_ids",
+    # A text that several sentences have is read once; what a fact needs of the texts that cite it is collected, once for each difference.
+    said = sentences.filter(~F.coalesce("removed", no)).select("case_id", "fact_ids", F.coalesce("text_en", F.lit("")).alias("_text"))
+    texts = said.select("_text").distinct().select(
+        "_text",
         F.struct(
             tx.numbers_in(t).alias("numbers"), lex.placeholders_in(t).alias("tokens"), lex.drugs_in(t, lexicon).alias("drugs"),
             lex.has_cue(t, "en", "prn").alias("prn"), lex.polarity(t).alias("p"), days.alias("days"), clock.alias("clock"),
         ).alias("s"),
     )
+    said = said.join(texts, "_text").select("case_id", "fact_ids", "s")
     by_fact = said.select("case_id", F.explode("fact_ids").alias("fact_id"), "s").groupBy("case_id", "fact_id").agg(F.collect_set("s").alias("said"))
     rows = features(wanted, lexicon).join(by_fact, ["case_id", "fact_id"], "left")
     every = lambda name: F.array_distinct(F.flatten(F.transform("said", lambda s: s[name])))

@@ -52,9 +52,9 @@ def case_drugs(facts: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
 
 def with_cited(sentences: DataFrame, facts: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """sentences with cited, unknown, case_drugs and what their own text says."""
-    t = F.col("text_en")
-    # Read before the join, so that the plan holds what a text says as columns and reads it once.
-    own = sentences.withColumns({
+    t = F.col("_text")
+    # A text that several sentences have is read once, and before the join, so that the plan holds what it says as columns.
+    texts = sentences.select(F.coalesce("text_en", F.lit("")).alias("_text")).distinct().withColumns({
         "numbers": tx.numbers_in(t),
         "drugs": lex.drugs_in(t, lexicon),
         "units": tx.quantities(t),
@@ -64,6 +64,7 @@ def with_cited(sentences: DataFrame, facts: DataFrame, lexicon: Lexicon = DEFAUL
         "prn": lex.has_cue(t, "en", "prn"),
         "polarity": lex.polarity(t),
     })
+    own = sentences.withColumn("_text", F.coalesce("text_en", F.lit(""))).join(texts, "_text").drop("_text")
     rows = own.join(cited(sentences, facts, lexicon), KEY, "left").join(case_drugs(facts, lexicon), "case_id", "left")
     empty = rows.schema["cited"].dataType.simpleString()
     return rows.withColumns({
