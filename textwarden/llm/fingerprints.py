@@ -144,7 +144,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     ids = keyed.select("key", "hash").withColumn("bucket", bucket("key", "hash"))
     heads = sorted((r.bucket, r.m.key, r.m.hash) for r in ids.groupBy("bucket").agg(F.max(F.struct("key", "hash")).alias("m")).collect())
-    halo = spark.createDataFrame([(h[1], h[2], heads[i - 1][0]) for i, h in enumerate(heads)], "key long, hash long, to int")
+    # The first document of a range (falling ids) follows the last one of the range above it; that of the highest the very last.
+    halo = spark.createDataFrame([(heads[i - 1][1], heads[i - 1][2], h[0]) for i, h in enumerate(heads)], "key long, hash long, to int")
     rows = keyed.withColumn("bucket", bucket("key", "hash")).join(F.broadcast(halo), ["key", "hash"], "left")
     own = F.struct(F.col("bucket"), F.lit(False).alias("halo"))
     rows = rows.withColumn("place", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("bucket"), F.lit(True).alias("halo"))))))
