@@ -1,7 +1,11 @@
+import re
+
 import duckdb
 
+from textwarden.functions.fuzzy import near
 from textwarden.operators import quotes
 from textwarden.plans import catalogue
+from textwarden.sources.shipping import ship
 
 
 def test_exact_quotes_of_any_shape(spark):
@@ -21,3 +25,27 @@ def test_exact_quotes_of_the_large_table(spark):
     sql = catalogue.SQL["quote_exact_join"].replace("benchmark b", f"'{sf}/benchmark.parquet' b").replace("documents d", f"'{sf}/documents.parquet' d")
     got = catalogue.QUERIES["quote_exact_join"](spark, sf).collect()
     assert sorted((r.item_id, r.doc_id) for r in got) == sorted(duckdb.sql(sql).fetchall())
+
+
+def test_near_quotes_equal_all_pairs(spark):
+    """Slips in each place of a quote, other case, punctuation and line breaks; short items; against every pair's plain comparison."""
+    ship(spark)
+    base = "take one white tablet with a full glass of water every morning before you eat and call the clinic if you feel dizzy or weak at any time"
+    words = base.split()
+    docs = [(1, f"Before it. {base.upper()}! After it."), (2, "Take one white tablet,\nwith a full glass of water; every morning before you eat and call the clinic if you feel dizzy or weak at any time"), (3, "Nothing of the kind stands here, it is another text."), (4, None), (5, "")]
+    for i in range(0, len(words), 3):
+        slipped = [w[::-1] if j == i else w for j, w in enumerate(words)]
+        docs.append((10 + i, "Some words first. " + " ".join(slipped) + " and then some."))
+    docs.append((90, " ".join(w[::-1] for w in words)))
+    items = [(1, base), (2, "call the clinic"), (3, "dizzy"), (4, "no such thing anywhere in it"), (5, None), (6, "glass water")]
+
+    def squashed(t):
+        return re.sub(r"\s+", " ", re.sub(r"[^\w\s.]", " ", t.lower())).strip()
+
+    want = {(i, d) for i, q in items for d, t in docs if q and t and (squashed(q) in squashed(t) or near(squashed(q), squashed(t)))}
+    got = quotes.near(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    # The long item wherever it is near; short ones, which have no three words besides a slip, where they stand whole.
+    whole = {(i, d) for i, d in want if squashed(dict(items)[i]) in squashed(dict(docs)[d])}
+    assert {(r.item_id, r.doc_id) for r in got} >= {x for x in want if x[0] == 1} | whole and len(got) == len(set(got))
+    # One that is found is like a stretch of the document, though the plain comparison's windows may pass over it.
+    assert all((i, d) in want or near(squashed(dict(items)[i]), squashed(dict(docs)[d]), 0.8) for i, d in ((r.item_id, r.doc_id) for r in got))
