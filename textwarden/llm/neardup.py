@@ -6,10 +6,10 @@ number of shingles a document are such, so this table is small at any size of th
 Equal texts are one; texts that share a band are compared by their exact weighted Jaccard similarity.
 
 No bucket of a band is expanded into its pairs. Each text is compared with its bucket's centre (the text that shares most
-buckets with others). Only in buckets that are then still of several classes more is compared, as products of matrices that give
-out only the links that join classes: buckets of up to BLOCK texts whole, many of them in a task; of larger ones what is left over
-with the whole bucket in blocks of BLOCK_TEXTS, two blocks a task. So no similar pair of a bucket is left out. Classes are the
-components of the links found.
+buckets with others). Only in buckets that are then still of several classes more is compared: in those of up to BLOCK
+texts, texts of different classes pair by pair, each pair once for all bands; in larger ones, what is left over is compared with the whole
+bucket in blocks of BLOCK_TEXTS, two blocks a task, as products of matrices that give out only the links that join classes. So no similar
+pair of a bucket is left out. Classes are the components of the links found.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, mix, ranges, stored, texts, word_hashes
+from .shared import chunks, mix, ranges, scratch, shared_folder, stored, texts, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 #: 8 bands of 3 samples: two texts of similarity 0.8 share a band with probability 0.997, of 0.9 with 1 - 3e-5.
@@ -32,8 +32,6 @@ BLOCK = 64
 FILTER_BITS = 1 << 24
 #: Texts of a large bucket that meet as many others in one task.
 BLOCK_TEXTS = 500
-#: Texts of small buckets that one task compares, each bucket by itself.
-GROUP_TEXTS = 500
 #: Shingles that a task counts at one time when it looks for frequent ones, and samples at one time; words it hashes at one time.
 HELD_SHINGLES, SAMPLED_SHINGLES, HELD_WORDS = 3_000_000, 1 << 15, 1 << 20
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -339,29 +337,6 @@ def _block_links(docs: list[str], classes: list, left: np.ndarray, right: np.nda
     return links
 
 
-def _links_in_buckets(few: DataFrame, n_few: int, classes: _Classes) -> DataFrame:
-    """few: bucket, key, class, of buckets of up to BLOCK texts. Links (a, b) between texts of one bucket and different classes.
-
-    A text is sent once for each of its buckets, not for each of its pairs; a task takes the buckets of about GROUP_TEXTS texts.
-    """
-    shared, similarity = few.sparkSession.sparkContext.broadcast(classes.table), classes.similarity
-    placed = few.withColumn("group", F.pmod(F.xxhash64("bucket", F.lit(5)), F.lit(max(1, n_few // GROUP_TEXTS)))).join(classes.held, "key")
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("bucket", "ascending"), ("key", "ascending")])
-        bucket, keys, of_class = table["bucket"].to_numpy(), table["key"].to_pylist(), table["class"].to_pylist()
-        a, b = [], []
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist()
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            every = np.arange(hi - lo)
-            for x, y in _block_links([t or "" for t in table["text"][lo:hi].to_pylist()], of_class[lo:hi], every, every, shared.value, similarity):
-                a.append(keys[lo + x])
-                b.append(keys[lo + y])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return placed.groupBy("group").applyInArrow(run, "a binary, b binary")
-
-
 def _links_in_blocks(rows: DataFrame, classes: _Classes) -> DataFrame:
     """rows: bucket, key, class, n, centre_class. Links (a, b) between texts of one bucket and different classes, compared exactly.
 
@@ -409,8 +384,10 @@ def _compare(members: DataFrame, classes: _Classes) -> None:
     classes.link(now().join(with_class(), "bucket").filter("class <> centre_class").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
     rest = stored(now().join(_apart(now()), "bucket", "left_semi"))
     few = stored(rest.filter(F.col("n") <= BLOCK).select("bucket", "key", "class"))
-    if (n_few := few.count()):
-        classes.join(_links_in_buckets(few, n_few, classes))
+    pairs = few.withColumnsRenamed({"key": "a", "class": "a_class"}).join(few.withColumnsRenamed({"key": "b", "class": "b_class"}), "bucket").filter("a_class < b_class")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if not few.isEmpty():
+        classes.link(pairs)
     many = rest.filter(F.col("n") > BLOCK).select("bucket", "key").join(classes.of, "key")
     if many.isEmpty():
         return
@@ -431,23 +408,26 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     class has no other. Other columns are not read. An empty table gives no rows. A text of any length is compared whole: a
     text of 100 MB takes a task about 1 GB.
     """
+    spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
-    table = weights(keyed)
     bands = [f"b{i}" for i in range(BANDS)]
-    marked = stored(signed(keyed, table))
-    reps = stored(marked.filter("b0 is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), *(F.min(b).alias(b) for b in bands)))
-    members = _members(reps.select("key", F.explode(F.array(*(F.xxhash64(F.lit(i), b) for i, b in enumerate(bands)))).alias("bucket")))
-    if members.isEmpty():
-        whole = reps.select("key", F.col("doc_id").alias("class_id"))
-    else:
-        keys = stored(members.select("key").distinct())
-        wanted = stored(reps.select("key", "doc_id").join(keys, "key", "left_semi"))
-        classes = _Classes(keys, _held(keyed, wanted), table, similarity)
-        _compare(members, classes)
-        tagged = stored(reps.select("key", "doc_id").join(classes.of, "key", "left").select("key", "doc_id", F.coalesce("class", "key").alias("class")))
-        least = stored(tagged.groupBy("class").agg(F.min("doc_id").alias("class_id")))
-        whole = tagged.join(least, "class").select("key", "class_id")
-    whole = stored(whole)
+    folders = shared_folder(spark), shared_folder(spark)
+    with scratch(spark):  # buckets, texts that were compared and links go when the classes are known
+        table = weights(keyed)
+        marked = stored(signed(keyed, table), folders[0])
+        reps = stored(marked.filter("b0 is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), *(F.min(b).alias(b) for b in bands)))
+        members = _members(reps.select("key", F.explode(F.array(*(F.xxhash64(F.lit(i), b) for i, b in enumerate(bands)))).alias("bucket")))
+        if members.isEmpty():
+            whole = reps.select("key", F.col("doc_id").alias("class_id"))
+        else:
+            keys = stored(members.select("key").distinct())
+            wanted = stored(reps.select("key", "doc_id").join(keys, "key", "left_semi"))
+            classes = _Classes(keys, _held(keyed, wanted), table, similarity)
+            _compare(members, classes)
+            tagged = stored(reps.select("key", "doc_id").join(classes.of, "key", "left").select("key", "doc_id", F.coalesce("class", "key").alias("class")))
+            least = stored(tagged.groupBy("class").agg(F.min("doc_id").alias("class_id")))
+            whole = tagged.join(least, "class").select("key", "class_id")
+        whole = stored(whole, folders[1])
     worded = F.col("b0").isNotNull()
     return marked.select("doc_id", "key", "b0").join(whole, "key", "left").select("doc_id", "key", F.when(worded, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), worded.alias("worded"))
 

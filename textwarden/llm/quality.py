@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import chunks, mix, stored, stored_by, texts, word_hashes, word_starts
+from .shared import chunks, mix, scratch, shared_folder, stored, stored_by, texts, word_hashes, word_starts
 
 #: Symbols of an n-gram: 5 times 12 bits fit one signed 64-bit number.
 ORDER, BITS = 5, 12
@@ -448,7 +448,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"coalesce(cast(`{lang_col}` as string), '') as lang", f"`{text_col}` as text", f"xxhash64(`{text_col}`) as row_hash")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    measured = stored(measure(docs).withColumn("base_failed", failed))
+    folder = shared_folder(docs.sparkSession)
+    with scratch(docs.sparkSession):  # the packed texts and the model go when the documents are measured
+        measured = stored(measure(docs).withColumn("base_failed", failed), folder)
     band = stored(bands(measured))
     if band.count() <= 10_000:  # a row per language
         band = F.broadcast(band)

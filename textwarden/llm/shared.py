@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -27,39 +29,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; removed when the driver ends.
+    """A new folder below spark.checkpoint.dir, which driver and executors share; removed when the driver ends, or with the scratch it is in.
 
     Without that setting a local folder is taken if all runs on this machine (master local), else there is none to take.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = _SCRATCH.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "textwarden-checkpoints")
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(conf)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop_path)
     fs.deleteOnExit(hadoop_path)
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage and outlives executors."""
-    path = shared_folder(df.sparkSession) + "/t"
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside is removed at the end: results that need it must have been stored in a folder from outside by then."""
+    path = shared_folder(spark)
+    outer = _SCRATCH.set(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(outer)
+        for name in _TABLES.pop(path, []):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder (or a new one) and read again: cuts the lineage and outlives executors."""
+    path = (folder or shared_folder(df.sparkSession)) + "/t"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bucketed tables by the scratch they are in.
+_TABLES: dict[str, list[str]] = {}
+
+
 def stored_by(df: DataFrame, column: str) -> DataFrame:
     """stored(), in as many buckets of a column as Spark has shuffle partitions: what groups by it later needs no shuffle of df."""
     spark = df.sparkSession
     name = f"textwarden_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(n, column).option("path", shared_folder(spark) + "/t").saveAsTable(name)
+    _TABLES.setdefault(_SCRATCH.get() or "", []).append(name)
     return spark.table(name)
 
 
