@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, lines, neardup, packing, quality, secrets, tokens, toxicity
+from . import bpe, chat, divergence, fingerprints, lines, merkle, neardup, packing, quality, secrets, simhash, tokens, toxicity
 from .shared import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -71,6 +71,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_secrets": op2_secrets,
@@ -82,7 +95,12 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_simhash": op12_simhash,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLE_SQL = {
     "op3_line_dedup": lines.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL,
 }
