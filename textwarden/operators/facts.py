@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,33 +28,53 @@ def checks_of(rows: DataFrame, keys: list[str], checks: list[Check], passes: tup
 
 
 def clean_id(value: Column) -> Column:
-    bare = F.upper(F.regexp_replace(value, r"\s+", ""))
-    bare = F.regexp_replace(bare, "X$", "x")
+    """An id of one or two letters, up to three digits and perhaps an x, upper-case and without blanks; else null."""
+    bare = F.replace(F.upper(F.regexp_replace(value, r"\s+", "")), F.lit("X"), F.lit("x"))
     return F.when(bare.rlike(r"^[A-Z]{1,2}\d{1,3}x?$"), bare)
 
 
+def stripped(value: Column) -> Column:
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
+
+
+def objects_in(raw: DataFrame, prefix: str, wanted: Callable[[Callable[[str], Column]], Column] | None = None) -> DataFrame:
+    """raw: case_id, payload (JSON array). case_id, pos, id, item (variant): the objects of the payload, or those for which `wanted` of their
+    fields holds; malformed JSON gives no rows.
+
+    An id that is missing or malformed is made from the item's place (F3); one that an earlier item has, made ids included, becomes F3x.
+    """
+    def wish(item: Column, at: Column) -> Column:
+        field = lambda name: F.try_variant_get(item, f"$.{name}", "string")
+        given = F.coalesce(clean_id(field("id")), F.concat(F.lit(prefix), (at + 1).cast("string")))
+        ok = F.startswith(F.schema_of_variant(item), F.lit("OBJECT"))
+        return F.when(ok & wanted(field) if wanted else ok, given)
+
+    def settled(ids: Column, new: Column) -> Column:
+        seen = F.coalesce(F.array_contains(ids, new), F.lit(False))
+        place = F.concat(F.lit(prefix), (F.size(ids) + 1).cast("string"), F.lit("x"))
+        return F.concat(ids, F.array(F.when(new.isNotNull() & seen, place).otherwise(new)))
+
+    rows = raw.select("case_id", F.expr("try_variant_get(try_parse_json(payload), '$', 'array<variant>')").alias("items"))
+    rows = rows.withColumn("ids", F.aggregate(F.transform("items", wish), F.array().cast("array<string>"), settled))
+    rows = rows.select("case_id", "ids", F.posexplode("items").alias("at", "item"))
+    return rows.select("case_id", (F.col("at") + 1).alias("pos"), F.get("ids", F.col("at")).alias("id"), "item").filter("id is not null")
+
+
 def normalise(raw: DataFrame) -> DataFrame:
     """raw: case_id, payload (JSON array of facts). One row per object in it: case_id, pos, fact_id and fields.
 
-    Items that are no objects are dropped; bad kinds become `other`, bad actions null. An id that is missing or malformed, or that an
-    earlier item has, is made from the item's place: F3, F3x. Malformed JSON gives no rows.
+    Items that are no objects are dropped; bad kinds become `other`, bad actions null. Ids as objects_in() says.
     """
-    items = raw.select("case_id", F.posexplode(F.expr("try_variant_get(try_parse_json(payload), '$', 'array<variant>')")).alias("at", "item"))
-    items = items.filter(F.expr("schema_of_variant(item) like 'OBJECT%'"))
     field = lambda name: F.expr(f"try_variant_get(item, '$.{name}', 'string')")
-    rows = items.select(
+    return objects_in(raw, "F").select(
         "case_id",
-        (F.col("at") + 1).alias("pos"),
-        clean_id(field("id")).alias("given"),
+        "pos",
         F.when(field("kind").isin(*KINDS), field("kind")).otherwise("other").alias("kind"),
         F.when(field("med_action").isin(*ACTIONS), field("med_action")).alias("med_action"),
         *(field(n).alias(n) for n in ("drug", "dose", "frequency")),
         *(F.coalesce(field(n), F.lit("")).alias(n) for n in ("detail", "source_quote")),
+        F.col("id").alias("fact_id"),
     )
-    nth = F.row_number().over(Window.partitionBy("case_id", "given").orderBy("pos"))
-    place = F.concat(F.lit("F"), F.col("pos").cast("string"))
-    fact_id = F.when(F.col("given").isNull(), place).when(nth > 1, F.concat(place, F.lit("x"))).otherwise(F.col("given"))
-    return rows.withColumn("fact_id", fact_id).drop("given")
 
 
 def risk(kind: Column, action: Column, drug: Column, named: Column, lexicon: Lexicon = DEFAULT) -> Column:

@@ -10,26 +10,23 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lex
 from ..functions import text as tx
 from ..functions.dims import DEFAULT, SECTIONS, Lexicon
-from .facts import checks_of, clean_id, features
+from .facts import checks_of, clean_id, features, objects_in, stripped
 
 KEY = ["case_id", "sent_id"]
 
 
 def normalise(raw: DataFrame) -> DataFrame:
-    """raw: case_id, payload (JSON array). case_id, pos, sent_id, section, text_en, fact_ids; blank ones are dropped."""
-    items = raw.select("case_id", F.posexplode(F.expr("try_variant_get(try_parse_json(payload), '$', 'array<variant>')")).alias("at", "item"))
-    items = items.filter(F.expr("schema_of_variant(item) like 'OBJECT%'"))
+    """raw: case_id, payload (JSON array). case_id, pos, sent_id, section, text_en, fact_ids; blank ones are dropped. Ids as objects_in() says."""
     field = lambda name: F.expr(f"try_variant_get(item, '$.{name}', 'string')")
     ids = F.coalesce(F.expr("try_variant_get(item, '$.fact_ids', 'array<string>')"), F.array(field("fact_ids")))
-    rows = items.select(
+    return objects_in(raw, "S", lambda of: stripped(F.coalesce(of("text"), F.lit(""))) != "").select(
         "case_id",
-        (F.col("at") + 1).alias("pos"),
-        F.coalesce(clean_id(field("id")), F.concat(F.lit("S"), (F.col("at") + 1).cast("string"))).alias("sent_id"),
+        "pos",
+        F.col("id").alias("sent_id"),
         F.when(field("section").isin(*SECTIONS), field("section")).otherwise("daily_care").alias("section"),
-        F.btrim(F.coalesce(field("text"), F.lit(""))).alias("text_en"),
+        stripped(field("text")).alias("text_en"),
         F.array_compact(F.transform(ids, clean_id)).alias("fact_ids"),
     )
-    return rows.filter("text_en <> ''")
 
 
 def cited(sentences: DataFrame, facts: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:

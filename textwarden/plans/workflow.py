@@ -14,9 +14,15 @@ from .registry import chosen, query, rows_of, table, written
 # ------------------------------------------------------------------ facts read from payloads and sources
 
 _PAYLOADS = [
-    '[\1"id":"F1","kind":"medication","med_action":"stop","drug":"{drug}","source_quote":"STOP: {drug}"\2,"no object",\1"id":"f 2","kind":"odd","detail":{n}\2,\1"id":"F1","kind":"follow_up"\2,\1"kind":"test","med_action":"give"\2]',
+    '[\1"id":"F1","kind":"medication","med_action":"stop","drug":"{drug}","source_quote":"STOP: {drug}"\2,"no object",\1"id":"f 2","kind":"odd","detail":{n}\2,\1"id":"F1","kind":"follow_up"\2,\1"kind":"pending_result","med_action":"give"\2]',
     "\1broken {n}",
     '[\1"id":"F{d}x","kind":"diet","dose":"{n} g","frequency":"daily"\2,[1],\1"id":"F1000","drug":null,"kind":"warning_sign","detail":"call"\2]',
+    '[\1"kind":"diet"\2,\1"id":"F1","kind":"test"\2,\1"id":"F3x","kind":"activity","detail":"{n}"\2,\1"id":"f3X"\2,\1"id":"X9","med_action":"hold"\2]',
+]
+#: As the texts of a draft: a repeated id, blank texts that take no id, an id that a made one has taken, a lone cited id.
+_DRAFTS = [
+    '[\1"id":"S1","section":"why","text":" You were ill. ","fact_ids":["f1","F {d}","bad id"]\2,\1"id":"S1","text":"Take {n}.","fact_ids":"F1"\2,\1"id":"S4","text":"  "\2,\1"id":"S4","section":"odd","text":"Call {d}"\2,\1"section":"why","text":"x"\2,"no"]',
+    '[\1"text":"First."\2,\1"id":"s 1","text":"Second."\2,\1"id":"S2x","text":"Third.","section":"medicines"\2]',
 ]
 
 
@@ -25,14 +31,25 @@ def _braces(sql: str) -> str:
 
 
 @query(_braces(wanted(_PAYLOADS, [
-    (0, "1", "F1", "medication", "stop", "{drug}", "", "STOP: {drug}"), (0, "3", "F2", "other", None, None, "{n}", ""), (0, "4", "F4x", "follow_up", None, None, "", ""), (0, "5", "F5", "test", None, None, "", ""),
+    (0, "1", "F1", "medication", "stop", "{drug}", "", "STOP: {drug}"), (0, "3", "F2", "other", None, None, "{n}", ""), (0, "4", "F4x", "follow_up", None, None, "", ""), (0, "5", "F5", "pending_result", None, None, "", ""),
     (2, "1", "F{d}x", "diet", None, None, "", ""), (2, "3", "F3", "warning_sign", None, None, "call", ""),
+    (3, "1", "F1", "diet", None, None, "", ""), (3, "2", "F2x", "other", None, None, "", ""), (3, "3", "F3x", "activity", None, None, "{n}", ""),
+    (3, "4", "F4x", "other", None, None, "", ""), (3, "5", "F5", "other", "hold", None, "", ""),
 ], "pos fact_id kind med_action drug detail source_quote")))
 def fact_extract_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = rows_of(spark, sf_dir, _braces(made(_PAYLOADS)), "part").select(F.col("p_partkey").alias("case_id"), F.col("text").alias("payload"))
     return facts.normalise(raw).select(F.col("case_id").alias("p_partkey"), F.col("pos").cast("string").alias("pos"), "fact_id", "kind", "med_action", "drug", "detail", "source_quote")
 
 
+@query(_braces(wanted(_DRAFTS, [
+    (0, "1", "S1", "why", "You were ill.", "F1/F{d}"), (0, "2", "S2x", "daily_care", "Take {n}.", "F1"), (0, "4", "S4", "daily_care", "Call {d}", ""), (0, "5", "S5", "why", "x", ""),
+    (1, "1", "S1", "daily_care", "First.", ""), (1, "2", "S2x", "daily_care", "Second.", ""), (1, "3", "S3x", "medicines", "Third.", ""),
+], "pos sent_id section text_en fact_ids")))
+def draft_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = rows_of(spark, sf_dir, _braces(made(_DRAFTS)), "part").select(F.col("p_partkey").alias("case_id"), F.col("text").alias("payload"))
+    return sentences.normalise(raw).select(F.col("case_id").alias("p_partkey"), F.col("pos").cast("string").alias("pos"), "sent_id", "section", "text_en", F.array_join("fact_ids", "/").alias("fact_ids"))
+
+
 #: The source of every case; drug and drug2 differ.
 _SOURCE = (
     "STOP taking these medicines:\nNaproxen 400 mg\n{drug} {n} mg\n\n{drug2} 25 mg twice daily\nCONTINUE: Lasix {n} mg daily, keep potassium in range\nNEW: Eliquis 5 mg\n"
