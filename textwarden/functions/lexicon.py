@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dims import ACTION_WORDS, CONTINUE, CUES, DEFAULT, EXPECTED_SCRIPTS, LABEL, LABELS, LIMIT, NOT_A_STOP, REASSURANCE, SCRIPTS, STOP, STOP_WORDS, TEMPORARY, Lexicon
-from .text import _all, _map, _text, digits_in
+from .text import _all, _between, _map, _text, digits_in, let, one_of
 
 WORD = r"[a-zA-ZÀ-ÿ]+"
 DOSE = r"(?i)\b\d+(?:[.,/]\d+)?\s*(?:mg|mcg|g|units?|puffs?|tablets?|capsules?|ml)\b"
@@ -17,12 +17,17 @@ FOLLOW_UP = r"(?i)\b(?:follow-?up|appointment|clinic|class|lab|blood test|panel|
 PLACEHOLDER = r"\[(?:PATIENT|CLINICIAN|CONTACT|MRN|ID|DATE_OF_BIRTH|DATE|EMAIL|PHONE|ADDRESS)_\d+\]"
 
 
+def generic(word: Column, lexicon: Lexicon = DEFAULT) -> Column:
+    """The generic name that a known lower-case word stands for; only names that differ from it are looked up, as Spark goes through a map entry by entry."""
+    other = {w: name for w, name in lexicon.canonical().items() if w != name}
+    return F.when(word.isin(*other), F.element_at(_map(other), word)).otherwise(word)
+
+
 def drugs_in(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """Medicines that a text names, brands and synonyms as their generic name, in order of appearance."""
-    names = _map(lexicon.canonical())
-    # A hashed set finds the few words that are names; only those go to the map.
+    # A hashed set finds the few words that are names.
     known = F.filter(_all(F.lower(_text(text)), WORD), lambda w: w.isin(*lexicon.canonical()))
-    return F.array_distinct(F.transform(known, lambda w: F.element_at(names, w)))
+    return F.array_distinct(F.transform(known, lambda w: generic(w, lexicon)))
 
 
 def canonical_drug(name: Column, lexicon: Lexicon = DEFAULT) -> Column:
@@ -87,24 +92,29 @@ def is_labelled(quote: Column) -> Column:
 
 def clause_for(text: Column, drug: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """The first clause that names the medicine, else the text."""
-    parts = F.split(_text(text), r"[.;]|\bbut\b|\band\b")
+    parts = _between(_text(text), r"[.;]|\bbut\b|\band\b")
     return F.coalesce(F.get(F.filter(parts, lambda p: F.array_contains(drugs_in(p, lexicon), drug)), F.lit(0)), _text(text))
 
 
 def span_for(text: Column, drug: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """The part of a text about one medicine: from its first mention back to the last point, comma or other medicine, and on to the
     next other medicine. The text if it isn't named."""
-    names = _map(lexicon.canonical())
-    words = r"(?i)(?<![a-zA-ZÀ-ÿ])(" + "|".join(sorted(lexicon.canonical(), key=len, reverse=True)) + r")(?![a-zA-ZÀ-ÿ])"
+    words = r"(?i)(?<![a-zA-ZÀ-ÿ])(" + one_of(lexicon.canonical()) + r")(?![a-zA-ZÀ-ÿ])"
     t = _text(text)
-    found, between = _all(t, words, 1), F.split(t, words, -1)
-    marks = F.transform(F.arrays_zip(found.alias("word"), F.slice(between, 2, F.size(between)).alias("after")), lambda m: F.struct(m["word"], m["after"], (F.element_at(names, F.lower(m["word"])) == drug).alias("own")))
-    first = F.array_position(F.transform(marks, lambda m: m["own"]), F.lit(True)).cast("int")
-    before = F.regexp_replace(F.get(between, first - 1), r"(?s)^.*[.;,]", "")
     start = F.struct(F.lit("").alias("text"), F.lit(False).alias("over"))
     piece = lambda acc, m: F.struct(F.when(acc["over"] | ~m["own"], acc["text"]).otherwise(F.concat(acc["text"], m["word"], m["after"])).alias("text"), (acc["over"] | ~m["own"]).alias("over"))
-    on = F.aggregate(F.slice(marks, first, F.size(marks)), start, piece, lambda acc: acc["text"])
-    return F.when(first > 0, F.concat(before, on)).otherwise(t)
+
+    def marked(between: Column) -> Column:
+        own = lambda word: generic(F.lower(word), lexicon) == drug
+        return F.transform(F.arrays_zip(_all(t, words, 1).alias("word"), F.slice(between, 2, F.size(between)).alias("after")), lambda m: F.struct(m["word"], m["after"], own(m["word"]).alias("own")))
+
+    def part(between: Column) -> Column:
+        return let(marked(between), lambda marks: let(F.array_position(F.transform(marks, lambda m: m["own"]), F.lit(True)).cast("int"), lambda first: F.when(
+            first > 0,
+            F.concat(F.regexp_replace(F.get(between, first - 1), r"(?s)^.*[.;,]", ""), F.aggregate(F.slice(marks, first, F.size(marks)), start, piece, lambda acc: acc["text"])),
+        ).otherwise(t)))
+
+    return let(_between(t, words), part)
 
 
 def foreign_script(text: Column, lang: str) -> Column:

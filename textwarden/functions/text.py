@@ -5,7 +5,7 @@ Sets are arrays of distinct values, never null: of a null text they are empty.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,29 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+#: Parts a text where a pattern matched; no character of a text, and where one is, the slow way is taken.
+_CUT = "\uffff"
+
+
+def _between(text: Column, pattern: str) -> Column:
+    """What stands between the matches of a pattern: split(), which compiles its pattern anew for every row, by a replacement, which doesn't."""
+    quick = F.split(F.regexp_replace(text, pattern, _CUT), _CUT, -1)
+    return F.when(F.contains(text, F.lit(_CUT)), F.split(text, pattern, -1)).otherwise(quick)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often it is used: inside lambdas Spark shares no common expressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def one_of(words: Iterable[str]) -> str:
+    """A pattern for any of the words, the longest first, by their first letters: so that few are tried at each place."""
+    groups: dict[str, list[str]] = {}
+    for w in sorted(words, key=len, reverse=True):
+        groups.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items())
+
+
 def _text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -70,7 +93,7 @@ def syllables(word: Column) -> Column:
 
 def fk_grade(text: Column) -> Column:
     """Flesch-Kincaid grade of English text, not below 0, one decimal (half up); 0 without sentences or words."""
-    sentences = F.size(F.filter(F.split(_text(text), r"[.!?]+(?:\s|$)|\n+"), lambda s: s.rlike("[A-Za-z]")))
+    sentences = F.size(F.filter(_between(_text(text), r"[.!?]+(?:\s|$)|\n+"), lambda s: s.rlike("[A-Za-z]")))
     words = _all(_text(text), r"[A-Za-z][A-Za-z'-]*")
     n = F.size(words)
     total = F.aggregate(words, F.lit(0), lambda acc, w: acc + syllables(w).cast("int"))
@@ -209,7 +232,7 @@ def times_in(text: Column, lang: str = "en") -> Column:
     """
     t = _text(text)
     # What stands between the matches shows what is around each.
-    matches, between = _all(t, TIME), F.split(t, TIME, -1)
+    matches, between = _all(t, TIME), _between(t, TIME)
     groups = [_all(t, TIME, g) for g in range(1, 8)]
     places = F.sequence(F.lit(0), F.greatest(F.size(matches) - 1, F.lit(0)))
     at = lambda array, shift: F.transform(places, _getter(array, shift))

@@ -22,9 +22,11 @@ INVENTED = " Also take aspirin every day."
 
 def _reading(text: Column, drug: Column, other: Column, lexicon: Lexicon) -> Column:
     """The text with each spelling of one medicine as another name."""
-    names = [F.lit(w) for w, name in lexicon.canonical().items()]
-    spelled = F.filter(F.array(*names), lambda w: lex.canonical_drug(w, lexicon) == drug)
-    pattern = F.concat(F.lit(r"(?i)(?<![a-zA-ZÀ-ÿ])(?:"), F.array_join(spelled, "|"), F.lit(r")(?![a-zA-ZÀ-ÿ])"))
+    spelled: dict[str, list[str]] = {}
+    for word, name in lexicon.canonical().items():
+        spelled.setdefault(name, []).append(word)
+    names = F.try_element_at(F.create_map(*(F.lit(x) for name, words in spelled.items() for x in (name, "|".join(words)))), drug)
+    pattern = F.concat(F.lit(r"(?i)(?<![a-zA-ZÀ-ÿ])(?:"), names, F.lit(r")(?![a-zA-ZÀ-ÿ])"))
     return F.regexp_replace(text, pattern, other)
 
 

@@ -84,7 +84,7 @@ def _meant(lexicon: Lexicon) -> Column:
     meds = _medicines()
     about = lambda f: f["med_action"].isNotNull() & f["canon"].isNotNull() & (F.array_contains("drugs", f["canon"]) | (F.size(meds) == 1))
     # Where one medicine is named its clause decides; the text's own polarity is taken where the clause is the text.
-    pol = lambda f: F.when((F.size("drugs") <= 1) | ~F.array_contains("drugs", f["canon"]), F.col("polarity")).otherwise(lex.polarity(lex.clause_for(F.col("text_en"), f["canon"], lexicon)))
+    pol = lambda f: F.when((F.size("drugs") <= 1) | ~F.array_contains("drugs", f["canon"]), F.col("polarity")).otherwise(tx.let(lex.clause_for(F.col("text_en"), f["canon"], lexicon), lex.polarity))
     return F.transform(F.filter(meds, about), lambda f: F.struct(f["med_action"].alias("action"), pol(f).alias("p"), f["quote_polarity"].alias("q")))
 
 
@@ -110,7 +110,7 @@ def sentence_checks(rows: DataFrame, lexicon: Lexicon = DEFAULT, only: list[str]
     # What a text with one medicine and no inner stop says is about that medicine; else the part about it decides.
     text = F.col("text_en")
     single = (F.size("drugs") <= 1) & ~text.rlike(r"[.;,]\s*\S")
-    about_it = lambda whole, read: lambda f: F.when(single, whole).otherwise(read(lex.span_for(text, f["canon"], lexicon)))
+    about_it = lambda whole, read: lambda f: F.when(single, whole).otherwise(tx.let(lex.span_for(text, f["canon"], lexicon), read))
     said = about_it(F.col("per_day"), tx.per_day)
     often = lambda f: named(f) & (F.size(f["per_day"]) > 0) & (F.size(F.array_except(said(f), f["per_day"])) > 0)
     when_needed = about_it(F.col("prn") | lex.states_limit(text), lambda x: lex.has_cue(x, "en", "prn") | lex.states_limit(x))

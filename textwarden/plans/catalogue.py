@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
@@ -212,16 +212,17 @@ def _mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mutation.mutants(good, F.col("other")).withColumn("sent_id", F.concat_ws("/", "base", "mutation"))
     checks = sentences.sentence_checks(sentences.with_cited(made, inputs.facts_of_cases(spark, sf_dir)))
     worst = rollup.statuses(checks, ["case_id", "sent_id"])
-    joined = made.select("case_id", "sent_id", "base", "mutation").join(worst, ["case_id", "sent_id"], "left")
-    return joined.withColumn("flagged", F.coalesce(F.col("status") != "green", F.lit(False))).withColumn("blocked", F.coalesce(F.col("status") == "red", F.lit(False)))
+    # The checks carry case and sentence; which error it is stands in the sentence's id, so that errors are put in once.
+    named = worst.select("case_id", F.split_part("sent_id", F.lit("/"), F.lit(1)).alias("base"), F.split_part("sent_id", F.lit("/"), F.lit(2)).alias("mutation"), "status")
+    return named.withColumn("flagged", F.coalesce(F.col("status") != "green", F.lit(False))).withColumn("blocked", F.coalesce(F.col("status") == "red", F.lit(False)))
 
 
 @query(f"SELECT mutation, CASE mutation WHEN 'hold_as_permanent_stop' THEN 'flagged' ELSE 'blocked' END AS outcome, count(*) AS n FROM ({_KINDS}) WHERE mutation <> 'clean' GROUP BY mutation")
 def mutation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against the clean sentence: blocked before flagged before slipped."""
     rows = _mutated(spark, sf_dir)
-    clean = rows.filter("mutation = 'clean'").select("case_id", "base", F.col("status").alias("clean_status"))
-    new = rows.filter("mutation <> 'clean'").join(clean, ["case_id", "base"])
+    clean = F.max(F.when(F.col("mutation") == "clean", F.col("status"))).over(Window.partitionBy("case_id", "base"))
+    new = rows.withColumn("clean_status", clean).filter("mutation <> 'clean'")
     outcome = F.when(F.col("blocked") & (F.col("clean_status") != "red"), "blocked").when(F.col("flagged") & (F.col("clean_status") == "green"), "flagged").otherwise("slipped")
     return new.groupBy("mutation", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
