@@ -14,7 +14,7 @@ from ..streaming import streams
 from . import inputs
 from .inputs import EXPECTED, FACTS, SENTENCES
 
-from .registry import QUERIES, SQL, Query, query
+from .registry import QUERIES, SQL, Query, query, spread
 from .registry import table as _table
 
 
@@ -235,7 +235,7 @@ _EMAIL = r"([\w.+-]+@[\w-]+\.[\w.]*\w)"
 @query(rf"SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '{_EMAIL}', 1), lambda x: lower(x)))) AS n FROM documents WHERE regexp_matches(text, '{_EMAIL}')")
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with e-mail addresses, all rules at work, and how many tokens stand for them; each is in the text."""
-    docs = masking.mask(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    docs = masking.mask(spread(_table(spark, sf_dir, "documents")).select("doc_id", "text"), "text")
     mine = F.filter("mapping", lambda m: F.startswith(m["token"], F.lit("[EMAIL_")))
     rows = docs.select("doc_id", F.size(mine).cast("long").alias("n"), F.size(F.array_distinct(F.regexp_extract_all("masked", F.lit(r"\[EMAIL_\d+\]"), F.lit(0)))).alias("tokens"))
     return rows.filter("n > 0 and tokens = n").select("doc_id", "n")
@@ -244,14 +244,14 @@ def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, false AS touched FROM documents")
 def mask_leaves_common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a rule has taken a lower-case word of letters for a value: none may."""
-    docs = masking.mask(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", masking.RULES)
+    docs = masking.mask(spread(_table(spark, sf_dir, "documents")).select("doc_id", "text"), "text", masking.RULES)
     return docs.select("doc_id", F.exists("mapping", lambda m: m["value"].rlike(r"^\p{Ll}+$")).alias("touched"))
 
 
 @query()
 def mask_counts_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, kind, n: masked values of every kind, with every rule at work. No SQL: the rules need look-around."""
-    return masked_kinds(_table(spark, sf_dir, "documents"))
+    return masked_kinds(spread(_table(spark, sf_dir, "documents")))
 
 
 def masked_kinds(docs: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def masked_kinds(docs: DataFrame) -> DataFrame:
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
 def mask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """unmask(mask(text)) is the text, with every rule at work."""
-    docs = masking.mask(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    docs = masking.mask(spread(_table(spark, sf_dir, "documents")).select("doc_id", "text"), "text")
     return docs.select("doc_id", F.sha2(masking.unmask(F.col("masked"), F.col("mapping")).cast("binary"), 256).alias("digest"))
 
 
@@ -275,13 +275,13 @@ g AS (SELECT source, CASE WHEN sent = 0 OR n = 0 THEN 0.0 ELSE round(greatest(CA
 SELECT source, count(*) AS n, CAST(floor(avg(grade)) AS BIGINT) AS grade FROM g GROUP BY source
 """)
 def readability_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").filter("lang = 'en'").select("source", tx.fk_grade(F.col("text")).alias("grade"))
+    docs = spread(_table(spark, sf_dir, "documents")).filter("lang = 'en'").select("source", tx.fk_grade(F.col("text")).alias("grade"))
     return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.floor(F.avg("grade")).alias("grade"))
 
 
 @query(r"SELECT lang, sum(len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS words FROM documents GROUP BY lang")
 def word_count_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(tx.word_count(F.col("text"))).cast("decimal(38,0)").alias("words"))
+    return spread(_table(spark, sf_dir, "documents")).groupBy("lang").agg(F.sum(tx.word_count(F.col("text"))).cast("decimal(38,0)").alias("words"))
 
 
 _WORDS = tx.WORD_NUMBERS
@@ -298,14 +298,14 @@ SELECT doc_id, len(found) AS n, array_to_string(found, ' ') AS numbers FROM n WH
 """)
 def numbers_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What numbers_in finds in each document: decimals, separators and number words included."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.array_sort(tx.numbers_in(F.col("text"))).alias("found"))
+    docs = spread(_table(spark, sf_dir, "documents")).select("doc_id", F.array_sort(tx.numbers_in(F.col("text"))).alias("found"))
     return docs.filter("size(found) > 0").select("doc_id", F.size("found").cast("long").alias("n"), F.array_join("found", " ").alias("numbers"))
 
 
 @query()
 def number_values_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, number: what numbers_in finds, decimals, separators and number words included. No SQL."""
-    return number_values(_table(spark, sf_dir, "documents"))
+    return number_values(spread(_table(spark, sf_dir, "documents")))
 
 
 def number_values(docs: DataFrame) -> DataFrame:
@@ -314,19 +314,19 @@ def number_values(docs: DataFrame) -> DataFrame:
 
 @query(r"SELECT lang, count(*) FILTER (WHERE regexp_matches(text, '[\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}\x{0400}-\x{04ff}\x{0600}-\x{06ff}\x{0e00}-\x{0e7f}]')) AS n FROM documents GROUP BY lang")
 def foreign_script_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(lex.foreign_script(F.col("text"), "en") != "").alias("n"))
+    return spread(_table(spark, sf_dir, "documents")).groupBy("lang").agg(F.count_if(lex.foreign_script(F.col("text"), "en") != "").alias("n"))
 
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_exact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item word for word: met over inner words, then compared whole."""
-    return quotes.exact(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+    return quotes.exact(_table(spark, sf_dir, "benchmark"), spread(_table(spark, sf_dir, "documents")))
 
 
 @query()
 def quote_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, doc_id: items that a document holds word for word or nearly. No SQL: the similarity is the standard library's; tests compare all pairs."""
-    return quotes.near(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+    return quotes.near(_table(spark, sf_dir, "benchmark"), spread(_table(spark, sf_dir, "documents")))
 
 
 # ------------------------------------------------------------------ quiz, packets, reviews

@@ -29,6 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out where its files give fewer tasks than there are cores: for work that costs far more than a shuffle of its rows.
+
+    A large table has more parts than cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(template: str, values: dict[str, str]) -> str:
     """A SQL expression both engines run: the template with {name} replaced by an expression's value."""
     parts = [p for p in re.split(r"(\{\w+\}|\n|')", template) if p]
