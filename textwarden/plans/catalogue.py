@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lex
 from ..functions import masking
 from ..functions import text as tx
-from ..operators import coverage, facts, mutation, packet, quiz, quotes, review, rollup, sentences
+from ..operators import coverage, facts, mutation, packet, quiz, quotes, recheck, review, rollup, sentences
 from ..sources import readers
 from ..streaming import streams
 from . import inputs
@@ -85,18 +85,22 @@ def _blockers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return cases, rollup.blockers(judged, missing, found, issues, cases)
 
 
-_OMISSIONS = f"""
+def _omissions_sql(facts_from: str, told_by: str) -> str:
+    return f"""
 SELECT f.case_id, f.fact_id, unnest([
     CASE WHEN s.n IS NULL THEN 'not_explained'
          WHEN f.med_action IN ('new', 'changed', 'continue') AND NOT dose_said THEN 'dose_never_stated' END,
     CASE WHEN s.n IS NOT NULL AND NOT named THEN 'never_named'
          WHEN s.n IS NOT NULL AND f.med_action IN ('stop', 'hold') AND NOT stop_said THEN 'stop_not_clear' END]) AS rule
-FROM (SELECT DISTINCT case_id, fact_id, med_action FROM ({SENTENCES})) f
+FROM (SELECT DISTINCT case_id, fact_id, med_action FROM ({facts_from})) f
 LEFT JOIN (SELECT case_id, fact_id, count(*) AS n, bool_or(k <> 0) AS dose_said, bool_or(k <> 1) AS named, bool_or(k NOT IN (1, 2)) AS stop_said
-           FROM ({SENTENCES}) WHERE k <> 3 GROUP BY case_id, fact_id) s USING (case_id, fact_id)
+           FROM ({told_by}) WHERE k <> 3 GROUP BY case_id, fact_id) s USING (case_id, fact_id)
 """
 
 
+_OMISSIONS = _omissions_sql(SENTENCES, SENTENCES)
+
+
 @query(f"SELECT case_id, fact_id, rule FROM ({_OMISSIONS}) WHERE rule IS NOT NULL")
 def coverage_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.omissions(inputs.facts_of_cases(spark, sf_dir), inputs.sentences(spark, sf_dir))
@@ -188,6 +192,69 @@ def uncovered_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ------------------------------------------------------------------ reviewers' work, checked again
+
+#: Of every tenth case: what k = 0 has wrong is edited right, k = 6 is edited wrong, k = 7 and k = 1 (red) are approved, k = 8 is removed, and of k = 9 English
+#: alone is edited where there is a translation.
+_TOUCHED = "case_id % 10 = 0 AND k IN (0, 1, 6, 7, 8, 9)"
+
+
+def _rechecked(spark: SparkSession, sf_dir: str) -> recheck.Checked:
+    """The stored checks are taken from the keys alone, so that only what is touched is read."""
+    inputs.load(spark, sf_dir, "lineitem", "part")
+    rows = inputs.sentences(spark, sf_dir)
+    own = inputs.facts_of_cases(spark, sf_dir)
+    k, no = F.col("k"), F.lit(False)
+    known = spark.sql(inputs.spark_sql(EXPECTED)).select("case_id", "p_partkey", "text_en", "k", "status", "risk").distinct()
+    state = rows.join(known, ["case_id", "p_partkey", "text_en", "k"]).select(
+        "case_id", "sent_id", "k", "dose_n", (k == 9).alias("translated"), no.alias("judged"), "text_en", F.when(k == 9, "Texto").alias("text_tl"), "fact_ids", F.lit("").alias("back_en"), F.lit(None).cast("string").alias("verdict"),
+        no.alias("tl_stale"), no.alias("removed"), F.lit(None).cast("string").alias("review"), "status", "risk", ((F.col("status") != "green") | (F.col("risk") == "high")).alias("needs_review"),
+    )
+    folder = streams.new_folder(spark)
+    state.write.parquet(f"{folder}/sentences")
+    state = spark.read.schema(state.schema).parquet(f"{folder}/sentences")
+    none = spark.createDataFrame([], "case_id long, sent_id string, seq int, name string, status string")
+    stored = recheck.Checked(state, none, coverage.omissions(own, rows))
+    right = F.regexp_replace("text_en", F.concat(F.col("dose_n").cast("string"), F.lit("0 ")), F.concat(F.col("dose_n").cast("string"), F.lit(" ")))
+    wrong = F.regexp_replace("text_en", F.concat(F.lit(" "), F.col("dose_n").cast("string"), F.lit(" ")), F.concat(F.lit(" "), F.col("dose_n").cast("string"), F.lit("0 ")))
+    text = F.when(k == 0, right).when(k == 6, wrong).when(k == 9, F.concat(F.lit("Please: "), "text_en"))
+    action = F.when(k.isin(1, 7), "approve").when(k == 8, "remove").otherwise("edit")
+    events = state.filter(_TOUCHED).select("case_id", "sent_id", F.lit(1).alias("at"), action.alias("action"), text.alias("text_en"), F.lit(None).cast("string").alias("text_tl"), F.lit(None).cast("array<string>").alias("fact_ids"))
+    return recheck.recheck(stored, own, events, folder)
+
+
+@query(f"""
+WITH s AS (SELECT *, {_TOUCHED} AS touched FROM ({EXPECTED})),
+t AS (SELECT *, CASE WHEN touched AND k = 8 THEN NULL WHEN touched AND k = 0 THEN 'green' WHEN touched AND k IN (6, 9) THEN 'red' ELSE status END AS now,
+  CASE WHEN touched AND k = 7 THEN 'approved' WHEN touched AND k IN (0, 6, 9) THEN 'edited' END AS review FROM s)
+SELECT case_id, k, now AS status, review, touched AND k = 8 AS removed, touched AND k = 9 AS tl_stale,
+  CASE WHEN touched AND k = 8 THEN NULL WHEN touched AND k = 7 THEN false ELSE now <> 'green' OR risk = 'high' END AS needs_review, count(*) AS n
+FROM t GROUP BY ALL
+""")
+def recheck_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rechecked(spark, sf_dir).sentences
+    return rows.groupBy("case_id", "k", "status", "review", "removed", "tl_stale", "needs_review").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+SELECT name, status, count(*) AS n FROM (
+  SELECT unnest([{{'name': 'citation', 'status': 'pass'}}, {{'name': 'numbers', 'status': CASE WHEN k = 6 THEN 'fail' ELSE 'pass' END}},
+    CASE WHEN k = 9 THEN {{'name': 'translation_stale', 'status': 'fail'}} END]) AS c
+  FROM ({EXPECTED}) WHERE {_TOUCHED} AND k IN (0, 6, 9)), LATERAL (SELECT c.name AS name, c.status AS status) WHERE name IS NOT NULL GROUP BY ALL
+""")
+def recheck_new_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks made again: of edited sentences only, as none were stored."""
+    return _rechecked(spark, sf_dir).checks.groupBy("name", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+SELECT case_id, fact_id, rule FROM ({_omissions_sql(SENTENCES, f"SELECT * REPLACE (CASE WHEN {_TOUCHED} AND k = 0 THEN 5 WHEN {_TOUCHED} AND k = 6 THEN 0 ELSE k END AS k) FROM ({SENTENCES}) WHERE NOT ({_TOUCHED} AND k = 8)")}) WHERE rule IS NOT NULL
+""")
+def recheck_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is missing after the edits and removals."""
+    return _rechecked(spark, sf_dir).omissions
+
+
 # ------------------------------------------------------------------ errors put in on purpose
 
 _OTHER = inputs.pick(inputs.DRUGS, "((p_partkey + 3) % 7)")
@@ -417,11 +484,17 @@ def stream_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.counted(_event_stream(spark, sf_dir), ["event_type"], streams.new_folder(spark))
 
 
-@query("SELECT user_id, event_id FROM (SELECT *, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '172799.999999' SECOND PRECEDING AND CURRENT ROW) AS n FROM events) WHERE event_type = 'error' AND n >= 3")
+@query("""
+WITH s AS (SELECT *, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts) AS since FROM events)
+SELECT user_id, event_id FROM (
+  SELECT *, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id, since ORDER BY ts RANGE BETWEEN INTERVAL '172799.999999' SECOND PRECEDING AND CURRENT ROW) AS n FROM s
+) WHERE event_type = 'error' AND n >= 3
+""")
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As a stream with state: failures that are the third or later of their user in two days."""
-    failed = _event_stream(spark, sf_dir).filter("event_type = 'error'").select("user_id", "event_id", "ts")
-    return streams.throttled(failed, streams.new_folder(spark), limit=3, seconds=172_800).select("user_id", "event_id")
+    """As a stream with state: failures that are the third or later of their user in two days, since the last purchase."""
+    kind = F.col("event_type")
+    rows = _event_stream(spark, sf_dir).filter(kind.isin("error", "purchase")).select("user_id", "event_id", "ts", (kind == "error").alias("failed"), (kind == "purchase").alias("ok"))
+    return streams.throttled(rows, streams.new_folder(spark), limit=3, seconds=172_800)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.facts import features
+from .registry import spread
 
 DRUGS = ["lisinopril", "warfarin", "metoprolol", "insulin", "furosemide", "omeprazole", "oxycodone"]
 UNITS = ["mg", "mcg", "ml", "units", "tablets"]
@@ -59,7 +60,7 @@ def facts_of_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts of each order's parts: case_id, the columns of FACTS and their features, computed once a part."""
     load(spark, sf_dir, "lineitem", "part")
     keys = spark.sql("SELECT DISTINCT l_orderkey AS case_id, l_partkey AS p_partkey FROM lineitem")
-    return keys.join(features(spark.sql(spark_sql(FACTS))), "p_partkey")
+    return keys.join(features(spread(spark.sql(spark_sql(FACTS)))), "p_partkey")
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
@@ -44,31 +45,82 @@ def counted(stream: DataFrame, keys: list[str], folder: str, size: str = "1 day"
     return rows.groupBy(*keys, "start").agg(F.max_by("n", "batch").alias("n"))
 
 
-def throttled(failures: DataFrame, folder: str, limit: int, seconds: int) -> DataFrame:
-    """Of failures (user_id, event_id, ts) those that are the limit-th or later of their user within the seconds up to them.
+#: Keeps list states and timers; it writes to the checkpoint folder that the query is given.
+_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+Event = tuple[int, int, bool, bool]  # event_id, microseconds, failed, ok
 
-    The state of a user is the times of the failures in the last `seconds`, in order; it ends when that time is over.
+
+def judge(events: list[Event], failures: list[int], limit: int, span: int) -> tuple[list[int], list[int]]:
+    """Ids of the failures among events that are the limit-th or later within `span` up to them, and the times of failures that count from now on.
+
+    failures: those that count so far. Events of one time are one step: a success clears what was before, then its failures count together.
     """
-    span = pd.Timedelta(seconds=seconds)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = [pd.Timestamp(t) for t in state.get[0]] if state.exists else []
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, ts in zip(rows["event_id"], rows["ts"], strict=True):
-            held = [t for t in held if t > ts - span] + [ts]
-            if len(held) >= limit:
-                out.append(event_id)
-        state.update(([t.value for t in held],))
-        state.setTimeoutTimestamp(int(held[-1].timestamp() * 1000) + seconds * 1000)
-        yield pd.DataFrame({"user_id": [key[0]] * len(out), "event_id": out})
-
-    watched = failures.withWatermark("ts", f"{seconds} seconds").groupBy("user_id")
-    blocked = watched.applyInPandasWithState(step, "user_id long, event_id long", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-    return drained(blocked, folder)
+    out, held = [], sorted(failures)
+    for at, group in groupby(sorted(events, key=lambda e: (e[1], e[0])), key=lambda e: e[1]):
+        same = list(group)
+        held = [] if any(e[3] for e in same) else [t for t in held if t > at - span]
+        failed = [e[0] for e in same if e[2]]
+        held += [at] * len(failed)
+        if len(held) >= limit:
+            out += failed
+    return out, held
+
+
+class Throttle(StatefulProcessor):
+    """Of each user: the events that later ones may still come before, and the times of the failures that count.
+
+    Events wait until the watermark has passed them and are then judged in the order of their times, so that the order of arrival doesn't matter; what
+    comes later than that is dropped. A user's failures go with a success or when `span` is over, by a timer: users without recent
+    failures hold no state, so the state is bounded by the events of `span` and of the watermark's delay.
+    """
+
+    def __init__(self, limit: int, span: int):
+        self.limit, self.span = limit, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "event_id long, us long, failed boolean, ok boolean")
+        self.failures = handle.getListState("failures", "us long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        new = [e for part in rows for e in zip(part["event_id"].tolist(), part["us"].tolist(), part["failed"].tolist(), part["ok"].tolist(), strict=True) if e[1] // 1000 > now]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(e[1] for e in new) // 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
+        failures = [t for (t,) in self.failures.get()] if self.failures.exists() else []
+        blocked, failures = judge([e for e in waiting if e[1] // 1000 <= now], failures, self.limit, self.span)
+        later = [e for e in waiting if e[1] // 1000 > now]
+        failures = [t for t in failures if t > now * 1000 - self.span]
+        for state, values, due in ((self.waiting, later, min((e[1] // 1000 for e in later), default=0)), (self.failures, [(t,) for t in failures], (max(failures, default=0) + self.span) // 1000 + 1)):
+            if values:
+                state.put(values)
+                self.handle.registerTimer(due)
+            else:
+                state.clear()
+        yield pd.DataFrame({"user_id": [key[0]] * len(blocked), "event_id": blocked}).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def throttled(events: DataFrame, folder: str, limit: int, seconds: int, delay: str = "0 seconds") -> DataFrame:
+    """user_id, event_id of the failures among events (user_id, event_id, ts, failed, ok) that are the limit-th or later of their user in the seconds
+    up to them, since the last success. delay: how much later than others an event may arrive."""
+    spark = events.sparkSession
+    rows = events.withWatermark("ts", delay).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"), "failed", "ok")
+    blocked = rows.groupBy("user_id").transformWithStateInPandas(Throttle(limit, seconds * 1_000_000), "user_id long, event_id long", "append", "eventTime")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    try:
+        return drained(blocked, folder)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
 def new_folder(spark: SparkSession) -> str:
