@@ -187,3 +187,32 @@ def test_ids_in_sequence_by_class(docs):
     for r in packing.pack(docs, queries.WORD_BPE).collect():
         got[r.sequence_id].append(r.length)
     assert all(sum(x) <= packing.CAPACITY for x in got.values())
+
+
+# ---- what other rows must not change
+
+
+@pytest.mark.parametrize("others", [[], [(9, "one two three four five six")], [(9, "one two three four five six")] * 2])
+def test_a_repeated_text_without_words_becomes_one_row(spark, others):
+    rows = [(1, ""), (1, ""), (2, " "), (None, None), (None, None), (3, ""), *others]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(set(rows), key=repr)
+
+
+def test_one_site_is_enough_where_one_is_asked_for(spark):
+    rows = [(1, "seen\nalso seen", "a"), (2, "nowhere", None), (3, "seen", "b"), (4, " \n", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.remove_boilerplate(df, min_sites=1).collect()}
+    assert got == {1: ("", 2, 2), 2: ("nowhere", 1, 0), 3: ("", 1, 1), 4: (" \n", 2, 0)}
+    got = {r.doc_id: r.n_removed for r in lines.remove_boilerplate(df, min_sites=2).collect()}
+    assert got == {1: 1, 2: 0, 3: 1, 4: 0}
+
+
+def test_ranges_of_a_large_table_get_longer_not_more(spark, rows, monkeypatch):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(map(repr, fingerprints.compare(df).collect()))
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 100)
+    monkeypatch.setattr(fingerprints, "MOST_RANGES", 3)
+    parts = fingerprints.with_next(df)
+    assert parts.select("bucket").distinct().count() <= 3
+    assert sorted(map(repr, fingerprints.compare(df).collect())) == want

@@ -29,8 +29,10 @@ STRICT_BITS, LOOSE_BITS = 8, 4
 #: Bytes that a gear hash of 32 bits sees, and that are hashed at one time.
 WINDOW, HASHED_BYTES = 32, 4 << 20
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-#: Bytes of text of a range of ids, which is a task, and sampled rows for each bound between ranges.
-RANGE_BYTES, SAMPLED_ROWS = 8 << 20, 64
+#: Bytes of text of a range of ids, which is a task, and ranges at most: larger tables have longer ones, which a task goes through row by row.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 1 << 14
+#: Sampled rows for each bound between ranges: 16 MB at the driver at most.
+SAMPLED_ROWS = 64
 
 
 def cut_places(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,13 +131,13 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     last, the first) is the next row of its bucket; halo rows only serve as a next one.
 
     A bucket is a range of ids, and within an id of text hashes, so that many rows of one id or of none are split. It is a
-    partition, of about RANGE_BYTES, and gets the first document of the range that follows. Null ids come last; rows that share
-    an id stand in the order of a hash of their texts. Only bounds and heads of ranges reach the driver.
+    partition, of about RANGE_BYTES (of a table beyond MOST_RANGES of them: of an even share), and gets the first document of the range that follows. Null ids come last; rows that share
+    an id stand in the order of a hash of their texts. Only bounds and heads of ranges reach the driver and all tasks: MOST_RANGES rows.
     """
     spark = docs.sparkSession
     keyed = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"coalesce(`{text_col}`, '') as text").withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("hash", F.xxhash64("text"))
     size = keyed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).head()
-    n = 1 + size.bytes // RANGE_BYTES
+    n = min(MOST_RANGES, 1 + size.bytes // RANGE_BYTES)
     shared = spark.sparkContext.broadcast(_bounds(keyed, size.rows, n))
 
     @F.pandas_udf("int")

@@ -42,8 +42,8 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows and columns of docs, text without boilerplate lines, and n_lines, n_removed (long).
 
     Lines are split at \\n and compared with ASCII blanks cut from their ends; the lines that stay keep theirs. A null
-    text stays null (no lines); an empty one has one, empty, line. A null site counts for no line. Repeated rows stay
-    repeated; rows that share an id are told apart by their texts. Lines shown by equally many sites are judged alike. An empty table
+    text stays null (no lines); an empty one has one, empty, line. A null site counts for no line; with min_sites
+    1 every line that some site shows goes. Repeated rows stay repeated; rows that share an id are told apart by their texts. Lines shown by equally many sites are judged alike. An empty table
     gives no rows. Columns of docs named n_lines or n_removed are replaced. A text of any length is split whole in its task.
     """
     text = F.col(f"`{text_col}`")
@@ -53,10 +53,11 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # 128 bits, of two seeds, so that no two lines of any corpus share a hash.
     lines = lines.select("row_id", "row_hash", "site", "pos", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("line_hash"))
     # What is joined on the line's hash is written first: then Spark can split the rows of a line that is everywhere.
-    # Only lines with several occurrences on more than one site can spread; these sums are exact and keep no strings.
+    # Only lines with enough occurrences, and if several sites are asked for on more than one, can spread; these sums are exact and keep no strings.
     site_hash = F.when(F.col("site").isNotNull(), F.xxhash64("site"))
     seen = lines.groupBy("line_hash").agg(F.count("site").alias("n"), F.min(site_hash).alias("a"), F.max(site_hash).alias("b"))
-    repeated = stored(seen.filter((F.col("n") >= min_sites) & (F.col("a") != F.col("b"))).select("line_hash"))
+    several = F.col("a") != F.col("b") if min_sites > 1 else F.lit(True)
+    repeated = stored(seen.filter((F.col("n") >= min_sites) & several).select("line_hash"))
     found = stored(lines.join(repeated, "line_hash", "left_semi"))
     spread = stored(spread_lines(found.select("line_hash", "site"), min_sites))
     removed = found.join(spread, "line_hash", "left_semi").groupBy("row_id", "row_hash").agg(F.sort_array(F.collect_set("pos")).alias("_removed"))

@@ -435,10 +435,11 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs without those whose class has a row that goes before (lower doc_id, null last; then lower key).
 
-    Of repeated rows (same id and text) one stays. Texts without words stay, a repeated one as one row. Other columns stay as
+    Of repeated rows (same id and text) one stays, with words or without, whatever else is there. Other texts without words stay. Other columns stay as
     they are, whatever their names. An empty table stays empty. Long texts as in classify().
     """
-    classes = stored(classify(docs, id_col, text_col, similarity).filter("worded"))
+    every = stored(classify(docs, id_col, text_col, similarity))
+    classes = every.filter("worded")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
     first = stored(classes.groupBy(F.col("class_id").alias("of_class")).agg(F.min(order).alias("first")))
     tagged = classes.join(first, F.col("class_id").eqNullSafe(F.col("of_class")))
@@ -447,5 +448,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     text = F.col(f"`{text_col}`")
     key = F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
     kept = docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_doc_id")) & (key == F.col("_key")), "left_anti")
-    repeated = classes.groupBy("doc_id", "key").count().filter("count > 1")
+    repeated = every.groupBy("doc_id", "key").count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])
