@@ -517,6 +517,16 @@ def evict_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.latest(done, ["o_custkey"], ["o_orderdate", "o_orderkey"], first=True).select("o_custkey", "o_orderkey")
 
 
+@query("""
+WITH o AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders)
+SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM o WHERE o_orderstatus = 'F') WHERE n <= total - 8
+""")
+def store_evictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes from each customer's store of eight: the oldest finished orders, never one that is open."""
+    held = _table(spark, sf_dir, "orders").withColumn("finished", F.col("o_orderstatus") == "F")
+    return review.evicted(held, "o_custkey", ["o_orderdate", "o_orderkey"], 8).select("o_custkey", "o_orderkey")
+
+
 @query("SELECT o_custkey, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
 def merge_last_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.merged(_table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderpriority", "o_orderkey")
