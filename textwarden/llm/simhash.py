@@ -7,7 +7,7 @@ A fingerprint is at home at its nearest anchor and is copied to every anchor wit
 which a pair may differ there; so a pair within the threshold meets at either one's home, and what is at home is compared with all copies.
 
 Of k chosen blocks out of three some choice holds at most THRESHOLD * k // 3 of a pair's differing bits, so not all blocks are needed:
-single blocks (1 bit, 23 copies a fingerprint, 4096 and 16384 anchors) up to FEW fingerprints, pairs of blocks (2 bits, some 310 copies, 2**24 and
+single blocks (1 bit, 21 copies a fingerprint, 4096 and 16384 anchors) up to FEW fingerprints, pairs of blocks (2 bits, some 310 copies, 2**24 and
 2**26 anchors) for more. Both find every pair; the second compares fewer others. Anchors that hold many are dealt into slices, homes against copies.
 """
 
