@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lex
 from ..functions import masking
 from ..functions import text as tx
-from ..operators import coverage, facts, mutation, packet, quiz, quotes, recheck, review, rollup, sentences
+from ..functions.dims import STOP_WORDS
+from ..operators import coverage, facts, mutation, overlap, packet, quiz, quotes, recheck, review, rollup, sentences
 from ..sources import readers
 from ..streaming import streams
 from . import inputs
@@ -396,6 +397,22 @@ def quote_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.near(_table(spark, sf_dir, "benchmark"), spread(_table(spark, sf_dir, "documents")))
 
 
+_STOP = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
+_TOKENS = rf"list_distinct(list_concat(list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda x: x NOT IN ({_STOP})), list_transform(regexp_extract_all({_PLAIN_NUMBERS}, '(?:^|[^0-9A-Za-z.])(\d+(?:[.,]\d+)?)', 1), lambda x: {_NORM})))"
+
+
+@query(f"""
+WITH i AS (SELECT item_id, {_TOKENS} AS own FROM benchmark), d AS (SELECT doc_id, {_TOKENS} AS said FROM documents),
+s AS (SELECT doc_id, item_id, len(list_intersect(own, said)) AS shared, len(own) AS size FROM i, d WHERE len(own) > 0)
+SELECT doc_id, item_id, shared, size FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY shared / size DESC, item_id) AS n FROM s WHERE shared / size >= CAST(0.6 AS DOUBLE)
+) WHERE n = 1
+""")
+def token_overlap_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark item of which each document holds the largest share of content tokens, from 0.6 on."""
+    return overlap.best(_table(spark, sf_dir, "benchmark"), spread(_table(spark, sf_dir, "documents")))
+
+
 # ------------------------------------------------------------------ quiz, packets, reviews
 
 _QUIZ = f"""
