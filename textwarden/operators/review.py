@@ -38,12 +38,32 @@ def edited_state(sentences: DataFrame, events: DataFrame) -> DataFrame:
     }).withColumns({"text_en": F.coalesce("new_en", "text_en"), "text_tl": F.coalesce("new_tl", "text_tl")}).drop("new_en", "new_tl")
 
 
+def _micros(interval: str) -> str:
+    """SQL of an interval's microseconds."""
+    return f"cast(cast(cast({interval} as interval second) as decimal(18, 6)) * 1000000 as bigint)"
+
+
 def throttled(events: DataFrame, key: str, ts: str, failed: Column, ok: Column, limit: int, window: str) -> DataFrame:
-    """Events with `failures` (those in the window before and with each, since the last success) and `blocked` (limit reached)."""
-    since = F.sum(F.when(ok, 1).otherwise(0)).over(Window.partitionBy(key).orderBy(ts))
-    rows = events.withColumn("_since", since).withColumn("_failed", failed)
-    recent = F.expr(f"sum(cast(_failed as int)) over (partition by {key}, _since order by {ts} range between {window} preceding and current row)")
-    return rows.withColumn("failures", recent).withColumn("blocked", F.col("failures") >= limit).drop("_since", "_failed")
+    """Events with `failures` (those in the window before and with each, since the last success) and `blocked` (limit reached).
+
+    Time is cut into stretches as long as the window. What a row counts lies in its own stretch or the one before, so a key's stretches are worked on
+    apart, each with the failures and successes of the one before it: a key with a third of all rows is as many groups as it has stretches.
+    Only what happens to one key within one window stays together. Time is counted in microseconds, whatever the session's zone. Rows without a time
+    count each other.
+    """
+    span = events.sparkSession.sql(f"select {_micros(window)}").head()[0]
+    no_zone = events.schema[ts].dataType.typeName() == "timestamp_ntz"
+    at = F.expr(_micros(f"`{ts}` - timestamp_ntz'1970-01-01'")) if no_zone else F.unix_micros(F.col(ts))
+    rows = events.select(F.col(key).alias("_key"), at.alias("_at"), F.coalesce(ok, F.lit(False)).alias("_ok"), failed.cast("int").alias("_failed"), F.struct(*events.columns).alias("_row"))
+    own = F.expr(f"(_at - pmod(_at, {span}L)) div {span}L")
+    matters = F.col("_ok") | (F.col("_failed") == 1)
+    stretches = F.when(matters & F.col("_at").isNotNull(), F.array(own, own + 1)).otherwise(F.array(own))
+    rows = rows.select("_key", "_at", "_ok", "_failed", "_row", F.posexplode(stretches).alias("_later", "_stretch"))
+    rows = rows.withColumn("_row", F.when(F.col("_later") == 0, F.col("_row")))  # what is there for the next stretch needs no more than its time
+    rows = rows.withColumn("_since", F.sum(F.col("_ok").cast("int")).over(Window.partitionBy("_key", "_stretch").orderBy("_at")))
+    recent = Window.partitionBy("_key", "_stretch", "_since").orderBy("_at").rangeBetween(-span, Window.currentRow)
+    found = rows.withColumn("failures", F.sum("_failed").over(recent)).filter("_later = 0").select("_row.*", "failures")
+    return found.withColumn("blocked", F.col("failures") >= limit)
 
 
 #: Characters that a reason has at least.
