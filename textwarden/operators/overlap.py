@@ -28,13 +28,20 @@ def covered(items: DataFrame, docs: DataFrame, threshold: float = 0.6) -> DataFr
     own, said = tokens(items, "item_id"), tokens(docs, "doc_id")  # no filter by size here: the scan would take it, and the work with it
     words = own.select("item_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     theirs = said.select("doc_id", F.size("tokens").alias("held"), F.explode("tokens").alias("token"))
-    sent = F.broadcast if words.limit(SENT_TOKENS + 1).count() <= SENT_TOKENS else lambda df: df
+    small = words.limit(SENT_TOKENS + 1).count() <= SENT_TOKENS
+    sent = F.broadcast if small else lambda df: df
     seen = theirs.join(sent(words.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     keys = rare_keys(words, seen, threshold)
-    met = theirs.join(sent(keys), "token").filter("held >= needed").select("item_id", "doc_id").distinct()
-    both = met.join(said.withColumnRenamed("tokens", "said"), "doc_id").join(sent(own), "item_id")
-    rows = both.select("item_id", "doc_id", F.size(F.array_intersect("tokens", "said")).cast("long").alias("shared"), F.size("tokens").cast("long").alias("size"))
-    return rows.filter(F.col("shared") / F.col("size") >= threshold)
+    own = own.withColumnRenamed("tokens", "own")
+    if small:  # items are in every task, so a document is compared where it is read, and only what holds is shuffled
+        here = said.select("doc_id", F.col("tokens").alias("said"), F.explode("tokens").alias("token")).join(F.broadcast(keys.join(own, "item_id")), "token")
+        both = here.filter(F.size("said") >= F.col("needed"))
+    else:
+        met = theirs.join(keys, "token").filter("held >= needed").select("item_id", "doc_id").distinct()
+        both = met.join(said.withColumnRenamed("tokens", "said"), "doc_id").join(own, "item_id")
+    rows = both.select("item_id", "doc_id", F.size(F.array_intersect("own", "said")).cast("long").alias("shared"), F.size("own").cast("long").alias("size"))
+    rows = rows.filter(F.col("shared") / F.col("size") >= threshold)
+    return rows.distinct() if small else rows
 
 
 def rare_keys(words: DataFrame, seen: DataFrame, threshold: float) -> DataFrame:
