@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import times
 from ..functions.dims import SECTIONS
 from ..functions.text import spell_dates
 
@@ -38,11 +39,6 @@ def edited_state(sentences: DataFrame, events: DataFrame) -> DataFrame:
     }).withColumns({"text_en": F.coalesce("new_en", "text_en"), "text_tl": F.coalesce("new_tl", "text_tl")}).drop("new_en", "new_tl")
 
 
-def _micros(interval: str) -> str:
-    """SQL of an interval's microseconds."""
-    return f"cast(cast(cast({interval} as interval second) as decimal(18, 6)) * 1000000 as bigint)"
-
-
 def throttled(events: DataFrame, key: str, ts: str, failed: Column, ok: Column, limit: int, window: str) -> DataFrame:
     """Events with `failures` (those in the window before and with each, since the last success) and `blocked` (limit reached).
 
@@ -51,10 +47,8 @@ def throttled(events: DataFrame, key: str, ts: str, failed: Column, ok: Column,
     Only what happens to one key within one window stays together. Time is counted in microseconds, whatever the session's zone. Rows without a time
     count each other.
     """
-    span = events.sparkSession.sql(f"select {_micros(window)}").head()[0]
-    no_zone = events.schema[ts].dataType.typeName() == "timestamp_ntz"
-    at = F.expr(_micros(f"`{ts}` - timestamp_ntz'1970-01-01'")) if no_zone else F.unix_micros(F.col(ts))
-    rows = events.select(F.col(key).alias("_key"), at.alias("_at"), F.coalesce(ok, F.lit(False)).alias("_ok"), failed.cast("int").alias("_failed"), F.struct(*events.columns).alias("_row"))
+    span = events.sparkSession.sql(f"select {times.interval_micros(window)}").head()[0]
+    rows = events.select(F.col(key).alias("_key"), times.micros(events, ts).alias("_at"), F.coalesce(ok, F.lit(False)).alias("_ok"), failed.cast("int").alias("_failed"), F.struct(*events.columns).alias("_row"))
     own = F.expr(f"(_at - pmod(_at, {span}L)) div {span}L")
     matters = F.col("_ok") | (F.col("_failed") == 1)
     stretches = F.when(matters & F.col("_at").isNotNull(), F.array(own, own + 1)).otherwise(F.array(own))

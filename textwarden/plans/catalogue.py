@@ -9,7 +9,7 @@ from ..functions import lexicon as lex
 from ..functions import masking
 from ..functions import text as tx
 from ..functions.dims import STOP_WORDS
-from ..operators import coverage, facts, mutation, overlap, packet, quiz, quotes, recheck, review, rollup, sentences
+from ..operators import coverage, facts, mutation, overlap, packet, quiz, quotes, recheck, review, rollup, sentences, snapshots
 from ..sources import readers
 from ..streaming import streams
 from . import inputs
@@ -528,6 +528,34 @@ def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.usage(calls, ["stage"]).select("stage", "calls", "prompt_tokens", "completion_tokens", "tokens_per_second")
 
 
+@query("""
+SELECT e.user_id, e.event_id, p.event_id AS snapshot_id, p.value AS valid_then FROM (SELECT * FROM events WHERE event_type <> 'purchase') e
+  ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts
+""")
+def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the snapshot of its user that was valid then; purchases are the snapshots."""
+    ev = _table(spark, sf_dir, "events")
+    rows = snapshots.as_of(ev.filter("event_type <> 'purchase'").select("user_id", "event_id", "ts"), ev.filter("event_type = 'purchase'").select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id")
+    return rows.select("user_id", "event_id", F.col("version.event_id").alias("snapshot_id"), F.col("version.value").alias("valid_then"))
+
+
+@query("""
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS m FROM events WHERE event_type = 'purchase'),
+e AS (SELECT e.user_id, count(*) AS under_draft FROM (SELECT * FROM events WHERE event_type <> 'purchase') e ASOF JOIN p ON e.user_id = p.user_id AND e.ts >= p.ts WHERE p.n = 1 GROUP BY 1)
+SELECT a.user_id, a.value AS at_draft, b.value AS now, a.m AS versions, coalesce(under_draft, 0) AS under_draft
+FROM p a JOIN p b ON a.user_id = b.user_id AND a.n = 1 AND b.n = b.m LEFT JOIN e ON a.user_id = e.user_id
+""")
+def snapshot_draft_and_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each user the frozen first snapshot, the present one, how many there are, and the events that happened while the first was valid."""
+    ev = _table(spark, sf_dir, "events")
+    versions = ev.filter("event_type = 'purchase'").select("user_id", "ts", "event_id", "value")
+    both = snapshots.frozen(versions, ["user_id"], "ts", "event_id")
+    then = snapshots.as_of(ev.filter("event_type <> 'purchase'").select("user_id", "ts"), versions, "user_id", "ts", "event_id")
+    counts = then.groupBy("user_id", F.col("version.event_id").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    rows = both.join(counts, (both["user_id"] == counts["user_id"]) & (F.col("at") == F.col("draft.event_id")), "left")
+    return rows.select(both["user_id"], F.col("draft.value").alias("at_draft"), F.col("now.value").alias("now"), "versions", F.coalesce("n", F.lit(0)).alias("under_draft"))
+
+
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F') WHERE n = 1")
 def evict_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
