@@ -1,8 +1,11 @@
 import re
+from difflib import SequenceMatcher
 
 import duckdb
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from textwarden.functions.fuzzy import near
+from textwarden.functions.fuzzy import PIECE, Quotes
 from textwarden.operators import quotes
 from textwarden.plans import catalogue
 from textwarden.sources.shipping import ship
@@ -27,8 +30,8 @@ def test_exact_quotes_of_the_large_table(spark):
     assert sorted((r.item_id, r.doc_id) for r in got) == sorted(duckdb.sql(sql).fetchall())
 
 
-def test_near_quotes_equal_all_pairs(spark):
-    """Slips in each place of a quote, other case, punctuation and line breaks; short items; against every pair's plain comparison."""
+def test_near_quotes_equal_all_pairs(spark, monkeypatch):
+    """Slips in each place of a quote, other case, punctuation and line breaks; items of all lengths, null and repeated ones; against every pair's plain comparison."""
     ship(spark)
     base = "take one white tablet with a full glass of water every morning before you eat and call the clinic if you feel dizzy or weak at any time"
     words = base.split()
@@ -37,15 +40,52 @@ def test_near_quotes_equal_all_pairs(spark):
         slipped = [w[::-1] if j == i else w for j, w in enumerate(words)]
         docs.append((10 + i, "Some words first. " + " ".join(slipped) + " and then some."))
     docs.append((90, " ".join(w[::-1] for w in words)))
-    items = [(1, base), (2, "call the clinic"), (3, "dizzy"), (4, "no such thing anywhere in it"), (5, None), (6, "glass water")]
+    items = [(1, base), (2, "call the clinic"), (3, "dizzy"), (4, "no such thing anywhere in it"), (5, None), (6, "glass water"), (1, base), (7, "... !?"), (8, base * 3)]
+    items += [(100 + n, base[n : n + n]) for n in range(1, 30)] + [(200 + n, base[n : 2 * n - 1] + "q" + base[2 * n : 3 * n]) for n in range(2, 40, 3)]
+    docs += [(1, docs[0][1]), (91, base[:70]), (92, base[2:9]), (93, "".join(c + ("x" if i % 14 == 0 else "") for i, c in enumerate(base) if i % 14 != 7))]
 
     def squashed(t):
         return re.sub(r"\s+", " ", re.sub(r"[^\w\s.]", " ", t.lower())).strip()
 
-    want = {(i, d) for i, q in items for d, t in docs if q and t and (squashed(q) in squashed(t) or near(squashed(q), squashed(t)))}
-    got = quotes.near(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    # The long item wherever it is near; short ones, which have no three words besides a slip, where they stand whole.
-    whole = {(i, d) for i, d in want if squashed(dict(items)[i]) in squashed(dict(docs)[d])}
-    assert {(r.item_id, r.doc_id) for r in got} >= {x for x in want if x[0] == 1} | whole and len(got) == len(set(got))
-    # One that is found is like a stretch of the document, though the plain comparison's windows may pass over it.
-    assert all((i, d) in want or near(squashed(dict(items)[i]), squashed(dict(docs)[d]), 0.8) for i, d in ((r.item_id, r.doc_id) for r in got))
+    def held(q, s):
+        n = len(q)
+        return bool(q) and (q in s or any(SequenceMatcher(None, q, s[a : a + n]).ratio() >= 0.85 for a in range(0, max(1, len(s) - n + 1), max(1, n // 8))))
+
+    want = {(i, d) for i, q in items for d, t in docs if q and t and held(squashed(q), squashed(t))}
+    assert {(1, 93), (1, 10)} <= want  # a slip in every few characters leaves no words alone
+    items, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    for sent, part in ((200_000, 16_000_000), (300, 2_000)):  # all items at once; in blocks
+        monkeypatch.setattr(quotes, "SENT_CHARS", sent)
+        monkeypatch.setattr(quotes, "PART_CHARS", part)
+        got = quotes.near(items, docs).collect()
+        assert len(got) == len(want) and {(r.item_id, r.doc_id) for r in got} == want
+        assert quotes.near(items.limit(0), docs).collect() == quotes.near(items, docs.limit(0)).collect() == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcde ", max_size=60), st.data())
+def test_near_quotes_lose_no_window(source, data):
+    """Stretches of a text with characters lost, put in and changed, at several thresholds, against the ratio of every window."""
+    texts = []
+    for _ in range(4):
+        begin = data.draw(st.integers(0, max(0, len(source) - 1)))
+        quote = list(source[begin : begin + data.draw(st.integers(1, 40))])
+        for _ in range(data.draw(st.integers(0, 4))):
+            i = data.draw(st.integers(0, len(quote)))
+            quote[i : i + data.draw(st.integers(0, 1))] = data.draw(st.sampled_from(["", "z", "a"]))
+        texts.append("".join(quote))
+    threshold = data.draw(st.sampled_from([0.7, 0.85, 0.9, 1.0]))
+    found = list(Quotes(texts, threshold).found(source))
+    windows = lambda n: (source[a : a + n] for a in range(0, max(1, len(source) - n + 1), max(1, n // 8)))
+    want = [i for i, q in enumerate(texts) if q and (q in source or any(SequenceMatcher(None, q, w).ratio() >= threshold for w in windows(len(q))))]
+    assert sorted(found) == want
+
+
+def test_near_quotes_beyond_a_piece():
+    """Windows counted over several pieces of a long text, a match across their border."""
+    text = " ".join(f"w{i * 7919 % 1009}" for i in range(3000))
+    at = text.index(" ", PIECE - 60)
+    slipped = list(text[at : at + 160])
+    del slipped[20], slipped[90]
+    slipped[50:50] = "zz"
+    assert list(Quotes(["".join(slipped), "nothing like it in the whole text here"]).found(text)) == [0]

@@ -1,27 +1,182 @@
-"""Nearly literal quotes: the similarity that no built-in function gives, on the rows that a plain search leaves."""
+"""Nearly literal quotes: the similarity that no built-in function gives, behind filters that lose no match.
+
+The ratio is 2 M / (n + m) for texts of n and m characters whose matching blocks hold M. The blocks are a common subsequence, so M is at most the
+longest one's length; and they leave at most kq = n - M characters of the quote and kw = m - M of the window without a partner. Of the quote's n - 2 runs
+of three characters each lost character breaks at most three and each stranger between two matched ones at most two, so at least n - 2 - 3 kq - 2 kw
+stand in the window as they are, moved by no more than kq to the left and kw to the right.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from math import ceil
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Characters of a text whose windows are counted at once.
+PIECE = 4096
+
+
+def least_matched(n: int, m: int, threshold: float) -> int:
+    """The fewest matched characters with which texts of n and m characters reach the threshold."""
+    least = max(0, ceil(threshold * (n + m) / 2) - 1)
+    while n + m and 2.0 * least / (n + m) < threshold:
+        least += 1
+    return least
+
+
+class Quote:
+    """A quote, and for each of its characters the places where it stands, as bits."""
+
+    def __init__(self, text: str):
+        self.text, self.places = text, {}
+        for i, c in enumerate(text):
+            self.places[c] = self.places.get(c, 0) | 1 << i
+
+    def common(self, window: str) -> int:
+        """Length of the longest common subsequence (all places of the quote at once, as bits of one number)."""
+        whole = free = (1 << len(self.text)) - 1
+        for c in window:
+            met = free & self.places.get(c, 0)
+            free = (free + met | free - met) & whole
+        return len(self.text) - free.bit_count()
+
+    def alike(self, window: str, threshold: float) -> bool:
+        return self.common(window) >= least_matched(len(self.text), len(window), threshold) and SequenceMatcher(None, self.text, window).ratio() >= threshold
+
 
 def near(quote: str, source: str, threshold: float = 0.85) -> bool:
     """Whether a window of the quote's length, moved by an eighth of it, matches by `threshold` (Ratcliff-Obershelp)."""
     n = len(quote)
     if not n:
         return False
-    matcher = SequenceMatcher(None, "", quote)  # what it knows of the second text is kept over windows
+    own, seen = Quote(quote), set()
     for at in range(0, max(1, len(source) - n + 1), max(1, n // 8)):
-        matcher.set_seq1(source[at : at + n])
-        if matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold and SequenceMatcher(None, quote, source[at : at + n]).ratio() >= threshold:
+        window = source[at : at + n]
+        if window not in seen and own.alike(window, threshold):
             return True
+        seen.add(window)
     return False
 
 
+def _runs(text: str) -> np.ndarray:
+    """Each run of three code points as one number."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each pair the numbers start, start + 1, ..., start + count - 1."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - starts, counts)
+
+
+class Quotes:
+    """Quotes by their runs of three characters, to be looked for in many texts."""
+
+    def __init__(self, texts: Iterable[str], threshold: float = 0.85):
+        self.quotes, self.threshold = [Quote(t) for t in texts], threshold
+        runs = [_runs(q.text) for q in self.quotes]
+        keys = np.concatenate([np.empty(0, np.int64), *runs])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.starts, self.counts = np.unique(keys[order], return_index=True, return_counts=True)
+        self.item = np.repeat(np.arange(len(runs)), [len(r) for r in runs])[order]
+        self.place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(r)) for r in runs)])[order].astype(np.int64)
+        self.ranks = [self._ranks(r) for r in runs]
+        self.n = np.array([len(q.text) for q in self.quotes], np.int64)
+        self.step = np.maximum(1, self.n // 8)
+        self.lost = self.n - np.array([least_matched(n, n, threshold) for n in self.n.tolist()], np.int64)
+        self.need = self.n - 2 - 5 * self.lost
+
+    @staticmethod
+    def _ranks(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A quote's different runs, the order of its places by run, and where each run's places start in it."""
+        keys, starts = np.unique(np.sort(runs), return_index=True)
+        return keys, np.argsort(runs, kind="stable"), starts
+
+    def found(self, text: str) -> Iterator[int]:
+        """Numbers of the quotes that stand in the text or are near one of its windows, as near() has it."""
+        size = len(text)
+        runs = _runs(text)
+        slot = np.minimum(np.searchsorted(self.keys, runs), max(len(self.keys) - 1, 0))
+        at = np.flatnonzero(self.keys[slot] == runs) if len(self.keys) else np.empty(0, np.int64)
+        slot = slot[at]
+        own = np.unique(slot)
+        held = np.bincount(self.item[_spread(self.starts[own], self.counts[own])], minlength=len(self.n))
+        whole = np.array([bool(q.text) and h >= n - 2 and q.text in text for q, h, n in zip(self.quotes, held, self.n, strict=True)], bool)
+        yield from np.flatnonzero(whole).tolist()
+        # With no character to lose only the quote itself is near.
+        open_ = ~whole & (self.n > 0)
+        for i in np.flatnonzero(open_ & (self.n > size)).tolist():
+            if self.quotes[i].alike(text, self.threshold):
+                yield i
+        long = open_ & (self.n <= size) & (self.lost > 0)
+        for i in np.flatnonzero(long & (self.need <= 0)).tolist():  # so short that no run need be left
+            if near(self.quotes[i].text, text, self.threshold):
+                yield i
+        wanted = long & (self.need > 0) & (held >= self.need)
+        for first in range(0, size, PIECE) if wanted.any() else ():
+            for i, begins in self._windows(first, runs, at, slot, wanted):
+                if self._alike(i, text, begins):
+                    wanted[i] = False
+                    yield i
+
+    def _alike(self, i: int, text: str, begins: list[int]) -> bool:
+        """Whether one of the windows matches; those beside each other are first tried as one stretch, whose common subsequence is at least as long as theirs."""
+        quote, n, first = self.quotes[i], int(self.n[i]), 0
+        while first < len(begins):
+            last = bisect_right(begins, begins[first] + n // 2)
+            if last == first + 1 or quote.common(text[begins[first] : begins[last - 1] + n]) >= n - self.lost[i]:
+                if any(quote.alike(text[b : b + n], self.threshold) for b in begins[first:last]):
+                    return True
+            first = last
+        return False
+
+    def _windows(self, first: int, runs: np.ndarray, at: np.ndarray, slot: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """Wanted quotes and where the windows begin, from `first` on within a piece, that hold enough of their runs near their places."""
+        some = np.flatnonzero(wanted)
+        if not len(some):
+            return
+        n, step = self.n[some], self.step[some]
+        low = -(-first // step)
+        rows = np.maximum(np.minimum((len(runs) + 2 - n) // step + 1, -(-(first + PIECE) // step)) - low, 0)
+        cells = np.cumsum(rows * n) - rows * n
+        among = np.full(len(wanted), -1)
+        among[some] = np.arange(len(some))
+        part = slice(*np.searchsorted(at, [first, first + PIECE + int(n.max())]))
+        posts = _spread(self.starts[slot[part]], self.counts[slot[part]])
+        which, pos = among[self.item[posts]], np.repeat(at[part], self.counts[slot[part]])
+        kept = which >= 0
+        which, pos, place = which[kept], pos[kept], self.place[posts[kept]]
+        stride, lost = step[which], self.lost[some][which]
+        v = np.maximum(np.maximum(-(-(pos - place - lost) // stride), -(-(pos - n[which] + 3) // stride)), low[which])
+        last = np.minimum(np.minimum((pos - place + lost) // stride, pos // stride), low[which] + rows[which] - 1)
+        marks = np.zeros(int((rows * n).sum()), np.uint8)
+        while (kept := v <= last).any():
+            which, v, last, place = which[kept], v[kept], last[kept], place[kept]
+            marks[cells[which] + (v - low[which]) * n[which] + place] = 1
+            v = v + 1
+        for j, i in enumerate(some.tolist()):
+            table = marks[cells[j] : cells[j] + rows[j] * n[j]].reshape(rows[j], n[j])
+            full = np.flatnonzero(table.sum(1, dtype=np.int32) >= self.need[i])
+            if len(full):
+                begins = (low[j] + full) * step[j]
+                begins = begins[self._paired(i, table[full, : n[j] - 2], runs[begins[:, None] + np.arange(n[j] - 2)]) >= self.need[i]]
+                yield i, begins.tolist()
+
+    def _paired(self, i: int, marks: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """Of windows, given by their runs, how many of a quote's marked runs can have a partner of their own there: of each run as many as it stands there."""
+        keys, order, starts = self.ranks[i]
+        slot = np.minimum(np.searchsorted(keys, windows), len(keys) - 1)
+        row, _ = kept = np.nonzero(keys[slot] == windows)
+        there = np.bincount(row * len(keys) + slot[kept], minlength=len(windows) * len(keys)).reshape(len(windows), -1)
+        return np.minimum(there, np.add.reduceat(marks[:, order], starts, axis=1, dtype=np.int64)).sum(1)
+
+
 def near_quote(quote: Column, source: Column, threshold: float = 0.85) -> Column:
     """near() of short texts, for the rows that a search has left; null for null."""
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..functions.fuzzy import near_quote
+from ..functions.fuzzy import Quotes
 
-#: Words of a run that brings an item and a place of a document together, and words around it that are compared as well.
-RUN, MARGIN = 3, 3
-#: Rows of items' runs up to which they are sent to all tasks.
-SENT_RUNS = 100_000
+#: Characters of items that are searched for at once, and of documents in a part, where the items are more.
+SENT_CHARS, PART_CHARS = 200_000, 16_000_000
 
 
 def exact(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -42,36 +43,44 @@ def exact(items: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.filter(F.contains("text", F.col("quote"))).select("item_id", "doc_id")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """df, sent to all tasks if it is small."""
-    return F.broadcast(df) if df.limit(SENT_RUNS + 1).count() <= SENT_RUNS else df
-
-
 def near(items: DataFrame, docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     """item_id, doc_id of items (item_id, text) that docs (doc_id, text) hold, case, punctuation and slips aside.
 
-    Texts are squashed. An item and a document meet over any run of RUN words (items of fewer words over all of theirs), and only the words of the document
-    that lie beside the item there are compared, window by window, by the standard library's ratio. So a quote is found if its slips leave RUN
-    words in a row; no other pair of texts is looked at.
+    Texts are squashed. An item is held where it stands whole, or where a window of its length, moved by an eighth of it, is alike by the standard
+    library's ratio: all such pairs are found, whatever the items' lengths (functions/fuzzy.py says why). Items of up to SENT_CHARS characters in all go to the
+    tasks, and documents are searched where they are read; more are dealt into blocks of that size, and ranges of documents meet each block. An item or
+    document that is null, or has no letter, is held by none and holds none.
     """
-    words = lambda df, id_col: df.select(id_col, F.split(tx.squash(F.col("text")), " ").alias("words")).filter(F.col("words")[0] != "")
-    run = lambda at, n: F.array_join(F.slice("words", at + 1, n), " ")
-    own = words(items.filter("text is not null"), "item_id").withColumn("n", F.least(F.size("words"), F.lit(RUN)))
-    keys = own.select("item_id", "n", F.size("words").alias("size"), F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - F.col("n")), lambda i: run(i, F.col("n")))).alias("place", "run"))
-    said = words(docs.filter("text is not null"), "doc_id")
-    met = []
-    for n in range(1, RUN + 1):
-        theirs = said.filter(F.size("words") >= n).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: run(i, F.lit(n)))).alias("at", "run"))
-        mine = keys.filter(F.col("n") == n).select("item_id", "size", "place", "run")
-        if not mine.isEmpty():
-            met.append(theirs.join(_few(mine), "run").select("item_id", "doc_id", "size", (F.col("at") - F.col("place")).alias("begin")).distinct())
-    if not met:
-        return said.join(own.select("item_id").limit(0), F.lit(False)).select("item_id", "doc_id")
-    places = reduce(DataFrame.unionByName, met).groupBy("item_id", "doc_id", "size").agg(F.collect_set("begin").alias("begins"))
-    both = places.join(said, "doc_id").select("item_id", "doc_id", F.explode("begins").alias("begin"), "size", "words")
-    first = F.greatest(F.col("begin") - MARGIN, F.lit(0))
-    beside = F.array_join(F.slice("words", first + 1, F.col("begin") + F.col("size") + MARGIN - first), " ")
-    rows = both.select("item_id", "doc_id", beside.alias("beside")).distinct().join(own.select("item_id", F.array_join("words", " ").alias("quote")), "item_id")
-    exact_too = F.contains("beside", F.col("quote"))
-    held = rows.withColumn("same", exact_too).withColumn("like", near_quote(F.when(~F.col("same"), F.col("quote")), F.when(~F.col("same"), F.col("beside")), threshold))
-    return held.filter("same or like").select("item_id", "doc_id").distinct()
+    squashed = lambda df, id_col, name: df.select(id_col, tx.squash(F.col("text")).alias(name)).filter(F.col(name) != "")
+    own, said = squashed(items, "item_id", "quote").distinct(), squashed(docs, "doc_id", "text")
+    schema = T.StructType([own.schema["item_id"], said.schema["doc_id"]])
+
+    def held(quotes: pd.DataFrame, index: Quotes, texts: pd.DataFrame) -> pd.DataFrame:
+        rows = [(i, d) for d, text in zip(texts["doc_id"], texts["text"], strict=True) for i in index.found(text)]
+        return pd.DataFrame({"item_id": quotes["item_id"].iloc[[i for i, _ in rows]].tolist(), "doc_id": [d for _, d in rows]}, dtype=object)
+
+    chars = own.agg(F.sum(F.char_length("quote"))).head()[0] or 0
+    if chars <= SENT_CHARS:
+        sent = [tuple(r) for r in own.collect()]
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            quotes = pd.DataFrame(sent, columns=["item_id", "quote"], dtype=object)
+            index = Quotes(quotes["quote"], threshold)
+            for texts in batches:
+                yield held(quotes, index, texts)
+
+        return said.mapInPandas(search, schema).distinct()
+
+    # Equal rows are one first, so that no hash of a document and its text can hold many.
+    said = said.distinct()
+    blocks = -(-chars // SENT_CHARS)
+    parts = -(-(said.agg(F.sum(F.char_length("text"))).head()[0] or 0) // PART_CHARS) or 1
+    dealt = lambda cols, n: F.pmod(F.xxhash64(*cols), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    left = said.withColumn("part", dealt(["doc_id", "text"], parts)).withColumn("block", every(blocks))
+    right = own.withColumn("block", dealt(["item_id", "quote"], blocks)).withColumn("part", every(parts))
+
+    def meet(texts: pd.DataFrame, quotes: pd.DataFrame) -> pd.DataFrame:
+        return held(quotes, Quotes(quotes["quote"], threshold), texts)
+
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(meet, schema).distinct()
