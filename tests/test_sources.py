@@ -1,5 +1,7 @@
 import json
 
+import pytest
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from textwarden.operators import sentences
@@ -33,3 +35,39 @@ def test_sentence_normalisation(spark):
 def test_uploads(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"caf\xe9 ok")
     assert readers.uploads(spark, str(tmp_path)).select(F.contains("text", F.lit("�"))).head()[0]
+
+
+def test_one_sample_and_one_recorded_output(spark, tmp_path):
+    """Only the named file is read (another is no JSON at all); what is missing is an error."""
+    (tmp_path / "a.json").write_text(json.dumps({"id": "a", "title": "First"}, indent=1))
+    (tmp_path / "case-1.json").write_text(json.dumps({"_meta": {}, "facts": {"k": {"n": 1}}, "_timings": {"facts:k": {"seconds": 0.5}}}))
+    (tmp_path / "broken.json").write_bytes(b"\x00\x01 no json")
+    one = readers.sample(spark, str(tmp_path), "a")
+    assert [(r.id, r.title) for r in one.collect()] == [("a", "First")] and len(one.inputFiles()) == 1
+    with pytest.raises(AnalysisException):
+        readers.sample(spark, str(tmp_path), "b").collect()
+    for name in ("../a", "*", ""):
+        with pytest.raises(ValueError):
+            readers.sample(spark, str(tmp_path), name)
+    found = readers.replayed(spark, str(tmp_path), "case-1", "facts", "k")
+    assert [(r.case_id, json.loads(r.payload), r.seconds) for r in found.collect()] == [("case-1", {"n": 1}, 0.5)] and len(found.inputFiles()) == 1
+    with pytest.raises(PySparkException, match="no facts/z output"):
+        readers.replayed(spark, str(tmp_path), "case-1", "facts", "z").collect()
+    with pytest.raises(AnalysisException):
+        readers.replayed(spark, str(tmp_path), "case-2", "facts", "k").collect()
+
+
+def test_samples_by_name_and_recorded_runs(spark, tmp_path):
+    for name in ("b", "a", "summary"):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"id": name, "_meta": {"source": f"s-{name}", "model": "m"}}))
+    assert [r.file for r in readers.samples(spark, str(tmp_path)).collect()] == ["a.json", "b.json", "summary.json"]
+    assert sorted((r.case_id, r.source, r.model, r.note) for r in readers.replayable(spark, str(tmp_path)).collect()) == [("a", "s-a", "m", None), ("b", "s-b", "m", None)]
+
+
+def test_an_upload_that_is_too_large_has_no_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "MAX_BYTES", 10)
+    (tmp_path / "a.txt").write_text("0123456789")
+    (tmp_path / "b.txt").write_text("0123456789!")
+    (tmp_path / "c.pdf").write_text("%PDF")
+    rows = readers.uploads(spark, str(tmp_path)).orderBy("path").collect()
+    assert [(r.length, r.error, r.text) for r in rows] == [(10, None, "0123456789"), (11, "too large", None), (4, None, None)]

@@ -41,9 +41,10 @@ class Quote:
     def common(self, window: str) -> int:
         """Length of the longest common subsequence (all places of the quote at once, as bits of one number)."""
         whole = free = (1 << len(self.text)) - 1
-        for c in window:
-            met = free & self.places.get(c, 0)
-            free = (free + met | free - met) & whole
+        for bits in map(self.places.get, window):
+            if bits:
+                met = free & bits
+                free = (free + met | free - met) & whole
         return len(self.text) - free.bit_count()
 
     def alike(self, window: str, threshold: float) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import masking
 from ..operators import coverage, facts, mutation, packet, review, rollup, sentences
 from ..sources import readers
 from .inputs import FACTS, pick
@@ -449,3 +450,20 @@ def review_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = sentences.with_cited(said, own).withColumn("risk", F.when(F.exists("cited", lambda f: f["risk"] == "high"), "high").otherwise("normal"))
     judged = rollup.judged(cited.select("case_id", "sent_id", "risk"), sentences.sentence_checks(cited))
     return rollup.totals(judged, own, rows.filter("p_partkey % 2 = 0"), rows.filter("p_partkey % 3 = 0")).select("live", "flagged", "facts", "omissions", "med_issues")
+
+
+#: Letters, marks above and below, and what is between names: a customer's name as a reviewer might type it.
+_LETTERS, _MARKS, _GAPS = "aeiouyAEOUcnsdzôêăơưαωι", "\u0301\u0300\u0302\u0303\u0308\u030a\u030c\u0323\u0327\u0328\u0331\u031b\u0306\u0345", " \t\u00a0\u200b\u2003"
+_pick = lambda letters, at: f"substring('{letters}', CAST(1 + ({at}) % {len(letters)} AS INT), 1)"
+_TYPED = f"""concat({_pick(_LETTERS, "c_custkey")}, {_pick(_MARKS, "c_custkey")}, {_pick(_MARKS, "c_custkey * 5 + 2")}, {_pick(_GAPS, "c_custkey")}, {_pick(_GAPS, "c_custkey * 3 + 1")},
+ CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat(c_mktsegment, {_pick(_MARKS, "c_custkey + 1")}) END, {_pick(_GAPS, "c_custkey + 2")})"""
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey, trim(regexp_replace(replace(regexp_replace(nfc_normalize({_TYPED}), '[ \t\u00a0\u2003]+', ' ', 'g'), '\u200b', ''), ' +', ' ', 'g')) AS name FROM customer)
+SELECT c_custkey, name, c_custkey % 4 <> 0 AS is_real FROM c
+""")
+def reviewer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' names typed with marks apart, invisible characters and odd spaces, cleaned; and whether a name has two letters. Without the segment there is one."""
+    rows = rows_of(spark, sf_dir, f"SELECT c_custkey, {_TYPED} AS typed FROM customer", "customer")
+    return rows.select("c_custkey", masking.clean_name(F.col("typed")).alias("name"), masking.is_real_name(F.col("typed")).alias("is_real"))

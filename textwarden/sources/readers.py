@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,17 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True).withColumn("file", F.col("_metadata.file_name")).orderBy("file")
 
 
+def sample(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The one sample `name`.json of a folder: no other file is opened. A name that isn't one file's own, or a missing file, is an error."""
+    return spark.read.json(f"{path}/{_plain(name)}.json", multiLine=True)
+
+
+def _plain(name: str) -> str:
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", name):
+        raise ValueError(f"not a file's name: {name!r}")
+    return name
+
+
 def ingest(texts: DataFrame, languages: list[str]) -> DataFrame:
     """texts (source, language, patient_name) with `error`: why a row can't be taken, else null."""
     error = (
@@ -57,6 +70,14 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
     return rows.selectExpr("case_id", "stage", "key", "to_json(payload) as payload", seconds)
 
 
+def replayed(spark: SparkSession, path: str, case_id: str, stage: str, key: str) -> DataFrame:
+    """One recorded output, from its case's file alone. A case without a file is an error at once, a stage or key that it lacks when the row is read."""
+    rows = replay(spark, f"{path}/{_plain(case_id)}.json").filter((F.col("stage") == stage) & (F.col("key") == key))
+    found = rows.groupBy().agg(F.first(F.struct(*rows.columns)).alias("_row"))
+    missing = F.raise_error(F.lit(f"recorded run of {case_id} has no {stage}/{key} output"))
+    return found.select(F.when(F.col("_row").isNull(), missing.cast(found.schema["_row"].dataType)).otherwise(F.col("_row")).alias("_row")).select("_row.*")
+
+
 def merged(runs: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Of each key the row of the last run, in the order of `by`."""
     return runs.groupBy(*keys).agg(F.max_by(F.struct(*runs.columns), F.struct(*by)).alias("_row")).select("_row.*")
