@@ -26,6 +26,20 @@ def test_released_packets_get_their_values_back(spark):
     assert sorted((r.case_id, r.n, r.body) for r in found) == [(1, 2, "You were ill. Ask Ann."), (3, 1, "No [X_1] here.")]
 
 
+def test_packet_lines_and_quiz_as_handed_out(spark):
+    said = spark.createDataFrame(
+        [(1, "a", 1, "S1", ["F9", "F2", "F1"], "Ask [CONTACT_1].", "Pregunte a [CONTACT_1].", "high", None), (1, "a", 2, "S2", [], "Rest.", "", "normal", False), (1, "a", 3, "S3", ["F1"], "Gone.", "x", "normal", True),
+         (2, "a", 1, "S1", None, "Not released.", None, None, False), (3, "b", 1, "S1", ["F1"], "Of [X_1].", None, "normal", False)],
+        "case_id int, section string, pos int, sent_id string, fact_ids array<string>, text_en string, text_tl string, risk string, removed boolean",
+    )
+    facts = spark.createDataFrame([(1, "F1", "stop"), (1, "F2", ""), (2, "F1", "new"), (3, "F1", None)], "case_id int, fact_id string, med_action string")
+    maps = spark.createDataFrame([(1, [("[CONTACT_1]", "Ann")])], "case_id int, mapping array<struct<token string, value string>>")
+    rows = packet.lines(said, facts, maps, spark.createDataFrame([(1,), (1,), (3,)], "case_id int")).orderBy("case_id", "pos").collect()
+    assert [tuple(r) for r in rows] == [(1, "a", 1, "S1", "Ask Ann.", "Pregunte a Ann.", "high", "stop"), (1, "a", 2, "S2", "Rest.", None, "normal", None), (3, "b", 1, "S1", "Of [X_1].", None, "normal", None)]
+    quiz = spark.createDataFrame([(1, "Q1", [("See [CONTACT_1].", True), ("No.", False)]), (3, "Q1", [("[X_1]", True)])], "case_id int, q_id string, options array<struct<text string, correct boolean>>")
+    assert sorted((r.case_id, r.options) for r in packet.without_answers(quiz, maps).collect()) == [(1, ["See Ann.", "No."]), (3, ["[X_1]"])]
+
+
 def test_next_ids_and_shares(spark):
     items = spark.createDataFrame([("a", "S2"), ("a", "S10"), ("b", None)], "c string, s string")
     assert {tuple(r) for r in review.next_ids(items, "c", "s", "S").collect()} == {("a", "S11"), ("b", "S1")}

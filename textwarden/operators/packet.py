@@ -21,6 +21,27 @@ def released(sentences: DataFrame, mappings: DataFrame, allowed: DataFrame) -> D
     return sections(rows.withColumn("text_en", text))
 
 
+def lines(sentences: DataFrame, facts: DataFrame, mappings: DataFrame, allowed: DataFrame) -> DataFrame:
+    """case_id, section, pos, sent_id, text_en, text_tl, risk, med_action: live sentences of the allowed cases as their reader sees them.
+
+    Masked values are put back; an empty translation is null; med_action is that of the first cited fact that has one. Cases without a mapping keep their text.
+    """
+    some = sentences.filter(~F.coalesce("removed", F.lit(False))).join(allowed.select("case_id").distinct(), "case_id", "left_semi")
+    cited = some.select("case_id", "sent_id", F.posexplode("fact_ids").alias("_at", "fact_id"))
+    own = facts.filter(F.coalesce("med_action", F.lit("")) != "").select("case_id", "fact_id", "med_action")
+    actions = cited.join(own, ["case_id", "fact_id"]).groupBy("case_id", "sent_id").agg(F.min_by("med_action", F.struct("_at", "med_action")).alias("med_action"))
+    rows = some.join(actions, ["case_id", "sent_id"], "left").join(mappings.select("case_id", "mapping"), "case_id", "left")
+    back = lambda text: F.when(F.col("mapping").isNull(), F.col(text)).otherwise(masking.unmask(F.col(text), F.col("mapping")))
+    return rows.select("case_id", "section", "pos", "sent_id", back("text_en").alias("text_en"), F.nullif(back("text_tl"), F.lit("")).alias("text_tl"), "risk", "med_action")
+
+
+def without_answers(quiz: DataFrame, mappings: DataFrame) -> DataFrame:
+    """The quiz as it is handed out: options' texts alone, masked values put back."""
+    rows = quiz.join(mappings.select("case_id", "mapping"), "case_id", "left")
+    back = lambda t: F.when(F.col("mapping").isNull(), t).otherwise(masking.unmask(t, F.col("mapping")))
+    return rows.withColumn("options", F.transform("options", lambda o: back(o["text"]))).drop("mapping")
+
+
 #: The order in which a reader sees medicines, by what to do with them.
 ACTION_ORDER = ["stop", "hold", "changed", "new", "continue", "other"]
 

@@ -5,16 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as lex
+from ..functions.dims import DEFAULT, Lexicon
+from ..functions.quiz_texts import QUIZ, WRONG_BY_ACTION, WRONG_OTHERWISE
+
 #: Questions of a case, and the kinds they are about in order.
 MOST, KIND_ORDER = 4, ["medication", "warning_sign", "follow_up"]
 
 
-def candidates(facts: DataFrame, sentences: DataFrame) -> DataFrame:
-    """case_id, fact_id, kind, sent_id: the critical facts at high risk (or to follow up) with the first sentence that cites each."""
+def candidates(facts: DataFrame, sentences: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """case_id, fact_id, kind, sent_id: the critical facts (drug) at high risk (or to follow up), each with the first live sentence that cites it.
+
+    Of a medicine that is the first one that names it, by any of its names, if one does. Sentences (text_en, pos) with a true `removed` are none; a null or missing one is live.
+    """
+    first_word = F.lower(F.regexp_extract(F.coalesce("drug", F.lit("")), r"\S+", 0))
     wanted = facts.filter(F.col("kind").isin(*KIND_ORDER) & ((F.col("risk") == "high") | (F.col("kind") == "follow_up")))
-    cited = sentences.select("case_id", "sent_id", "pos", F.explode("fact_ids").alias("fact_id"))
-    first = cited.groupBy("case_id", "fact_id").agg(F.min_by("sent_id", "pos").alias("sent_id"))
-    return wanted.join(first, ["case_id", "fact_id"]).select("case_id", "fact_id", "kind", "sent_id")
+    wanted = wanted.select("case_id", "fact_id", "kind", F.when(F.col("kind") == "medication", lex.canonical_drug(first_word, lexicon)).alias("_drug"))
+    live = sentences.filter(~F.coalesce("removed", F.lit(False))) if "removed" in sentences.columns else sentences
+    said = live.select("case_id", "sent_id", "pos", "fact_ids", lex.drugs_in(F.col("text_en"), lexicon).alias("_named"))
+    cited = said.select("case_id", "sent_id", "pos", "_named", F.explode("fact_ids").alias("fact_id"))
+    silent = ~F.coalesce(F.array_contains("_named", F.col("_drug")), F.lit(False))
+    rows = wanted.join(cited, ["case_id", "fact_id"]).groupBy("case_id", "fact_id", "kind")
+    return rows.agg(F.min_by("sent_id", F.struct(silent, "pos", "sent_id")).alias("sent_id"))
 
 
 def pick(found: DataFrame, most: int = MOST) -> DataFrame:
@@ -30,3 +42,35 @@ def shuffled(options: DataFrame, keys: list[Column], option: Column) -> DataFram
     """options with `place`: an order that is the same in every run, by a digest of the question and the option."""
     digest = F.sha2(F.concat_ws("|", *keys, option).cast("binary"), 256)
     return options.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(digest)))
+
+
+def built(facts: DataFrame, sentences: DataFrame, most: int = MOST, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """case_id, q_id, fact_id, sent_id, question, options (array of text, correct): the quiz of each case, from its approved sentences and fixed wrong answers.
+
+    facts have the case's language, drug and med_action, sentences text_en and text_tl. The right answer is the sentence as the reader sees it: its translation where
+    there is one. Of three wrong answers about warnings two are taken; which ones, and the order of options, is told by a digest of case, fact and option.
+    An unknown language is English.
+    """
+    rows = pick(candidates(facts, sentences, lexicon), most)
+    rows = rows.join(facts.select("case_id", "fact_id", "language", "drug", "med_action"), ["case_id", "fact_id"]).join(sentences.select("case_id", "sent_id", "text_en", "text_tl"), ["case_id", "sent_id"])
+    lang = F.when(F.col("language").isin(*QUIZ), F.col("language")).otherwise("en")
+    drug = F.lower(F.regexp_extract(F.coalesce("drug", F.lit("")), r"\S+", 0))
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in zip(KIND_ORDER, ("med", "warn", "appt"), strict=True) for x in pair)), F.col("kind"))
+    texts = lambda values: F.array(*map(F.lit, values))
+
+    def of(values: dict[str, Column], key: Column) -> Column:
+        return F.element_at(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v))), key)
+
+    questions = of({f"{l}|{k}": F.lit(t[f"{k}_q"]) for l, t in QUIZ.items() for k in ("med", "warn", "appt")}, F.concat_ws("|", lang, kind))
+    by_action = WRONG_BY_ACTION | {"": WRONG_OTHERWISE}
+    action = F.when(F.col("med_action").isin(*WRONG_BY_ACTION), F.col("med_action")).otherwise("")
+    of_medicine = of({f"{l}|{a}": texts(t["med_wrong"][k] for k in keys) for l, t in QUIZ.items() for a, keys in by_action.items()}, F.concat_ws("|", lang, action))
+    of_others = of({f"{l}|{k}": texts(t[f"{k}_wrong"]) for l, t in QUIZ.items() for k in ("warn", "appt")}, F.concat_ws("|", lang, kind))
+    digest = lambda text: F.sha2(F.concat_ws("|", "case_id", "fact_id", text).cast("binary"), 256)
+    mixed = lambda options: F.transform(F.array_sort(F.transform(options, lambda o: F.struct(digest(o["text"]).alias("d"), o.alias("o")))), lambda x: x["o"])
+    put = lambda text: F.replace(text, F.lit("{drug}"), drug)
+    option = lambda text, correct: F.struct(text.alias("text"), F.lit(correct).alias("correct"))
+    wrong = F.transform(F.when(F.col("kind") == "medication", F.transform(of_medicine, put)).otherwise(of_others), lambda w: option(w, False))
+    shown = F.when(lang == "en", F.col("text_en")).otherwise(F.coalesce(F.nullif("text_tl", F.lit("")), "text_en"))
+    rows = rows.select("case_id", "q_id", "fact_id", "sent_id", put(questions).alias("question"), option(shown, True).alias("_right"), F.slice(mixed(wrong), 1, 2).alias("_wrong"))
+    return rows.withColumn("options", mixed(F.array_append("_wrong", F.col("_right")))).drop("_right", "_wrong")

@@ -427,7 +427,7 @@ def quiz_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quiz_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = facts.features(inputs.facts_of_cases(spark, sf_dir)).select("case_id", "fact_id", "kind", "risk")
+    own = facts.features(inputs.facts_of_cases(spark, sf_dir)).select("case_id", "fact_id", "kind", "risk", "drug")
     said = inputs.sentences(spark, sf_dir).withColumn("pos", F.substring("sent_id", 2, 9).cast("int"))
     return quiz.candidates(own, said)
 

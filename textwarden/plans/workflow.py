@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import masking
-from ..operators import coverage, facts, mutation, packet, review, rollup, sentences
+from ..functions.quiz_texts import QUIZ, WRONG_BY_ACTION, WRONG_OTHERWISE
+from ..operators import coverage, facts, mutation, packet, quiz, review, rollup, sentences
 from ..sources import readers
 from .inputs import FACTS, pick
 from .languages import VALUES, made, wanted
@@ -467,3 +468,42 @@ def reviewer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' names typed with marks apart, invisible characters and odd spaces, cleaned; and whether a name has two letters. Without the segment there is one."""
     rows = rows_of(spark, sf_dir, f"SELECT c_custkey, {_TYPED} AS typed FROM customer", "customer")
     return rows.select("c_custkey", masking.clean_name(F.col("typed")).alias("name"), masking.is_real_name(F.col("typed")).alias("is_real"))
+
+
+#: A case of three facts and three sentences for each part: medicine and what to do with it, language, and whether the first sentence is removed, by key.
+_LANGS, _DRUGS, _DO = [*QUIZ, "xx"], ["warfarin", "insulin", "furosemide"], [*WRONG_BY_ACTION, "other"]
+_ASKED = f"""SELECT p_partkey AS case_id, {pick(_LANGS, f"(p_partkey % {len(_LANGS)})")} AS language, {pick(_DRUGS, "(p_partkey % 3)")} AS drug,
+ {pick(_DO, f"(CAST(floor(p_partkey / 3) AS BIGINT) % {len(_DO)})")} AS med_action, p_partkey % 5 = 0 AS gone, p_partkey % 2 = 0 AS visit FROM part"""
+_quoted = lambda text: "'" + text.replace("'", "''") + "'"
+_by = lambda column, values: f"CASE {column} " + " ".join(f"WHEN {_quoted(k)} THEN {v}" for k, v in values.items() if k != "en") + f" ELSE {values['en']} END"
+_list = lambda texts: f"[{', '.join(map(_quoted, texts))}]"
+_wrong_of = lambda t: f"CASE med_action {' '.join(f'WHEN {_quoted(a)} THEN ' + _list(t['med_wrong'][k] for k in keys) for a, keys in WRONG_BY_ACTION.items())} ELSE {_list(t['med_wrong'][k] for k in WRONG_OTHERWISE)} END"
+
+
+@query(f"""
+WITH a AS ({_ASKED}),
+q AS (
+  SELECT case_id, 'F1' AS fact_id, 'S2' AS sent_id, concat('Your ', drug, ' is new.') AS en, language, 1 AS n,
+    replace({_by("language", {l: _quoted(t["med_q"]) for l, t in QUIZ.items()})}, '{{drug}}', drug) AS question,
+    [replace(w, '{{drug}}', drug) FOR w IN {_by("language", {l: _wrong_of(t) for l, t in QUIZ.items()})}] AS wrong FROM a
+  UNION ALL SELECT case_id, 'F2', CASE WHEN gone THEN 'S3' ELSE 'S1' END, CASE WHEN gone THEN 'Call if it hurts.' ELSE 'Read this first.' END, language, 2,
+    {_by("language", {l: _quoted(t["warn_q"]) for l, t in QUIZ.items()})}, {_by("language", {l: _list(t["warn_wrong"]) for l, t in QUIZ.items()})} FROM a
+  UNION ALL SELECT case_id, 'F3', 'S3', 'Call if it hurts.', language, 3,
+    {_by("language", {l: _quoted(t["appt_q"]) for l, t in QUIZ.items()})}, {_by("language", {l: _list(t["appt_wrong"]) for l, t in QUIZ.items()})} FROM a WHERE visit AND NOT gone),
+d AS (SELECT *, CASE WHEN language IN ('en', 'xx') THEN en ELSE concat('= ', en) END AS shown,
+  list_sort([struct_pack(d := sha256(concat_ws('|', CAST(case_id AS VARCHAR), fact_id, w)), t := w) FOR w IN wrong])[1:2] AS two FROM q)
+SELECT case_id, fact_id, sent_id, concat('Q', n) AS q_id, question,
+  array_to_string([x.t FOR x IN list_sort(list_append(two, struct_pack(d := sha256(concat_ws('|', CAST(case_id AS VARCHAR), fact_id, shown)), t := shown)))], ' / ') AS options, shown AS answer FROM d
+""")
+def quiz_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole quizzes: the sentence that names the medicine rather than the first, none that is removed, no sentence twice, two of three warnings, options in a fixed order."""
+    rows = rows_of(spark, sf_dir, _ASKED, "part")
+    of = lambda fact, kind, risk: F.struct(F.lit(fact).alias("fact_id"), F.lit(kind).alias("kind"), F.lit(risk).alias("risk"))
+    own = rows.select("case_id", "language", "drug", "med_action", F.inline(F.array(of("F3", "follow_up", "normal"), of("F2", "warning_sign", "high"), of("F1", "medication", "high"), of("F4", "medication", "normal"))))
+    say = lambda pos, text, ids, gone: F.struct(F.lit(f"S{pos}").alias("sent_id"), F.lit(pos).alias("pos"), text.alias("text_en"), ids.alias("fact_ids"), gone.alias("removed"))
+    cite = lambda *ids: F.array(*map(F.lit, ids))
+    last = F.when(F.col("visit"), cite("F2", "F3")).otherwise(cite("F2"))
+    said = rows.select("case_id", F.inline(F.array(
+        say(1, F.lit("Read this first."), cite("F1", "F2"), F.col("gone")), say(2, F.concat(F.lit("Your "), "drug", F.lit(" is new.")), cite("F1", "F4"), F.lit(False)), say(3, F.lit("Call if it hurts."), last, F.lit(None).cast("boolean")))))
+    found = quiz.built(own, said.withColumn("text_tl", F.concat(F.lit("= "), "text_en")))
+    return found.select("case_id", "fact_id", "sent_id", "q_id", "question", F.array_join("options.text", " / ").alias("options"), F.filter("options", lambda o: o["correct"])[0]["text"].alias("answer"))
