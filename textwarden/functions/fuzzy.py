@@ -3,12 +3,11 @@
 The ratio is 2 M / (n + m) for texts of n and m characters whose matching blocks hold M. The blocks are a common subsequence, so M is at most the
 longest one's length; and they leave at most kq = n - M characters of the quote and kw = m - M of the window without a partner. Of the quote's n - 2 runs
 of three characters each lost character breaks at most three and each stranger between two matched ones at most two, so at least n - 2 - 3 kq - 2 kw
-stand in the window as they are, moved by no more than kq to the left and kw to the right.
+stand in the window as they are: a text that holds fewer has no such window.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from math import ceil
@@ -18,9 +17,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters of a text whose windows are counted at once.
-PIECE = 4096
-
 
 def least_matched(n: int, m: int, threshold: float) -> int:
     """The fewest matched characters with which texts of n and m characters reach the threshold."""
@@ -86,19 +82,11 @@ class Quotes:
         order = np.argsort(keys, kind="stable")
         self.keys, self.starts, self.counts = np.unique(keys[order], return_index=True, return_counts=True)
         self.item = np.repeat(np.arange(len(runs)), [len(r) for r in runs])[order]
-        self.place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(r)) for r in runs)])[order].astype(np.int64)
-        self.ranks = [self._ranks(r) for r in runs]
         self.n = np.array([len(q.text) for q in self.quotes], np.int64)
         self.step = np.maximum(1, self.n // 8)
         self.lost = self.n - np.array([least_matched(n, n, threshold) for n in self.n.tolist()], np.int64)
         self.need = self.n - 2 - 5 * self.lost
 
-    @staticmethod
-    def _ranks(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A quote's different runs, the order of its places by run, and where each run's places start in it."""
-        keys, starts = np.unique(np.sort(runs), return_index=True)
-        return keys, np.argsort(runs, kind="stable"), starts
-
     def found(self, text: str) -> Iterator[int]:
         """Numbers of the quotes that stand in the text or are near one of its windows, as near() has it."""
         size = len(text)
@@ -120,62 +108,37 @@ class Quotes:
             if near(self.quotes[i].text, text, self.threshold):
                 yield i
         wanted = long & (self.need > 0) & (held >= self.need)
-        for first in range(0, size, PIECE) if wanted.any() else ():
-            for i, begins in self._windows(first, runs, at, slot, wanted):
-                if self._alike(i, text, begins):
-                    wanted[i] = False
-                    yield i
-
-    def _alike(self, i: int, text: str, begins: list[int]) -> bool:
-        """Whether one of the windows matches; those beside each other are first tried as one stretch, whose common subsequence is at least as long as theirs."""
-        quote, n, first = self.quotes[i], int(self.n[i]), 0
-        while first < len(begins):
-            last = bisect_right(begins, begins[first] + n // 2)
-            if last == first + 1 or quote.common(text[begins[first] : begins[last - 1] + n]) >= n - self.lost[i]:
-                if any(quote.alike(text[b : b + n], self.threshold) for b in begins[first:last]):
-                    return True
-            first = last
-        return False
-
-    def _windows(self, first: int, runs: np.ndarray, at: np.ndarray, slot: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-        """Wanted quotes and where the windows begin, from `first` on within a piece, that hold enough of their runs near their places."""
         some = np.flatnonzero(wanted)
-        if not len(some):
-            return
-        n, step = self.n[some], self.step[some]
-        low = -(-first // step)
-        rows = np.maximum(np.minimum((len(runs) + 2 - n) // step + 1, -(-(first + PIECE) // step)) - low, 0)
-        cells = np.cumsum(rows * n) - rows * n
-        among = np.full(len(wanted), -1)
-        among[some] = np.arange(len(some))
-        part = slice(*np.searchsorted(at, [first, first + PIECE + int(n.max())]))
-        posts = _spread(self.starts[slot[part]], self.counts[slot[part]])
-        which, pos = among[self.item[posts]], np.repeat(at[part], self.counts[slot[part]])
-        kept = which >= 0
-        which, pos, place = which[kept], pos[kept], self.place[posts[kept]]
-        stride, lost = step[which], self.lost[some][which]
-        v = np.maximum(np.maximum(-(-(pos - place - lost) // stride), -(-(pos - n[which] + 3) // stride)), low[which])
-        last = np.minimum(np.minimum((pos - place + lost) // stride, pos // stride), low[which] + rows[which] - 1)
-        marks = np.zeros(int((rows * n).sum()), np.uint8)
-        while (kept := v <= last).any():
-            which, v, last, place = which[kept], v[kept], last[kept], place[kept]
-            marks[cells[which] + (v - low[which]) * n[which] + place] = 1
-            v = v + 1
-        for j, i in enumerate(some.tolist()):
-            table = marks[cells[j] : cells[j] + rows[j] * n[j]].reshape(rows[j], n[j])
-            full = np.flatnonzero(table.sum(1, dtype=np.int32) >= self.need[i])
-            if len(full):
-                begins = (low[j] + full) * step[j]
-                begins = begins[self._paired(i, table[full, : n[j] - 2], runs[begins[:, None] + np.arange(n[j] - 2)]) >= self.need[i]]
-                yield i, begins.tolist()
-
-    def _paired(self, i: int, marks: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        """Of windows, given by their runs, how many of a quote's marked runs can have a partner of their own there: of each run as many as it stands there."""
-        keys, order, starts = self.ranks[i]
-        slot = np.minimum(np.searchsorted(keys, windows), len(keys) - 1)
-        row, _ = kept = np.nonzero(keys[slot] == windows)
-        there = np.bincount(row * len(keys) + slot[kept], minlength=len(windows) * len(keys)).reshape(len(windows), -1)
-        return np.minimum(there, np.add.reduceat(marks[:, order], starts, axis=1, dtype=np.int64)).sum(1)
+        some = some[np.argsort(self.n[some], kind="stable")]
+        while len(some):
+            like = np.searchsorted(self.n[some], self.n[some[0]] * 6 // 5, side="right")
+            yield from self._in_stretches(text, some[:like])
+            some = some[like:]
+
+    def _in_stretches(self, text: str, group: np.ndarray) -> Iterator[int]:
+        """Which quotes of about one length are near a window: all are first tried at once on stretches, whose common subsequences are at least as long as their windows'."""
+        n = self.n[group]
+        starts = np.cumsum(n + 1) - n - 1  # a free bit after each takes what its sum carries
+        whole, places = 0, {}
+        for i, at in zip(group.tolist(), starts.tolist(), strict=True):
+            whole |= (1 << len(self.quotes[i].text)) - 1 << at
+            for c, bits in self.quotes[i].places.items():
+                places[c] = places.get(c, 0) | bits << at
+        size, stride, wide = int(n.sum()) + len(n) + 7 >> 3, int(n[0]) // 2 or 1, int(n[-1])
+        done = np.zeros(len(group), bool)
+        for first in range(0, len(text) - int(n[0]) + 1, stride):
+            free = whole
+            for bits in map(places.get, text[first : first + stride + wide - 1]):
+                if bits:
+                    met = free & bits
+                    free = (free + met | free - met) & whole
+            unmet = np.add.reduceat(np.unpackbits(np.frombuffer(free.to_bytes(size, "little"), np.uint8), bitorder="little"), starts, dtype=np.int64)
+            for j in np.flatnonzero((unmet <= self.lost[group]) & ~done).tolist():
+                i, step = int(group[j]), int(self.step[group[j]])
+                begins = range(-(-first // step) * step, min(first + stride, len(text) - int(n[j]) + 1), step)
+                if any(self.quotes[i].alike(text[b : b + n[j]], self.threshold) for b in begins):
+                    done[j] = True
+                    yield i
 
 
 def near_quote(quote: Column, source: Column, threshold: float = 0.85) -> Column:
