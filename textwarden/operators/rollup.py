@@ -26,6 +26,13 @@ def judged(sentences: DataFrame, checks: DataFrame) -> DataFrame:
     return rows.withColumn("needs_review", (F.col("status") != "green") | (F.col("risk") == "high"))
 
 
+def with_status(rows: DataFrame) -> DataFrame:
+    """As judged(), of rows that carry their risk and checks (array)."""
+    some = lambda status: F.exists("checks", lambda c: c["status"] == status)
+    rows = rows.withColumn("status", F.when(some("fail"), "red").when(some("warn"), "amber").otherwise("green")).drop("checks")
+    return rows.withColumn("needs_review", (F.col("status") != "green") | (F.col("risk") == "high"))
+
+
 def case_status(rows: DataFrame) -> DataFrame:
     """One row per case: counts of sentences by status, of high risk and in review, and the route."""
     count = lambda s: F.count_if(F.col("status") == s)

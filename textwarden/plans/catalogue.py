@@ -19,11 +19,10 @@ from .registry import QUERIES, SQL, Query, query, spread
 from .registry import table as _table
 
 
-def _checked(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The projected sentences with risk and what they cite, and their checks (of `only`)."""
-    rows = sentences.with_cited(inputs.sentences(spark, sf_dir), inputs.facts_of_cases(spark, sf_dir))
-    rows = rows.withColumn("risk", F.when(F.exists("cited", lambda f: f["risk"] == "high"), "high").otherwise("normal"))
-    return rows, sentences.sentence_checks(rows, only=only)
+def _checked(spark: SparkSession, sf_dir: str, *kept: str, only: list[str] | None = None) -> DataFrame:
+    """The projected sentences (KEY and kept) with their risk and checks (of `only`)."""
+    said = inputs.sentences(spark, sf_dir).select("case_id", "sent_id", "text_en", "fact_ids")
+    return sentences.checked(said, inputs.facts_of_cases(spark, sf_dir), only=only).select("case_id", "sent_id", *kept, "risk", "checks")
 
 
 # ------------------------------------------------------------------ statuses of cases
@@ -36,15 +35,13 @@ WITH r AS (SELECT case_id, count(*) AS sentences, count(*) FILTER (WHERE status
 SELECT *, CASE WHEN red * 1.0 / sentences > 0.3 THEN 'interpreter' ELSE 'standard' END AS route FROM r
 """)
 def packet_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, checks = _checked(spark, sf_dir)
-    return rollup.case_status(rollup.judged(rows.select("case_id", "sent_id", "risk"), checks))
+    return rollup.case_status(rollup.with_status(_checked(spark, sf_dir)))
 
 
 def _one_check(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows, checks = _checked(spark, sf_dir, [name])
-        mine = checks.select("case_id", "sent_id", "status")
-        return rows.select("case_id", "sent_id", "text_en").join(mine, ["case_id", "sent_id"], "left").groupBy("case_id", "text_en").agg(F.count("status").alias("n"), F.max("status").alias("status"))
+        rows = _checked(spark, sf_dir, "text_en", only=[name]).select("case_id", "text_en", F.get("checks", F.lit(0))["status"].alias("status"))
+        return rows.groupBy("case_id", "text_en").agg(F.count("status").alias("n"), F.max("status").alias("status"))
 
     return run
 
@@ -60,7 +57,7 @@ WITH l AS (SELECT CASE WHEN citation = 'fail' THEN 'citation' END AS a, CASE WHE
 SELECT name, count(*) AS n FROM (SELECT unnest([a, b, c, d, e]) AS name FROM l) WHERE name IS NOT NULL GROUP BY name
 """)
 def issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.issue_histogram(_checked(spark, sf_dir)[1])
+    return rollup.issue_histogram(_checked(spark, sf_dir).select(F.explode("checks").alias("c")).select("c.name", "c.status"))
 
 
 @query(f"""
@@ -68,14 +65,12 @@ SELECT risk, count(*) FILTER (WHERE status = 'green') AS green, count(*) FILTER
 FROM ({EXPECTED}) GROUP BY risk
 """)
 def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, checks = _checked(spark, sf_dir)
-    judged = rollup.judged(rows.select("case_id", "sent_id", "risk"), checks)
+    judged = rollup.with_status(_checked(spark, sf_dir))
     return judged.groupBy("risk").pivot("status", ["green", "amber", "red"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def _blockers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows, checks = _checked(spark, sf_dir)
-    judged = rollup.judged(rows.select("case_id", "sent_id", "risk", F.lit(False).alias("removed")), checks)
+    judged = rollup.with_status(_checked(spark, sf_dir)).withColumn("removed", F.lit(False))
     own = inputs.facts_of_cases(spark, sf_dir)
     cases = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderstatus") == "P", "facts").otherwise("ready").alias("stage"))
     missing = coverage.omissions(own, inputs.sentences(spark, sf_dir))
@@ -136,9 +131,8 @@ UNION ALL SELECT case_id, 3, text_en, text_en, CASE WHEN status = 'green' THEN '
 @query(f"SELECT case_id, CAST(dense_rank() OVER (PARTITION BY case_id ORDER BY rank, o) AS INTEGER) AS place, id, state, count(*) AS n FROM ({_WAITING}) GROUP BY case_id, rank, o, id, state")
 def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What waits for a reviewer in each case, in order: omissions, then sentences; equal ones share a place."""
-    rows, checks = _checked(spark, sf_dir)
     own, said = inputs.facts_of_cases(spark, sf_dir), inputs.sentences(spark, sf_dir)
-    judged = rollup.judged(rows.select("case_id", "sent_id", "risk", "text_en"), checks)
+    judged = rollup.with_status(_checked(spark, sf_dir, "text_en"))
     none = own.select("case_id", F.col("drug"), F.lit(True).alias("resolved")), own.select("case_id", "fact_id", F.lit("green").alias("status"), F.lit(False).alias("dismissed"))
     listed = judged.select("case_id", F.col("text_en").alias("sent_id"), F.lit(0).alias("pos"), F.lit("medicines").alias("section"), "status", "needs_review", F.lit(False).alias("reviewed"), F.lit(False).alias("removed"))
     found = review.queue(coverage.omissions(own, said), none[0], none[1], listed, by="id")
@@ -427,7 +421,7 @@ def quiz_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quiz_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = facts.features(inputs.facts_of_cases(spark, sf_dir)).select("case_id", "fact_id", "kind", "risk", "drug")
+    own = facts.featured(inputs.facts_of_cases(spark, sf_dir), "risk").select("case_id", "fact_id", "kind", "risk", "drug")
     said = inputs.sentences(spark, sf_dir).withColumn("pos", F.substring("sent_id", 2, 9).cast("int"))
     return quiz.candidates(own, said)
 

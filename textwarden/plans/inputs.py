@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.facts import features
-from .registry import spread
-
 DRUGS = ["lisinopril", "warfarin", "metoprolol", "insulin", "furosemide", "omeprazole", "oxycodone"]
 UNITS = ["mg", "mcg", "ml", "units", "tablets"]
 ACTIONS = ["new", "changed", "continue", "stop", "hold"]
@@ -32,9 +29,12 @@ FROM part
 """
 
 _K = "((l_orderkey * 7 + l_linenumber) % 13)"
-#: lineitem as sentences: each cites its part's fact; of 13, one each has the errors 0 to 4 (column k).
-SENTENCES = f"""
-SELECT case_id, line, p_partkey, fact_id, k, med_action, drug, dose_n, unit,
+_LINES = f"l_orderkey AS case_id, l_linenumber AS line, {_K} AS k, f.*"
+
+
+def _said(columns: str, lines: str, more: str = "") -> str:
+    return f"""
+SELECT {more}case_id, line, p_partkey, fact_id, k, med_action, drug, dose_n, unit,
        concat(
          CASE WHEN k = 2 AND med_action IN ('stop', 'hold') THEN 'Keep taking ' WHEN k = 2 THEN 'Stop taking '
               WHEN med_action IN ('new', 'changed') THEN 'Take ' WHEN med_action = 'continue' THEN 'Keep taking '
@@ -43,10 +43,14 @@ SELECT case_id, line, p_partkey, fact_id, k, med_action, drug, dose_n, unit,
          CAST(CASE WHEN k = 0 THEN dose_n * 10 ELSE dose_n END AS VARCHAR(20)), ' ',
          CASE WHEN k = 4 THEN {pick(UNITS, "((p_partkey + 1) % 5)")} ELSE unit END,
          CASE WHEN k = 2 THEN '.' WHEN med_action IN ('stop') THEN '.' WHEN med_action = 'hold' THEN ' until your visit.' ELSE ' twice daily.' END) AS text_en
-FROM (SELECT l_orderkey AS case_id, l_linenumber AS line, {_K} AS k, f.* FROM lineitem JOIN ({FACTS}) f ON l_partkey = p_partkey) s
+FROM (SELECT {columns} FROM {lines} JOIN ({FACTS}) f ON l_partkey = p_partkey) s
 """
 
 
+#: lineitem as sentences: each cites its part's fact; of 13, one each has the errors 0 to 4 (column k).
+SENTENCES = _said(_LINES, "lineitem")
+
+
 def load(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for name in names:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
@@ -57,17 +61,19 @@ def spark_sql(text: str) -> str:
 
 
 def facts_of_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The facts of each order's parts: case_id, the columns of FACTS and their features, computed once a part."""
+    """The facts of each order's parts: case_id and the columns of FACTS. What they say is read where it is one row."""
     load(spark, sf_dir, "lineitem", "part")
     keys = spark.sql("SELECT DISTINCT l_orderkey AS case_id, l_partkey AS p_partkey FROM lineitem")
-    return keys.join(features(spread(spark.sql(spark_sql(FACTS)))), "p_partkey")
+    return keys.join(spark.sql(spark_sql(FACTS)), "p_partkey")
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """case_id, sent_id (place among the order's lines), fact_ids, text_en and the columns of SENTENCES."""
     load(spark, sf_dir, "lineitem", "part")
-    rows = spark.sql(spark_sql(SENTENCES))
-    return rows.selectExpr("*", "concat('S', row_number() over (partition by case_id order by line, p_partkey, text_en)) as sent_id", "if(k = 3, cast(array() as array<string>), array(fact_id)) as fact_ids")
+    # Numbered while they are narrow: lines that are equal in these keys have equal texts.
+    numbered = "(SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem)"
+    rows = spark.sql(spark_sql(_said(f"n, {_LINES}", numbered, "n, ")))
+    return rows.selectExpr("* EXCEPT (n)", "concat('S', n) as sent_id", "if(k = 3, cast(array() as array<string>), array(fact_id)) as fact_ids")
 
 
 #: What the checks of these sentences must say, from the errors alone: no text is read.
