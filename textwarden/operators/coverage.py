@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lex
 from ..functions import text as tx
 from ..functions.dims import CRITICAL_KINDS, DEFAULT, Lexicon
-from .facts import features
+from .facts import features, key_of, saying
 
 
 def omissions(facts: DataFrame, sentences: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
@@ -23,21 +23,26 @@ def omissions(facts: DataFrame, sentences: DataFrame, lexicon: Lexicon = DEFAULT
             sentences = sentences.withColumn(name, F.lit(False))
     no = F.lit(False)
     wanted = facts.filter((F.col("kind").isin(*CRITICAL_KINDS) | F.coalesce("must_cover", no)) & ~F.coalesce("dismissed", no))
+    # A fact meets the texts that cite it as they are; facts that say the same and are cited by the same texts are judged once.
+    said = sentences.filter(~F.coalesce("removed", no)).select("case_id", F.explode("fact_ids").alias("fact_id"), F.coalesce("text_en", F.lit("")).alias("_text"))
+    both = wanted.filter("case_id is not null and fact_id is not null").select("case_id", "fact_id", saying(wanted).alias("_fact")).unionByName(said, allowMissingColumns=True)
+    met = both.groupBy("case_id", "fact_id").agg(F.collect_list("_fact").alias("_facts"), F.array_sort(F.collect_set("_text")).alias("_texts")).filter(F.size("_facts") > 0)
+    met = met.select("case_id", "fact_id", F.explode("_facts").alias("_fact"), "_texts").withColumn("_key", key_of(F.col("_fact"), F.col("_texts")))
+    cases = met.select("_key", "_fact", "_texts").distinct()
     t = F.col("_text")
     clock = F.transform(tx.times_in(t), lambda x: F.concat_ws(":", x["hour"], x["minute"]))
     days = F.transform(tx.dates_in(t), lambda x: F.concat_ws("/", x["month"], x["day"]))
-    # A text that several sentences have is read once; what a fact needs of the texts that cite it is collected, once for each difference.
-    said = sentences.filter(~F.coalesce("removed", no)).select("case_id", "fact_ids", F.coalesce("text_en", F.lit("")).alias("_text"))
-    texts = said.select("_text").distinct().select(
+    citing = cases.select("_key", F.explode("_texts").alias("_text"))
+    texts = citing.select("_text").distinct().select(
         "_text",
         F.struct(
             tx.numbers_in(t).alias("numbers"), lex.placeholders_in(t).alias("tokens"), lex.drugs_in(t, lexicon).alias("drugs"),
             lex.has_cue(t, "en", "prn").alias("prn"), lex.polarity(t).alias("p"), days.alias("days"), clock.alias("clock"),
         ).alias("s"),
     )
-    said = said.join(texts, "_text").select("case_id", "fact_ids", "s")
-    by_fact = said.select("case_id", F.explode("fact_ids").alias("fact_id"), "s").groupBy("case_id", "fact_id").agg(F.collect_set("s").alias("said"))
-    rows = features(wanted, lexicon).join(by_fact, ["case_id", "fact_id"], "left")
+    read = citing.join(texts, "_text").groupBy("_key").agg(F.collect_set("s").alias("said"))
+    known = features(cases.select(key_of(F.col("_fact")).alias("_said"), "_fact").distinct().select("_said", "_fact.*"), lexicon)
+    rows = cases.select("_key", key_of(F.col("_fact")).alias("_said")).join(known, "_said").join(read, "_key", "left")
     every = lambda name: F.array_distinct(F.flatten(F.transform("said", lambda s: s[name])))
     lost = lambda need, name: F.size(F.array_except(F.col(f"need_{need}"), every(name))) > 0
     action, kind, canon = F.col("med_action"), F.col("kind"), F.col("canon")
@@ -57,4 +62,5 @@ def omissions(facts: DataFrame, sentences: DataFrame, lexicon: Lexicon = DEFAULT
         .when(F.col("prn") & ~F.coalesce(action.isin("stop", "hold"), no) & ~F.exists(naming, lambda s: s["prn"]), "as_needed_not_told")
         .when(action.isin("stop", "hold") & ~F.exists(naming, lambda s: s["p"]["stop"] & ~s["p"]["continue"]), "stop_not_clear"),
     )
-    return rows.select("case_id", "fact_id", F.explode(F.array_compact(F.array(by_kind, by_name))).alias("rule"))
+    rules = rows.select("_key", F.explode(F.array_compact(F.array(by_kind, by_name))).alias("rule"))
+    return met.select("case_id", "fact_id", "_key").join(rules, "_key").select("case_id", "fact_id", "rule")
