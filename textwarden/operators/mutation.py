@@ -89,6 +89,8 @@ def variant(base: DataFrame, patches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def matrix(caught: DataFrame) -> DataFrame:
-    """caught: mutation, flagged, blocked. Totals by error and over all of them (mutation 'all')."""
-    sums = caught.rollup("mutation").agg(F.count(F.lit(1)).alias("total"), F.count_if("flagged").alias("flagged"), F.count_if("blocked").alias("blocked"))
+    """caught: mutation, flagged, blocked and, where a row stands for several, n. Totals by error and over all of them (mutation 'all')."""
+    n = F.col("n") if "n" in caught.columns else F.lit(1).cast("long")
+    of = lambda name: F.coalesce(F.sum(F.when(F.col(name), n)), F.lit(0).cast("long")).alias(name)
+    sums = caught.rollup("mutation").agg(F.coalesce(F.sum(n), F.lit(0).cast("long")).alias("total"), of("flagged"), of("blocked"))
     return sums.select(F.coalesce("mutation", F.lit("all")).alias("mutation"), "total", "flagged", "blocked")

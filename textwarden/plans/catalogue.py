@@ -270,23 +270,22 @@ def mutation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = inputs.sentences(spark, sf_dir).filter("k >= 5").withColumn("base", F.col("sent_id")).withColumn("other", F.expr(_OTHER))
-    made = mutation.mutants(good, F.col("other")).withColumn("sent_id", F.concat_ws("/", "base", "mutation"))
-    checks = sentences.sentence_checks(sentences.with_cited(made, inputs.facts_of_cases(spark, sf_dir)))
-    worst = rollup.statuses(checks, ["case_id", "sent_id"])
-    # The checks carry case and sentence; which error it is stands in the sentence's id, so that errors are put in once.
-    named = worst.select("case_id", F.split_part("sent_id", F.lit("/"), F.lit(1)).alias("base"), F.split_part("sent_id", F.lit("/"), F.lit(2)).alias("mutation"), "status")
-    return named.withColumn("flagged", F.coalesce(F.col("status") != "green", F.lit(False))).withColumn("blocked", F.coalesce(F.col("status") == "red", F.lit(False)))
+    """Good sentences with errors put in: base, mutation, status, flagged, blocked and n, the sentences that are alike in all this."""
+    said = inputs.sentences(spark, sf_dir).filter("k >= 5").withColumn("other", F.expr(_OTHER))
+    good = said.select("case_id", "sent_id", "text_en", "fact_ids", F.struct("drug", "med_action", "other").alias("about"))
+    rows = sentences.alike(good, inputs.facts_of_cases(spark, sf_dir), lambda of: mutation.mutants(of.select("*", "about.drug", "about.med_action"), F.col("about.other")))
+    worst = rollup.with_status(rows).select("base", "mutation", "status", "n")
+    return worst.withColumn("flagged", F.col("status") != "green").withColumn("blocked", F.col("status") == "red")
 
 
 @query(f"SELECT mutation, CASE mutation WHEN 'hold_as_permanent_stop' THEN 'flagged' ELSE 'blocked' END AS outcome, count(*) AS n FROM ({_KINDS}) WHERE mutation <> 'clean' GROUP BY mutation")
 def mutation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against the clean sentence: blocked before flagged before slipped."""
     rows = _mutated(spark, sf_dir)
-    clean = F.max(F.when(F.col("mutation") == "clean", F.col("status"))).over(Window.partitionBy("case_id", "base"))
+    clean = F.max(F.when(F.col("mutation") == "clean", F.col("status"))).over(Window.partitionBy("base"))
     new = rows.withColumn("clean_status", clean).filter("mutation <> 'clean'")
     outcome = F.when(F.col("blocked") & (F.col("clean_status") != "red"), "blocked").when(F.col("flagged") & (F.col("clean_status") == "green"), "flagged").otherwise("slipped")
-    return new.groupBy("mutation", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return new.groupBy("mutation", outcome.alias("outcome")).agg(F.sum("n").alias("n"))
 
 
 # ------------------------------------------------------------------ text functions on documents
