@@ -53,7 +53,13 @@ def chosen(templates: list[str], index: str, values: dict[str, str] | None = Non
 
 
 def rows_of(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    """A projection, written for both engines, of the named tables."""
+    """A projection, written for both engines, of the named tables.
+
+    Its texts are far larger than the files of keys that they are made from, and costly to read: keys are dealt out evenly while they are narrow
+    (a file's parts may hold few row groups), and no join takes the files' size for that of the texts and sends them through the driver.
+    """
+    cores = spark.sparkContext.defaultParallelism
     for name in tables:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(sql.replace("AS VARCHAR(20)", "AS STRING"))
+        keys = table(spark, sf_dir, name)
+        (keys.repartition(cores) if keys.rdd.getNumPartitions() < 4 * cores else keys).createOrReplaceTempView(name)
+    return spark.sql(sql.replace("AS VARCHAR(20)", "AS STRING")).hint("merge")
