@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textwarden.operators import mutation
-from textwarden.plans import workflow
+from textwarden.operators import mutation, sentences
+from textwarden.plans import languages, workflow
 from textwarden.plans.registry import rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -22,13 +22,13 @@ def plan(df):
 def twice(spark, tmp_path):
     """Each part twice, under a key whose texts are those of the first."""
     part = spark.read.parquet(f"{SF}/part.parquet")
-    part.unionAll(part.withColumn("p_partkey", F.col("p_partkey") + 2520)).write.parquet(f"{tmp_path}/part.parquet")
+    part.unionAll(part.withColumn("p_partkey", F.col("p_partkey") + 2520 * len(languages.TRANSLATIONS))).write.parquet(f"{tmp_path}/part.parquet")
     return str(tmp_path)
 
 
 def test_texts_from_keys_are_dealt_out_and_not_sent_through_the_driver(spark):
     rows = rows_of(spark, SF, "SELECT p_partkey, concat('text of ', p_partkey) AS t FROM part", "part")
-    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     assert "Broadcast" not in plan(rows.join(rows.groupBy("p_partkey").agg(F.max("t").alias("u")), "p_partkey"))
 
 
@@ -40,3 +40,7 @@ def test_cases_that_are_alike_get_errors_once(spark, twice, monkeypatch):
     with pytest.raises(Seen) as found:
         workflow.mutation_kinds(spark, twice)
     assert found.value.args[0] <= 200
+
+
+def test_words_of_instructions_are_not_sent_through_the_driver(spark):
+    assert "Broadcast" not in plan(workflow.uncovered_instructions(spark, SF))

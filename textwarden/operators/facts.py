@@ -11,6 +11,7 @@ from ..functions import lexicon as lex
 from ..functions import text as tx
 from ..functions.dims import ACTIONS, CRITICAL_KINDS, CUES, DEFAULT, KINDS, Lexicon
 from ..functions.fuzzy import near_quote
+from ..sources.stores import stored
 
 Check = tuple[str, Column, Column]  # name, when it fails, when it warns
 
@@ -250,7 +251,8 @@ def uncovered(units: DataFrame, facts: DataFrame, threshold: float = 0.6) -> Dat
     folded in order: one that an uncovered instruction before it covers is left out.
     """
     key = ["case_id", "line_no", "pos"]
-    tokens = units.withColumn("tokens", lex.content_tokens(F.col("unit"))).filter(F.size("tokens") > 0)
+    # Read once for both of its uses; the file's size is not that of its words, so they are not sent through the driver.
+    tokens = stored(units.withColumn("tokens", lex.content_tokens(F.col("unit"))).filter(F.size("tokens") > 0)).hint("merge")
     words = tokens.select(*key, F.explode("tokens").alias("word"))
     theirs = facts.select("case_id", "fact_id", F.explode(lex.content_tokens(F.concat_ws(" ", "source_quote", "detail"))).alias("word"))
     shared = words.join(theirs, ["case_id", "word"]).groupBy(*key, "fact_id").agg(F.count(F.lit(1)).alias("n"))

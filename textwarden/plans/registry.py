@@ -29,13 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Cores that are counted on before executors have come: until then a cluster's parallelism reads 2.
+CORES = 12
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out where its files give fewer tasks than there are cores: for work that costs far more than a shuffle of its rows.
+    """df, dealt out evenly where its files give fewer than four tasks for each core: for work that costs far more than a shuffle of its rows.
 
-    A large table has more parts than cores and stays as it is.
+    A file's parts may be large for such work, few, and hold uneven numbers of row groups.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    least = 4 * max(df.sparkSession.sparkContext.defaultParallelism, CORES)
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
 
 
 def written(template: str, values: dict[str, str]) -> str:
@@ -55,11 +59,9 @@ def chosen(templates: list[str], index: str, values: dict[str, str] | None = Non
 def rows_of(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """A projection, written for both engines, of the named tables.
 
-    Its texts are far larger than the files of keys that they are made from, and costly to read: keys are dealt out evenly while they are narrow
-    (a file's parts may hold few row groups), and no join takes the files' size for that of the texts and sends them through the driver.
+    Its texts are far larger than the files of keys that they are made from, and costly to read: keys are dealt out while they are narrow, and no
+    join takes the files' size for that of the texts and sends them through the driver.
     """
-    cores = spark.sparkContext.defaultParallelism
     for name in tables:
-        keys = table(spark, sf_dir, name)
-        (keys.repartition(cores) if keys.rdd.getNumPartitions() < 4 * cores else keys).createOrReplaceTempView(name)
+        spread(table(spark, sf_dir, name)).createOrReplaceTempView(name)
     return spark.sql(sql.replace("AS VARCHAR(20)", "AS STRING")).hint("merge")
