@@ -44,3 +44,7 @@ def test_cases_that_are_alike_get_errors_once(spark, twice, monkeypatch):
 
 def test_words_of_instructions_are_not_sent_through_the_driver(spark):
     assert "Broadcast" not in plan(workflow.uncovered_instructions(spark, SF))
+
+
+def test_quizzes_are_not_sent_through_the_driver(spark):
+    assert "Broadcast" not in plan(workflow.quiz_questions(spark, SF))
