@@ -48,3 +48,7 @@ def test_words_of_instructions_are_not_sent_through_the_driver(spark):
 
 def test_quizzes_are_not_sent_through_the_driver(spark):
     assert "Broadcast" not in plan(workflow.quiz_questions(spark, SF))
+
+
+def test_customers_are_dealt_out(spark):
+    assert workflow.reviewer_names(spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
