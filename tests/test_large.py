@@ -50,5 +50,9 @@ def test_quizzes_are_not_sent_through_the_driver(spark):
     assert "Broadcast" not in plan(workflow.quiz_questions(spark, SF))
 
 
+def test_medicines_are_not_sent_through_the_driver(spark):
+    assert "Broadcast" not in plan(workflow.med_cross_check(spark, SF))
+
+
 def test_customers_are_dealt_out(spark):
     assert workflow.reviewer_names(spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
