@@ -54,5 +54,16 @@ def test_medicines_are_not_sent_through_the_driver(spark):
     assert "Broadcast" not in plan(workflow.med_cross_check(spark, SF))
 
 
+def test_translations_that_are_alike_are_read_once(spark, twice, monkeypatch):
+    def checks(rows, *_):
+        raise Seen(rows.count())
+
+    monkeypatch.setattr(sentences, "translation_checks", checks)
+    with pytest.raises(Seen) as found:
+        languages.translation_checks(spark, twice)
+    spanish = [k for k, t in enumerate(languages.TRANSLATIONS) if t[0] == "es"]
+    assert found.value.args[0] <= spark.read.parquet(f"{SF}/part.parquet").filter((F.col("p_partkey") % len(languages.TRANSLATIONS)).isin(spanish)).count()
+
+
 def test_customers_are_dealt_out(spark):
     assert workflow.reviewer_names(spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism

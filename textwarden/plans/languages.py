@@ -131,8 +131,8 @@ def translation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"(p_partkey % {len(TRANSLATIONS)})"
     texts = ", ".join(f"{chosen([t[i] for t in TRANSLATIONS], at, VALUES)} AS {name}" for i, name in ((1, "text_en"), (2, "text_tl"), (3, "back_en")))
     df = rows_of(spark, sf_dir, f"SELECT p_partkey, p_partkey AS case_id, 'S1' AS sent_id, {pick([t[0] for t in TRANSLATIONS], at)} AS lang, {at} IN ({', '.join(str(k) for k, t in enumerate(TRANSLATIONS) if t[4])}) AS about_medicine, {texts} FROM part", "part")
-    found = [sentences.translation_checks(df.filter(F.col("lang") == lang), lang) for lang in ("es", "it", "fr", "vi", "zh")]
-    return reduce(DataFrame.unionByName, found).select(F.col("case_id").alias("p_partkey"), "name", "status")
+    found = sentences.translations_checked(df, ["es", "it", "fr", "vi", "zh"])
+    return found.select(F.col("case_id").alias("p_partkey"), "name", "status")
 
 
 #: A text in which values stand, what must be masked, and the text that must come out.
