@@ -54,6 +54,17 @@ def test_medicines_are_not_sent_through_the_driver(spark):
     assert "Broadcast" not in plan(workflow.med_cross_check(spark, SF))
 
 
+@pytest.mark.parametrize("name", ["review_totals"])
+def test_sentences_that_are_alike_are_read_once(spark, twice, monkeypatch, name):
+    def read(readings, *_):
+        raise Seen(readings.count())
+
+    monkeypatch.setattr(sentences, "read", read)
+    with pytest.raises(Seen) as found:
+        getattr(workflow, name)(spark, twice)
+    assert found.value.args[0] <= 200
+
+
 def test_translations_that_are_alike_are_read_once(spark, twice, monkeypatch):
     def checks(rows, *_):
         raise Seen(rows.count())
