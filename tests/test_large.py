@@ -54,7 +54,7 @@ def test_medicines_are_not_sent_through_the_driver(spark):
     assert "Broadcast" not in plan(workflow.med_cross_check(spark, SF))
 
 
-@pytest.mark.parametrize("name", ["review_totals", "check_sets", "sentence_meaning_checks"])
+@pytest.mark.parametrize("name", ["review_totals", "check_sets", "sentence_meaning_checks", "caught_bars"])
 def test_sentences_that_are_alike_are_read_once(spark, twice, monkeypatch, name):
     def read(readings, *_):
         raise Seen(readings.count())
