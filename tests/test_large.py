@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textwarden.operators import mutation, sentences
 from textwarden.plans import languages, workflow
-from textwarden.plans.registry import rows_of
+from textwarden.plans.registry import CORES, rows_of, spread
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +78,7 @@ def test_translations_that_are_alike_are_read_once(spark, twice, monkeypatch):
 
 def test_customers_are_dealt_out(spark):
     assert workflow.reviewer_names(spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_documents_are_dealt_out_before_executors_have_come(spark):
+    assert spread(spark.read.parquet(f"{SF}/documents.parquet")).rdd.getNumPartitions() >= 4 * CORES
