@@ -1,11 +1,14 @@
+import random
 import re
 from difflib import SequenceMatcher
 
 import duckdb
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textwarden.functions.fuzzy import Quotes
+from textwarden.functions import fuzzy
+from textwarden.functions.fuzzy import Quote, Quotes
 from textwarden.operators import quotes
 from textwarden.plans import catalogue
 from textwarden.sources.shipping import ship
@@ -89,3 +92,49 @@ def test_near_quotes_of_a_long_text():
     del slipped[20], slipped[90]
     slipped[50:50] = "zz"
     assert list(Quotes(["".join(slipped), "nothing like it in the whole text here"]).found(text)) == [0]
+
+
+def _edited(text, share, rng):
+    out = []
+    for c in text:
+        x = rng.random()
+        out += [] if x < share / 2 else [rng.choice("aetz"), c] if x < share else [c]
+    return "".join(out)
+
+
+def test_near_quotes_of_200_characters_and_more_lose_no_window():
+    """Windows in which the ratio leaves out popular characters, with few and with many unpopular ones, edited until they just match or just don't."""
+    rng, near_limit = random.Random(5), 0
+    for letters in ("etaoin s" * 9 + "bcdfghjklmpqrvwxyz", "etao n" * 30 + "bkz", "".join(map(chr, range(0x4E00, 0x4E90))) + "ab " * 20):
+        for n in (199, 200, 230, 305):
+            source = "".join(rng.choice(letters) for _ in range(900))
+            own = [_edited(source[a : a + n], share, rng) for share in (0, 0.02, 0.06, 0.1, 0.13, 0.2) for a in (0, 3 * (n // 8), 333)] + [source[300:400] + source[420 : 420 + n]]
+            best = [max(SequenceMatcher(None, q, source[a : a + len(q)]).ratio() for a in range(0, len(source) - len(q) + 1, len(q) // 8)) for q in own]
+            near_limit += sum(0.8 < r < 0.9 for r in best)
+            assert sorted(Quotes(own).found(source)) == [i for i, (q, r) in enumerate(zip(own, best, strict=True)) if q in source or r >= 0.85]
+    assert near_limit > 5
+
+
+def test_few_windows_are_compared_character_by_character(monkeypatch):
+    """Texts of the quotes' own syllables, none near: before, nothing but a count over the whole text kept a quote from being compared with all of it."""
+    rng, left = random.Random(7), []
+    syllables = "th he in er an re nd ed ha tion ent on st or ea ble ly en que ción ment ar lo mi sub ter per con dis pre ing ous al est ity ver com".split()
+    write = lambda n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    own, texts = [write(k) for k in range(14, 54)], [write(300) for _ in range(5)]
+    alike = Quote.alike
+    monkeypatch.setattr(Quote, "alike", lambda q, window, threshold: left.append(1) or alike(q, window, threshold))
+    search = Quotes(own)
+    assert not any(i for t in texts for i in search.found(t))
+    windows = sum(len(search._windows(np.arange(len(own)), 0, len(t))[0]) for t in texts)
+    assert len(left) < windows / 50
+
+
+def test_a_long_text_is_searched_in_pieces(monkeypatch):
+    rng = random.Random(9)
+    text = "".join(rng.choice("etaoin sbdkz") for _ in range(5000))
+    own = [_edited(text[a : a + n], 0.05, rng) for n in (40, 120, 260) for a in range(0, 4700, 331)]
+    whole = sorted(Quotes(own).found(text))
+    monkeypatch.setattr(fuzzy, "PIECE", 700)
+    monkeypatch.setattr(fuzzy, "MET", 100)
+    monkeypatch.setattr(fuzzy, "HELD", 3000)
+    assert sorted(Quotes(own).found(text)) == whole and len(whole) > 20
