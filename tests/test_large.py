@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textwarden.functions import masking
 from textwarden.operators import mutation, sentences
 from textwarden.plans import languages, workflow
 from textwarden.plans.registry import CORES, rows_of, spread
@@ -80,5 +81,21 @@ def test_customers_are_dealt_out(spark):
     assert workflow.reviewer_names(spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
 
 
+def test_names_that_are_typed_alike_are_cleaned_once(spark, monkeypatch):
+    """Ten thousand rows of three names, one of them null; what is given to clean_name is counted as it runs."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(name):
+        read.add(1)
+        return name
+
+    clean = masking.clean_name
+    monkeypatch.setattr(masking, "clean_name", lambda name: clean(seen(name)))
+    monkeypatch.setattr(workflow, "rows_of", lambda *_: spark.range(10_000).selectExpr("id as c_custkey", "element_at(array('A\u0301 b', 'x', null), cast(id % 3 + 1 as int)) as typed"))
+    rows = workflow.reviewer_names(spark, SF).groupBy("name", "is_real").count().collect()
+    assert sorted(map(tuple, rows)) == [("", False, 3333), ("x", False, 3333), ("\u00c1 b", True, 3334)] and read.value <= 6
+
+
 def test_documents_are_dealt_out_before_executors_have_come(spark):
     assert spread(spark.read.parquet(f"{SF}/documents.parquet")).rdd.getNumPartitions() >= 4 * CORES

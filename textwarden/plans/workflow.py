@@ -473,7 +473,7 @@ SELECT c_custkey, name, c_custkey % 4 <> 0 AS is_real FROM c
 def reviewer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' names typed with marks apart, invisible characters and odd spaces, cleaned; and whether a name has two letters. Without the segment there is one."""
     rows = rows_of(spark, sf_dir, f"SELECT c_custkey, {_TYPED} AS typed FROM customer", "customer")
-    return rows.select("c_custkey", masking.clean_name(F.col("typed")).alias("name"), masking.is_real_name(F.col("typed")).alias("is_real"))
+    return masking.reviewers(rows, "typed").select("c_custkey", "name", "is_real")
 
 
 #: A case of three facts and three sentences for each part: medicine and what to do with it, language, and whether the first sentence is removed, by key.
