@@ -20,13 +20,19 @@ def candidates(facts: DataFrame, sentences: DataFrame, lexicon: Lexicon = DEFAUL
     """
     first_word = F.lower(F.regexp_extract(F.coalesce("drug", F.lit("")), r"\S+", 0))
     wanted = facts.filter(F.col("kind").isin(*KIND_ORDER) & ((F.col("risk") == "high") | (F.col("kind") == "follow_up")))
-    wanted = wanted.select("case_id", "fact_id", "kind", F.when(F.col("kind") == "medication", lex.canonical_drug(first_word, lexicon)).alias("_drug"))
+    drug = F.when(F.col("kind") == "medication", lex.canonical_drug(first_word, lexicon))
+    wanted = wanted.select("case_id", "fact_id", F.struct("kind", drug.alias("drug")).alias("_wanted"))
     live = sentences.filter(~F.coalesce("removed", F.lit(False))) if "removed" in sentences.columns else sentences
-    said = live.select("case_id", "sent_id", "pos", "fact_ids", lex.drugs_in(F.col("text_en"), lexicon).alias("_named"))
-    cited = said.select("case_id", "sent_id", "pos", "_named", F.explode("fact_ids").alias("fact_id"))
-    silent = ~F.coalesce(F.array_contains("_named", F.col("_drug")), F.lit(False))
-    rows = wanted.join(cited, ["case_id", "fact_id"]).groupBy("case_id", "fact_id", "kind")
-    return rows.agg(F.min_by("sent_id", F.struct(silent, "pos", "sent_id")).alias("sent_id"))
+    said = live.select("case_id", "pos", "sent_id", lex.drugs_in(F.col("text_en"), lexicon).alias("named"), "fact_ids")
+    said = said.select("case_id", F.struct("pos", "sent_id", "named").alias("_said"), F.explode("fact_ids").alias("fact_id"))
+    # Facts and what cites them meet once, by case, which all that follows goes by too.
+    both = wanted.unionByName(said, allowMissingColumns=True).filter("case_id is not null and fact_id is not null").repartition("case_id")
+    both = both.groupBy("case_id", "fact_id").agg(F.collect_set("_wanted").alias("_wanted"), F.collect_list("_said").alias("_said"))
+    rows = both.filter("size(_said) > 0").select("case_id", "fact_id", "_said", F.explode("_wanted").alias("_w"))
+    silent = lambda x: ~F.coalesce(F.array_contains(x["named"], F.col("_w.drug")), F.lit(False))
+    first = F.array_min(F.transform("_said", lambda x: F.struct(silent(x).alias("silent"), x["pos"].alias("pos"), x["sent_id"].alias("sent_id"))))
+    rows = rows.select("case_id", "fact_id", F.col("_w.kind").alias("kind"), first.alias("first"))
+    return rows.groupBy("case_id", "fact_id", "kind").agg(F.min("first")["sent_id"].alias("sent_id"))
 
 
 def pick(found: DataFrame, most: int = MOST) -> DataFrame:

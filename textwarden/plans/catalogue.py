@@ -421,7 +421,8 @@ def quiz_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quiz_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = facts.featured(inputs.facts_of_cases(spark, sf_dir), "risk").select("case_id", "fact_id", "kind", "risk", "drug")
+    told = lambda own: facts.featured(own, "risk").select("p_partkey", "fact_id", "kind", "risk", "drug")
+    own = inputs.facts_of_cases(spark, sf_dir, told).drop("p_partkey")
     said = inputs.sentences(spark, sf_dir).withColumn("pos", F.substring("sent_id", 2, 9).cast("int"))
     return quiz.candidates(own, said)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 DRUGS = ["lisinopril", "warfarin", "metoprolol", "insulin", "furosemide", "omeprazole", "oxycodone"]
@@ -60,11 +62,11 @@ def spark_sql(text: str) -> str:
     return text.replace("AS VARCHAR(20)", "AS STRING")
 
 
-def facts_of_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The facts of each order's parts: case_id and the columns of FACTS. What they say is read where it is one row."""
+def facts_of_cases(spark: SparkSession, sf_dir: str, told: Callable[[DataFrame], DataFrame] = lambda own: own) -> DataFrame:
+    """The facts of each order's parts: case_id and what `told` makes of the columns of FACTS (p_partkey kept) where a part's fact is one row."""
     load(spark, sf_dir, "lineitem", "part")
     keys = spark.sql("SELECT DISTINCT l_orderkey AS case_id, l_partkey AS p_partkey FROM lineitem")
-    return keys.join(spark.sql(spark_sql(FACTS)), "p_partkey")
+    return keys.join(told(spark.sql(spark_sql(FACTS))), "p_partkey")
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
