@@ -84,6 +84,18 @@ def test_one_of_each_class_stays(docs, rows):
     assert {300, 301, 302} <= {r.doc_id for r in kept}
 
 
+def test_shared_passages_weigh_by_their_documents_without_a_cut(spark):
+    """Four documents of 404 share most of their text: 0.81 alike where all shingles weigh the same, 0.78 as their weights are."""
+    passage = " ".join(f"p{i}" for i in range(300))
+    rows = [(i, f"{passage} " + " ".join(f"t{i}x{j}" for j in range(34))) for i in range(4)]
+    rows += [(10 + i, " ".join(f"w{i}x{j}" for j in range(8))) for i in range(400)]
+    # More partitions than one: what several batches hold is counted together.
+    got = neardup.classify(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(i, i) for i, _ in rows]
+    two = [(1, rows[0][1]), (2, rows[0][1] + " end"), *rows[4:]]
+    assert {r.doc_id: r.class_id for r in neardup.classify(spark.createDataFrame(two, "doc_id long, text string").repartition(5)).collect()}[2] == 1
+
+
 def test_sampling_estimates_similarity():
     a, b = " ".join(f"w{i}" for i in range(400)), " ".join(f"w{i}" for i in range(40, 440))
     table = neardup.Weights(np.empty(0, np.uint64), np.empty(0), 1)
