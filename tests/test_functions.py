@@ -74,3 +74,11 @@ def test_rules_are_tried_only_where_a_text_has_what_they_need(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("_digit#") > sum(r"\d" in pattern for _, pattern in masking.RULES)
     assert plan.count(" AS _digit#") == 1
+
+
+def test_content_tokens_look_for_numbers_only_where_there_is_a_digit(spark):
+    said = ["Take 2,50 mg and 1,000 units, take it", "No such thing, none such", "\u0663 pills", "007", None, ""]
+    docs = spark.createDataFrame([(x,) for x in said], "text string").coalesce(1)
+    found = docs.select(lex.content_tokens(F.col("text")).alias("t"))
+    assert [r.t for r in found.collect()] == [r.t for r in docs.select(F.array_union(F.filter(lex.content_tokens(F.col("text")), lambda w: w.rlike("^[a-z]")), tx.digits_in(F.col("text"))).alias("t")).collect()]
+    assert "[0-9]" in found._jdf.queryExecution().analyzed().toString()

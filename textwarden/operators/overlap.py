@@ -27,14 +27,15 @@ def covered(items: DataFrame, docs: DataFrame, threshold: float = 0.6) -> DataFr
     tokens = lambda df, id_col: df.select(id_col, content_tokens(F.col("text")).alias("tokens"))
     own, said = tokens(items, "item_id"), tokens(docs, "doc_id")  # no filter by size here: the scan would take it, and the work with it
     words = own.select("item_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    theirs = said.select("doc_id", F.size("tokens").alias("held"), F.explode("tokens").alias("token"))
+    # outer: else a filter by size is inferred, and tokens are made where files are read too; no token joins nothing
+    theirs = said.select("doc_id", F.size("tokens").alias("held"), F.explode_outer("tokens").alias("token"))
     small = words.limit(SENT_TOKENS + 1).count() <= SENT_TOKENS
     sent = F.broadcast if small else lambda df: df
     seen = theirs.join(sent(words.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     keys = rare_keys(words, seen, threshold)
     own = own.withColumnRenamed("tokens", "own")
     if small:  # items are in every task, so a document is compared where it is read, and only what holds is shuffled
-        here = said.select("doc_id", F.col("tokens").alias("said"), F.explode("tokens").alias("token")).join(F.broadcast(keys.join(own, "item_id")), "token")
+        here = said.select("doc_id", F.col("tokens").alias("said"), F.explode_outer("tokens").alias("token")).join(F.broadcast(keys.join(own, "item_id")), "token")
         both = here.filter(F.size("said") >= F.col("needed"))
     else:
         met = theirs.join(keys, "token").filter("held >= needed").select("item_id", "doc_id").distinct()
