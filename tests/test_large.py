@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textwarden.functions import masking
-from textwarden.operators import mutation, quiz, sentences
-from textwarden.plans import languages, workflow
+from textwarden.operators import coverage, mutation, quiz, sentences
+from textwarden.plans import inputs, languages, workflow
 from textwarden.plans.registry import CORES, rows_of, spread
 
 SF = "/root/testdata/sf0.001"
@@ -108,3 +108,19 @@ def test_names_that_are_typed_alike_are_cleaned_once(spark, monkeypatch):
 
 def test_documents_are_dealt_out_before_executors_have_come(spark):
     assert spread(spark.read.parquet(f"{SF}/documents.parquet")).rdd.getNumPartitions() >= 4 * CORES
+
+
+def test_sentences_and_facts_that_are_there_by_case_are_not_shuffled(spark):
+    lines = inputs.lines_by_case(spark, SF)
+    own, said = inputs.facts_of_cases(spark, SF, lines=lines), inputs.sentences(spark, SF, lines)
+    rows = said.select("case_id", "sent_id", "text_en", "fact_ids")
+    assert "Exchange hashpartitioning" not in plan(sentences.met(rows, own))
+    assert "Exchange hashpartitioning" not in plan(sentences.checked(rows, own, buckets=inputs.buckets_of(spark, SF)).groupBy("case_id").count())
+    assert "Exchange hashpartitioning" not in plan(coverage.omissions(own, said))
+
+
+def test_sentences_and_facts_by_case_are_those_of_the_tables(spark):
+    lines = inputs.lines_by_case(spark, SF)
+    for by_case, plain in ((inputs.sentences(spark, SF, lines), inputs.sentences(spark, SF)), (inputs.facts_of_cases(spark, SF, lines=lines), inputs.facts_of_cases(spark, SF))):
+        by_case = by_case.select(*plain.columns)
+        assert by_case.count() == plain.count() and by_case.exceptAll(plain).isEmpty()

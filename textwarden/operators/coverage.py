@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lex
 from ..functions import text as tx
 from ..functions.dims import CRITICAL_KINDS, DEFAULT, Lexicon
+from ..sources.stores import stored, together
 from .facts import features, key_of, saying
 
 
@@ -25,10 +26,10 @@ def omissions(facts: DataFrame, sentences: DataFrame, lexicon: Lexicon = DEFAULT
     wanted = facts.filter((F.col("kind").isin(*CRITICAL_KINDS) | F.coalesce("must_cover", no)) & ~F.coalesce("dismissed", no))
     # A fact meets the texts that cite it as they are; facts that say the same and are cited by the same texts are judged once.
     said = sentences.filter(~F.coalesce("removed", no)).select("case_id", F.explode("fact_ids").alias("fact_id"), F.coalesce("text_en", F.lit("")).alias("_text"))
-    both = wanted.filter("case_id is not null and fact_id is not null").select("case_id", "fact_id", saying(wanted).alias("_fact")).unionByName(said, allowMissingColumns=True)
+    both = together("case_id", wanted.filter("case_id is not null and fact_id is not null").select("case_id", "fact_id", saying(wanted).alias("_fact")), said)
     met = both.groupBy("case_id", "fact_id").agg(F.collect_list("_fact").alias("_facts"), F.array_sort(F.collect_set("_text")).alias("_texts")).filter(F.size("_facts") > 0)
     met = met.select("case_id", "fact_id", F.explode("_facts").alias("_fact"), "_texts").withColumn("_key", key_of(F.col("_fact"), F.col("_texts")))
-    cases = met.select("_key", "_fact", "_texts").distinct()
+    cases = stored(met.select("_key", "_fact", "_texts").distinct())
     t = F.col("_text")
     clock = F.transform(tx.times_in(t), lambda x: F.concat_ws(":", x["hour"], x["minute"]))
     days = F.transform(tx.dates_in(t), lambda x: F.concat_ws("/", x["month"], x["day"]))
@@ -62,5 +63,6 @@ def omissions(facts: DataFrame, sentences: DataFrame, lexicon: Lexicon = DEFAULT
         .when(F.col("prn") & ~F.coalesce(action.isin("stop", "hold"), no) & ~F.exists(naming, lambda s: s["prn"]), "as_needed_not_told")
         .when(action.isin("stop", "hold") & ~F.exists(naming, lambda s: s["p"]["stop"] & ~s["p"]["continue"]), "stop_not_clear"),
     )
-    rules = rows.select("_key", F.explode(F.array_compact(F.array(by_kind, by_name))).alias("rule"))
+    # Stored, so that it is known how few they are: facts stay by case.
+    rules = stored(rows.select("_key", F.explode(F.array_compact(F.array(by_kind, by_name))).alias("rule")))
     return met.select("case_id", "fact_id", "_key").join(rules, "_key").select("case_id", "fact_id", "rule")
