@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textwarden.functions import masking
-from textwarden.operators import coverage, mutation, quiz, sentences
+from textwarden.operators import coverage, mutation, quiz, recheck, sentences
 from textwarden.plans import inputs, languages, workflow
 from textwarden.plans.registry import CORES, rows_of, spread
 
@@ -124,3 +124,16 @@ def test_sentences_and_facts_by_case_are_those_of_the_tables(spark):
     for by_case, plain in ((inputs.sentences(spark, SF, lines), inputs.sentences(spark, SF)), (inputs.facts_of_cases(spark, SF, lines=lines), inputs.facts_of_cases(spark, SF))):
         by_case = by_case.select(*plain.columns)
         assert by_case.count() == plain.count() and by_case.exceptAll(plain).isEmpty()
+
+
+def test_events_meet_sentences_without_a_shuffle_of_those(spark):
+    lines = inputs.lines_by_case(spark, SF)
+    events = inputs.sentences(spark, SF, lines).filter("case_id % 10 = 0").select("case_id", "sent_id")
+    said = inputs.sentences(spark, SF, lines)
+    assert "Exchange" not in plan(recheck._not_among(said, recheck._of_case(events, "sent_id"), "sent_id"))
+    assert "Exchange" not in plan(recheck._among(said, recheck._of_case(events, "sent_id"), "sent_id"))
+    # A case, an id or ids that are null are among none.
+    rows = spark.createDataFrame([(1, "a", ["x", None]), (1, "b", ["y"]), (1, None, None), (None, "a", ["x"]), (2, "a", ["x"])], "case_id int, sent_id string, ids array<string>")
+    ids = recheck._of_case(spark.createDataFrame([(1, "a"), (1, "x"), (1, None), (None, "a")], "case_id int, sent_id string"), "sent_id")
+    assert [tuple(r) for r in recheck._among(rows, ids, "ids").select("case_id", "sent_id").collect()] == [(1, "a")]
+    assert sorted(map(str, (tuple(r) for r in recheck._not_among(rows, ids, "sent_id").select("case_id", "sent_id").collect()))) == sorted(map(str, [(1, "b"), (1, None), (None, "a"), (2, "a")]))

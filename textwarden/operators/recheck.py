@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import DEFAULT, Lexicon
 from ..functions.text import let, spell_dates
+from ..sources.stores import stored as kept
 from . import coverage, rollup
 from . import sentences as said
 from .facts import stripped
 
 KEY = ["case_id", "sent_id"]
-FACT = ["case_id", "fact_id"]
 #: What a review changes of a sentence. translated: whether its case has translations; verdict: the model's, null where there is none (any more).
 STATE = "text_en string, text_tl string, fact_ids array<string>, back_en string, verdict string, tl_stale boolean, removed boolean, review string, changed boolean"
 _NAMES = [x.split()[0] for x in STATE.split(", ")]
@@ -58,8 +58,10 @@ def folded(sentences: DataFrame, events: DataFrame) -> DataFrame:
     and `old_ids`. An edit that changes nothing is none; one that does clears back-translation and verdict, and English edited alone makes the
     translation stale. Whether an approval holds is known when the sentence has been checked.
     """
-    steps = events.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("at", "action", "text_en", "text_tl", "fact_ids"))).alias("_events"))
-    rows = sentences.join(steps, KEY)
+    steps = events.filter("sent_id is not null").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("at", "action", "text_en", "text_tl", "fact_ids"))).alias("_events"))
+    # A case's events are met by case, so that sentences which are there by case aren't shuffled.
+    steps = steps.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("sent_id", "_events"))).alias("_steps"))
+    rows = sentences.join(steps.hint("merge"), "case_id").withColumn("_events", F.try_element_at("_steps", F.col("sent_id"))).filter("_events is not null").drop("_steps")
     start = F.struct(*(F.col(n) for n in _NAMES[:-1]), F.lit(False).alias("changed")).cast(_STRUCT)
     rows = rows.withColumn("_state", F.aggregate("_events", start, _step(F.col("translated"))))
     kept = [c for c in sentences.columns if c not in _NAMES]
@@ -68,7 +70,7 @@ def folded(sentences: DataFrame, events: DataFrame) -> DataFrame:
 
 def checks_of(sentences: DataFrame, facts: DataFrame, languages: list[str] | None = None, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """KEY, seq, name, status, risk of live sentences: all checks, those of translations for the languages (sentences need `language` then)."""
-    rows = said.checked(sentences, facts, lexicon)
+    rows = kept(said.checked(sentences, facts, lexicon))
     found = rows.select(*KEY, F.explode("checks").alias("c")).select(*KEY, "c.*")
     one = lambda of, seq, name, status: of.select(*KEY, F.lit(seq).alias("seq"), F.lit(name).alias("name"), status.alias("status")).filter("status is not null")
     found = found.unionByName(one(rows.filter("tl_stale"), 100, "translation_stale", F.lit("fail")))
@@ -95,6 +97,23 @@ def full(sentences: DataFrame, facts: DataFrame, languages: list[str] | None = N
     return Checked(done, checks.filter("name is not null").drop("risk"), coverage.omissions(facts, live, lexicon))
 
 
+def _of_case(rows: DataFrame, name: str) -> DataFrame:
+    """case_id, _ids: each case's values of a column, to be met by case alone: what is there by case isn't shuffled."""
+    return rows.filter(F.col(name).isNotNull()).groupBy("case_id").agg(F.collect_set(name).alias("_ids")).hint("merge")
+
+
+def _among(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """As a left semi join on case_id and the column whose values _of_case() has; where that column is an array, on any of it."""
+    met = F.arrays_overlap if df.schema[name].dataType.typeName() == "array" else lambda values, ids: F.array_contains(ids, values)
+    return df.join(ids, "case_id").filter(met(F.col(name), F.col("_ids"))).drop("_ids")
+
+
+def _not_among(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """As a left anti join on case_id and the column whose values _of_case() has."""
+    there = F.coalesce(F.array_contains("_ids", F.col(name)), F.lit(False))
+    return df.join(ids, "case_id", "left").filter(~there).drop("_ids")
+
+
 def _kept(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -115,19 +134,19 @@ def recheck(stored: Checked, facts: DataFrame, events: DataFrame, folder: str, l
     fresh = _kept(checks_of(dirty, own, languages, lexicon), f"{folder}/checks")
     columns = stored.sentences.columns
     anew = _judged(dirty.drop("status", "risk", "needs_review"), fresh)
-    rest = touched.filter(~F.col("changed") | F.col("removed"))
+    same = touched.filter(~F.col("changed") | F.col("removed"))
     status = {c: F.when(~F.col("removed"), F.col(c)) for c in ("status", "risk", "needs_review")}
-    after = anew.unionByName(rest.withColumns(status))
+    after = anew.unionByName(same.withColumns(status))
     # A red sentence can't be approved: its review is what it was, or the edit that came before.
     refused = (F.col("review") == "approved") & (F.col("status") == "red")
     earlier = F.when(F.col("changed"), F.lit("edited")).otherwise(F.col("before"))
     after = after.withColumn("review", F.when(refused, earlier).otherwise(F.col("review")))
     after = after.withColumn("needs_review", F.when((F.col("review") == "approved") & (F.col("status") != "red"), F.lit(False)).otherwise(F.col("needs_review")))
-    merged = stored.sentences.join(events.select(*KEY).distinct(), KEY, "left_anti").unionByName(after.select(*columns))
+    rest, after = _not_among(stored.sentences, _of_case(events, "sent_id"), "sent_id"), after.select(*columns)
+    merged = rest.unionByName(after)
     moved = touched.filter(F.col("changed") | gone)
     checks = stored.checks.join(moved.select(*KEY), KEY, "left_anti").unionByName(fresh.filter("name is not null").drop("risk"))
-    cited = moved.select("case_id", F.explode(F.array_union("old_ids", "fact_ids")).alias("fact_id")).distinct()
-    bridge = merged.filter("not removed").select(*KEY, F.explode("fact_ids").alias("fact_id")).join(cited, FACT, "left_semi")
-    citing = merged.filter("not removed").join(bridge.select(*KEY).distinct(), KEY, "left_semi")
-    again = coverage.omissions(facts.join(cited, FACT, "left_semi"), citing, lexicon)
-    return Checked(merged, checks, stored.omissions.join(cited, FACT, "left_anti").unionByName(again))
+    cited = _of_case(moved.select("case_id", F.explode(F.array_union("old_ids", "fact_ids")).alias("fact_id")), "fact_id")
+    citing = _among(rest.filter("not removed"), cited, "fact_ids").unionByName(_among(after.filter("not removed"), cited, "fact_ids"))
+    again = coverage.omissions(_among(facts, cited, "fact_id"), citing, lexicon)
+    return Checked(merged, checks, _not_among(stored.omissions, cited, "fact_id").unionByName(again))
